@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from prefmill.functions.derive import settle
+
 HASH_BITS = 60  # 15 hex digits
 
 
@@ -33,7 +35,7 @@ def dense_index(df: DataFrame, key: str, seed, out: str = "idx", bits: int = 12)
     """
     if not 1 <= bits <= 20:
         raise ValueError("bits must lie in 1..20, which bounds the broadcast offsets")
-    hashed = df.withColumn("_h", md5_int(seed, F.col(key))).withColumn(
+    hashed = settle(df, {"_h": md5_int(seed, F.col(key))}).withColumn(
         "_bucket", F.shiftright("_h", HASH_BITS - bits)
     )
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)

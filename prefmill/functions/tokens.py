@@ -9,8 +9,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from prefmill.functions.keys import md5_int
-
 # A chat marker, or a run without blanks that stops before a marker.
 TOKEN_PATTERN = r"<\|[a-z_]+\|>|[^\s<]+|<"
 HASHED_VOCABULARY = 32_000
@@ -25,11 +23,12 @@ def split_tokens(text: Column, pattern: str = TOKEN_PATTERN) -> Column:
 def hashed_tokenizer(
     pattern: str = TOKEN_PATTERN, vocabulary: int = HASHED_VOCABULARY
 ) -> Tokenizer:
-    """Regex tokens with hashed ids: no vocabulary table, hence no join on hot tokens."""
+    """Regex tokens with CRC-32 ids: no vocabulary table, hence no join on hot tokens."""
 
     def tokenize(text: Column) -> Column:
         return F.transform(
-            split_tokens(text, pattern), lambda t: F.pmod(md5_int(t), F.lit(vocabulary)).cast("int")
+            split_tokens(text, pattern),
+            lambda t: F.pmod(F.crc32(t.cast("binary")), F.lit(vocabulary)).cast("int"),
         )
 
     return tokenize

@@ -13,6 +13,28 @@ from prefmill.functions.tokens import Tokenizer, hashed_tokenizer
 VIEWS = ("chosen", "rejected", "context")
 
 
+def shuffled_batches(
+    rows: DataFrame, batch_size: int, key: tuple[str, ...] = ("instance_id", "pair_idx"),
+    seed=42, epoch: int = 0, bits: int = 12,
+) -> DataFrame:
+    """Add ``batch_id`` and ``batch_pos``: a random order per (seed, epoch), cut in batches.
+
+    ``key`` must be unique. The order is a dense index, so batches are full but for the
+    last one and no single task sorts everything. Each batch ends up inside one
+    partition, where tokens and padding can be worked out without a further shuffle: put
+    the batches together while rows are still text. ``rows`` is read twice (index offsets
+    and rows), so pass a written table.
+    """
+    keyed = rows.withColumn("_key", F.concat_ws(":", *key))
+    indexed = dense_index(keyed, "_key", f"{seed}:{epoch}", out="_idx", bits=bits)
+    return (
+        indexed.withColumn("batch_id", F.floor(F.col("_idx") / batch_size))
+        .withColumn("batch_pos", F.pmod("_idx", F.lit(batch_size)).cast("int"))
+        .drop("_key", "_idx")
+        .repartition("batch_id")
+    )
+
+
 def token_views(
     pairs: DataFrame, tokenizer: Tokenizer | None = None, style: ChatStyle = ChatStyle()
 ) -> DataFrame:
@@ -39,24 +61,6 @@ def token_views(
     return ids.withColumns(masks)
 
 
-def shuffled_batches(
-    rows: DataFrame, batch_size: int, key: tuple[str, ...] = ("instance_id", "pair_idx"),
-    seed=42, epoch: int = 0, bits: int = 12,
-) -> DataFrame:
-    """Add ``batch_id`` and ``batch_pos``: a random order per (seed, epoch), cut in batches.
-
-    ``key`` must be unique. The order is a dense index, so batches are full but for the
-    last one and no single task sorts everything.
-    """
-    keyed = rows.withColumn("_key", F.concat_ws(":", *key))
-    indexed = dense_index(keyed, "_key", f"{seed}:{epoch}", out="_idx", bits=bits)
-    return (
-        indexed.withColumn("batch_id", F.floor(F.col("_idx") / batch_size))
-        .withColumn("batch_pos", F.pmod("_idx", F.lit(batch_size)).cast("int"))
-        .drop("_key", "_idx")
-    )
-
-
 def pad_batches(batched: DataFrame, pad_id: int = 0) -> DataFrame:
     """Left-pad each view to its longest row in the batch; padding has mask 0.
 

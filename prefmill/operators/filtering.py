@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from prefmill.functions.derive import settle
 from prefmill.functions.text import parse_test_cases
 from prefmill.operators.verification import EQ_FALSE, EQ_TRUE, Budget, run_verifiers
 from prefmill.sources.jsonl import COUNTERS
@@ -67,18 +68,13 @@ def weigh(judged: DataFrame) -> DataFrame:
             F.size(F.filter("kept_cases", lambda c: F.get(c["votes"], j))).alias("passed"),
         ),
     )
-    out = (
-        judged.withColumn("_compiled", compiled)
-        .withColumn("_votes", votes)
-        .withColumn("kept_cases", kept_cases)
-        .withColumn("rated_verifiers", rated)
-        .withColumn("_n", F.size("kept_cases"))
-        # passed / n >= 0.8 in whole numbers
-        .withColumn(
-            "kept_verifiers",
-            F.filter("rated_verifiers", lambda v: v["passed"] * 5 >= F.col("_n") * 4),
-        )
-    )
+    out = settle(judged, {"_compiled": compiled})
+    out = settle(out, {"_votes": votes})
+    out = settle(out, {"kept_cases": kept_cases})
+    out = settle(out, {"rated_verifiers": rated, "_n": F.size("kept_cases")})
+    # passed / n >= 0.8 in whole numbers
+    good = F.filter("rated_verifiers", lambda v: v["passed"] * 5 >= F.col("_n") * 4)
+    out = settle(out, {"kept_verifiers": good})
     zero = F.lit(0)
     some_compiled = F.size("_compiled") > 0
     some_parsed = some_compiled & (F.size("cases") > 0)
@@ -95,9 +91,7 @@ def weigh(judged: DataFrame) -> DataFrame:
         "total_passes": F.when(some_kept, passes).otherwise(zero),
         "unique_instances": kept.cast("int"),
     }
-    return (
-        out.withColumns(steps).withColumn("kept", kept).drop("_compiled", "_votes", "_n")
-    )
+    return settle(out, {**steps, "kept": kept}).drop("_compiled", "_votes", "_n")
 
 
 def filtered_instances(weighed: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prefmill.functions.chat import training_prompt
+from prefmill.functions.derive import settle
 
 
 def relabel(
@@ -17,12 +18,11 @@ def relabel(
         below = s["score"] < rejected_threshold
         return below | (s["score"] == 0) if rejected_threshold == 0 else below
 
-    return scored.withColumns(
-        {
-            "chosen": F.filter("scores", lambda s: s["score"] >= chosen_threshold)["completion"],
-            "rejected": F.filter("scores", is_rejected)["completion"],
-        }
-    )
+    labels = {
+        "chosen": F.filter("scores", lambda s: s["score"] >= chosen_threshold)["completion"],
+        "rejected": F.filter("scores", is_rejected)["completion"],
+    }
+    return settle(scored.drop("chosen", "rejected"), labels)
 
 
 def zip_cyclic(chosen: Column, rejected: Column, max_loop: int | None = None) -> Column:
@@ -51,11 +51,8 @@ def preference_pairs(
 ) -> DataFrame:
     """(instance_id, pair_idx, prompt, chosen, rejected), one row per pair."""
     labelled = relabel(scored, chosen_threshold, rejected_threshold)
-    paired = labelled.select(
-        "instance_id",
-        training_prompt(F.col("query"), F.col("instruction")).alias("prompt"),
-        zip_cyclic(F.col("chosen"), F.col("rejected"), max_loop).alias("pairs"),
-    )
-    return paired.select(
-        "instance_id", "prompt", F.posexplode("pairs").alias("pair_idx", "pair")
+    pairs = zip_cyclic(F.col("chosen"), F.col("rejected"), max_loop)
+    return labelled.select(
+        "instance_id", training_prompt(F.col("query"), F.col("instruction")).alias("prompt"),
+        F.posexplode(pairs).alias("pair_idx", "pair"),
     ).select("instance_id", "pair_idx", "prompt", "pair.chosen", "pair.rejected")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from prefmill.functions.derive import settle
 from prefmill.functions.keys import dense_index, md5_int, row_count
 
 
@@ -21,9 +22,8 @@ def draw_with_replacement(
     """
     if isinstance(draws, int):
         draws = items.sparkSession.range(draws).withColumnRenamed("id", out_key)
-    asked = draws.select(
-        out_key, F.pmod(md5_int(seed, F.col(out_key)), row_count(items)).alias("_idx")
-    )
+    at = F.pmod(md5_int(seed, F.col(out_key)), row_count(items))
+    asked = settle(draws.select(out_key), {"_idx": at})
     return asked.join(dense_index(items, key, seed, out="_idx"), "_idx").drop("_idx")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from prefmill.functions.derive import settle
 from prefmill.operators.verification import TRUTHY, Budget, run_verifiers
 
 
@@ -53,17 +54,16 @@ def score(judged: DataFrame) -> DataFrame:
             .alias("score"),
         ),
     )
-    return (
-        judged.withColumn("rates", rates)
-        .withColumn("_zipped", zipped)
-        .withColumn("chosen", F.filter("_zipped", lambda z: z["score"] >= 0.5)["completion"])
-        .withColumn("rejected", F.filter("_zipped", lambda z: z["score"] == 0)["completion"])
-        # Most instances hold no repeated text; only those that do pay the lookup.
-        .withColumn(
-            "scores",
-            F.when(F.size(texts) == F.size("completions"), F.col("_zipped")).otherwise(last_rate),
-        )
-        .drop("_zipped")
+    out = settle(judged, {"rates": rates})
+    # Most instances hold no repeated text; only those that do pay the lookup.
+    scores = F.when(F.size(texts) == F.size("completions"), zipped).otherwise(last_rate)
+    return settle(
+        out,
+        {
+            "chosen": F.filter(zipped, lambda z: z["score"] >= 0.5)["completion"],
+            "rejected": F.filter(zipped, lambda z: z["score"] == 0)["completion"],
+            "scores": scores,
+        },
     )
 
 

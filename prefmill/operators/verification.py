@@ -7,6 +7,7 @@ functions. The only data that crosses into Python are the two input arrays.
 
 from __future__ import annotations
 
+import fcntl
 import marshal
 import os
 import select
@@ -27,6 +28,7 @@ from prefmill.operators import verifier_child as child
 
 EQ_TRUE, EQ_FALSE, TRUTHY = child.EQ_TRUE, child.EQ_FALSE, child.TRUTHY
 ERROR, TIMEOUT = child.ERROR, child.TIMEOUT
+PIPE_BYTES = 1 << 20
 
 VERDICTS = T.StructType(
     [
@@ -86,10 +88,15 @@ class VerifierProcess:
         }
         self._process = subprocess.Popen(
             [sys.executable, "-S", "-c",
-             "from prefmill.operators.verifier_child import main; main()"],
+             "import sys; from prefmill.operators.verifier_child import main; main(int(sys.argv[1]))",
+             str(self._budget.memory_bytes)],
             stdin=subprocess.PIPE, stdout=subprocess.PIPE, stderr=subprocess.DEVNULL,
             bufsize=0, env=env, cwd="/", start_new_session=True,
         )
+        try:
+            fcntl.fcntl(self._process.stdin, fcntl.F_SETPIPE_SZ, PIPE_BYTES)
+        except OSError:
+            pass  # over the system's limit: long texts take more switches
         self._poll = select.poll()
         self._poll.register(self._process.stdout, select.POLLIN)
 
@@ -140,31 +147,31 @@ class VerifierProcess:
         def unfinished() -> bool:
             return call >= 0 or len(matrix) < len(sources)
 
+        careful = False
         while unfinished():
             verifier = len(matrix) if call < 0 else len(matrix) - 1
-            self._send((sources, inputs, verifier, call, limit, self._budget.memory_bytes))
+            self._send((sources, inputs, verifier, call, limit, careful))
             allowed = limit + 5  # the first reply also waits for the start of the process
-            ended = False
-            while not ended:
+            ended = timed_out = False
+            while not ended and not timed_out:
                 reply = self._receive(allowed)
-                allowed = limit
-                if reply is None:
-                    self.close()
-                    if not self._budget.timeout_as_false:
-                        return {"timed_out": True, "matrix": None}
-                    call = self._advance(matrix, inputs, call, TIMEOUT)
-                    break
-                if not reply:
-                    self.close()
-                    ended = True
-                for code in reply:
+                allowed = limit + child.FLUSH_SECONDS
+                timed_out, ended = reply is None, reply == b""
+                for code in reply or b"":
                     if code == child.DONE:
                         ended = True
                     else:
                         call = self._advance(matrix, inputs, call, code)
-            if ended and unfinished():
-                # The fork died early: the step it was in counts as an error.
-                call = self._advance(matrix, inputs, call, ERROR)
+                if not reply:
+                    self.close()
+            if timed_out and not self._budget.timeout_as_false:
+                return {"timed_out": True, "matrix": None}
+            if unfinished():
+                # Stopped early. Replies may still have been held back then, so the
+                # step at fault is only known in careful mode: go on in that mode.
+                if careful:
+                    call = self._advance(matrix, inputs, call, TIMEOUT if timed_out else ERROR)
+                careful = True
         return {"timed_out": False, "matrix": matrix}
 
     @staticmethod

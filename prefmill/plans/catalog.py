@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prefmill.functions import chat
+from prefmill.functions.derive import settle
 from prefmill.functions.keys import dense_index, md5_int, row_count
 from prefmill.functions.text import cut_at_stops, not_empty, strip
 from prefmill.functions.tokens import split_tokens
@@ -23,7 +24,7 @@ from prefmill.operators.sampling import (
 from prefmill.operators.verification import verdict_rows
 from prefmill.plans import fixtures
 from prefmill.plans.fixtures import completed_instances, instances, table
-from prefmill.session import scratch_path
+from prefmill.session import materialise, scratch_path
 from prefmill.sources import dialogues, jsonl
 
 BATCH_SIZE = 8
@@ -144,7 +145,7 @@ def replayed_generations(spark: SparkSession, sf: str) -> DataFrame:
     )
     distinct = expand_samples(prompts.select(F.md5("prompt").alias("prompt_md5")).distinct(), SAMPLES)
     at = F.pmod(md5_int("replay", F.col("prompt_md5"), F.col("sample_idx")), row_count(texts))
-    recorded = distinct.withColumn("idx", at).join(
+    recorded = settle(distinct, {"idx": at}).join(
         dense_index(texts, "item_id", "replay", out="idx"), "idx"
     ).select("prompt_md5", "sample_idx", "text")
     found = replay(expand_samples(prompts, SAMPLES), recorded, spread="prompt_id")
@@ -166,7 +167,7 @@ def parsed_test_cases(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def judged(spark: SparkSession, sf: str) -> DataFrame:
-    return filtering.judge_test_cases(instances(spark, sf), allow_execution=True)
+    return filtering.judge_test_cases(instances(spark, sf, spread=True), allow_execution=True)
 
 
 def weighed(spark: SparkSession, sf: str) -> DataFrame:
@@ -303,8 +304,9 @@ def token_views(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def padded_batches(spark: SparkSession, sf: str) -> DataFrame:
-    views = batching.token_views(pairs(spark, sf))
-    padded = batching.pad_batches(batching.shuffled_batches(views, BATCH_SIZE))
+    written = materialise(pairs(spark, sf), "pairs")
+    batched = batching.shuffled_batches(written, BATCH_SIZE)
+    padded = batching.pad_batches(batching.token_views(batched))
     return padded.select(
         "instance_id", "pair_idx", "batch_id", "batch_pos",
         *[F.md5(joined(f"input_ids_{v}")).alias(f"ids_md5_{v}") for v in batching.VIEWS],
@@ -337,23 +339,23 @@ def dpo_metrics_nll(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def shift_scores(spark: SparkSession, sf: str) -> DataFrame:
-    """Every turn as a one-message chat, with hashed stand-in log-probabilities."""
-    turns = table(spark, sf, "conversations")
+    """Every turn as a one-message chat, with made-up log-probabilities per position."""
+    turns = fixtures.spread_scan(table(spark, sf, "conversations"))
     text = chat.render_chat(F.array(F.struct("role", F.col("text").alias("content"))))
     marked = F.transform(
         split_tokens(text),
         lambda t, i: F.when((i % 2 == 0) & ~t.startswith("<|"), F.concat(F.lit("Ġ"), t)).otherwise(t),
     )
 
-    def lp(model: str) -> Column:
+    def lp(step: int) -> Column:
         return F.transform(
             F.sequence(F.lit(0), F.size("tokens") - 2),
-            lambda i: -F.pmod(md5_int(model, F.col("conv_id"), F.col("turn"), i), F.lit(3000))
+            lambda i: -F.pmod(F.col("conv_id") * 31 + F.col("turn") * 17 + i * step, F.lit(3000))
             / F.lit(1000.0),
         )
 
     rows = turns.select("conv_id", "turn", marked.alias("tokens"))
-    return shift.token_shift_scores(rows.withColumns({"model_lp": lp("m"), "ref_lp": lp("r")}))
+    return shift.token_shift_scores(rows.withColumns({"model_lp": lp(7919), "ref_lp": lp(104729)}))
 
 
 def token_shift_scores(spark: SparkSession, sf: str) -> DataFrame:

@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from prefmill.functions.derive import settle
 from prefmill.functions.keys import dense_index, md5_int, row_count
 from prefmill.operators.sampling import collect_samples, expand_samples
 from prefmill.sources.dialogues import opening_turns
@@ -155,42 +156,64 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _by_template(template: Column, values: list[Column]) -> Column:
-    return F.get(F.array(*values), template)
+def spread_scan(scan: DataFrame) -> DataFrame:
+    """A scan with at least one split per core, for CPU-heavy work on its rows.
+
+    A small or unsplittable file would keep one core busy. A large table has more
+    splits than cores and is left as it is.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
+def templates(spark: SparkSession) -> DataFrame:
+    """The templates as a table: a fixed handful of rows, to be broadcast."""
+    rows = [
+        (
+            i, t.instruction, [v.source for v in t.verifiers],
+            case_line(t.good, True), case_line(t.bad, False),
+        )
+        for i, t in enumerate(TEMPLATES)
+    ]
+    schema = "template INT, instruction STRING, verifiers ARRAY<STRING>, good STRING, bad STRING"
+    return F.broadcast(spark.createDataFrame(rows, schema))
 
 
-def instances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(instance_id, query, instruction, verifiers, testcases), one per conversation."""
+def instances(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
+    """(instance_id, query, instruction, verifiers, testcases), one per conversation.
+
+    ``spread`` is for CPU-bound work on the rows, such as running verifiers: partitions
+    sized by bytes are too few for it. Only the openers move for that; the wide columns
+    are added behind the exchange. It hashes the hashed id, because hashing the id again
+    would be taken for the partitioning that is already there.
+    """
     opened = opening_turns(table(spark, sf_dir, "conversations")).select(
         F.col("conv_id").alias("instance_id"), F.col("text").alias("query"),
         F.pmod("conv_id", F.lit(len(TEMPLATES))).cast("int").alias("template"),
     )
-    template = F.col("template")
+    if spread:
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        opened = opened.repartition(parts, F.xxhash64("instance_id"))
+    opened = opened.join(templates(spark), "template")
 
     def own_case(result: bool) -> Column:
         return F.to_json(
             F.struct(F.col("query").alias("response"), F.lit(result).alias("result"))
         )
 
-    def blocks(t: FixtureTemplate) -> Column:
-        good, bad = case_line(t.good, True), case_line(t.bad, False)
-        return F.array(
-            F.lit(f"{good}\n{bad}"),
-            F.concat(own_case(True), F.lit("\r\nthis line is no JSON")),
-            F.lit('{"response": 7, "result": true}\n{"response": "x", "result": 1}\n\n' + good),
-            F.concat(own_case(False), F.lit('\u2028["response", "result"]')),
-        )
-
-    testcases = F.when(
-        F.pmod("instance_id", F.lit(10)) == 7, F.array(*[F.lit(b) for b in BAD_BLOCKS])
-    ).otherwise(_by_template(template, [blocks(t) for t in TEMPLATES]))
+    blocks = F.array(
+        F.concat_ws("\n", "good", "bad"),
+        F.concat(own_case(True), F.lit("\r\nthis line is no JSON")),
+        F.concat(
+            F.lit('{"response": 7, "result": true}\n{"response": "x", "result": 1}\n\n'),
+            F.col("good"),
+        ),
+        F.concat(own_case(False), F.lit('\u2028["response", "result"]')),
+    )
+    malformed = F.pmod("instance_id", F.lit(10)) == 7
+    testcases = F.when(malformed, F.array(*[F.lit(b) for b in BAD_BLOCKS])).otherwise(blocks)
     return opened.select(
-        "instance_id", "query",
-        _by_template(template, [F.lit(t.instruction) for t in TEMPLATES]).alias("instruction"),
-        _by_template(
-            template, [F.array(*[F.lit(v.source) for v in t.verifiers]) for t in TEMPLATES]
-        ).alias("verifiers"),
-        testcases.alias("testcases"),
+        "instance_id", "query", "instruction", "verifiers", testcases.alias("testcases")
     )
 
 
@@ -207,7 +230,7 @@ def drawn_completions(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = F.when(repeat, 0).otherwise(F.col("slot"))
     at = F.pmod(md5_int("completions", F.col("instance_id"), source), row_count(documents))
     index = dense_index(documents.select("doc_id"), "doc_id", "docs")
-    chosen = drawn.withColumn("idx", at).join(index, "idx").drop("idx")
+    chosen = settle(drawn, {"idx": at}).join(index, "idx").drop("idx")
     texts = chosen.join(documents.select("doc_id", "text"), "doc_id")
     return collect_samples(texts, "instance_id", "text", "slot", "completions")
 

@@ -231,19 +231,49 @@ CTES["pairs"] = _pairs("score_map")
 CTES["kept_pairs"] = _pairs("kept_score_map")
 
 
-def _ids(text: str) -> str:
+def _crc_entry(value: int) -> int:
+    for _ in range(8):
+        value = value >> 1 ^ (0xEDB88320 if value & 1 else 0)
+    return value
+
+
+def _crc32(text: str) -> str:
+    """CRC-32 of a string's UTF-8 bytes, spelled out over a table made by its rule."""
+    entries = ", ".join(f"{_crc_entry(i)}" for i in range(256))
+    code = f"hex(encode({text}))"
+    byte = f"('0x' || substr({code}, 2 * i + 1, 2))::BIGINT"
     return (
-        f"list_transform(regexp_extract_all({text}, '{TOKEN_PATTERN}'), "
-        f"lambda t: {h('t')} % {HASHED_VOCABULARY})"
+        f"xor(list_reduce(list_transform(range(length({code}) // 2), lambda i: {byte}), "
+        f"lambda crc, b: xor(crc >> 8, ([{entries}]::BIGINT[])[(xor(crc, b) & 255) + 1]), "
+        "4294967295::BIGINT), 4294967295)"
     )
 
 
-CTES["views"] = f"""
-  SELECT instance_id, pair_idx,
-         {_ids(rendered(turn("user", "prompt"), turn("assistant", "chosen")))} AS chosen,
-         {_ids(rendered(turn("user", "prompt"), turn("assistant", "rejected")))} AS rejected,
-         {_ids(rendered(turn("user", "prompt"), reply=True))} AS context
-  FROM pairs"""
+def _tokens(text: str, view: str) -> str:
+    return f"""SELECT instance_id, pair_idx, '{view}' AS view,
+         regexp_extract_all({text}, '{TOKEN_PATTERN}') AS tokens FROM pairs"""
+
+
+CTES["view_tokens"] = "\n  UNION ALL ".join(
+    (
+        _tokens(rendered(turn("user", "prompt"), turn("assistant", "chosen")), "chosen"),
+        _tokens(rendered(turn("user", "prompt"), turn("assistant", "rejected")), "rejected"),
+        _tokens(rendered(turn("user", "prompt"), reply=True), "context"),
+    )
+)
+
+CTES["view_rows"] = """
+  SELECT instance_id, pair_idx, view, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS pos
+  FROM view_tokens"""
+
+CTES["vocabulary"] = f"""
+  SELECT token, {_crc32("token")} % {HASHED_VOCABULARY} AS id FROM (SELECT DISTINCT token FROM view_rows)"""
+
+CTES["views"] = """
+  SELECT instance_id, pair_idx, list(id ORDER BY pos) FILTER (view = 'chosen') AS chosen,
+         list(id ORDER BY pos) FILTER (view = 'rejected') AS rejected,
+         list(id ORDER BY pos) FILTER (view = 'context') AS context
+  FROM view_rows JOIN vocabulary USING (token) GROUP BY instance_id, pair_idx"""
 
 CTES["batched"] = f"""
   SELECT *, idx // {BATCH_SIZE} AS batch_id, (idx % {BATCH_SIZE})::INT AS batch_pos
@@ -288,8 +318,8 @@ _TURN = (
 CTES["shift"] = f"""
   SELECT conv_id, turn, pos, token,
          CASE WHEN pos < 5 THEN 0.0::DOUBLE ELSE greatest(-1, least(1,
-            -({h("'m'", "conv_id", "turn", "pos - 1")} % 3000) / 1000::DOUBLE
-            + ({h("'r'", "conv_id", "turn", "pos - 1")} % 3000) / 1000::DOUBLE)) END AS score
+            -((conv_id * 31 + turn * 17 + (pos - 1) * 7919) % 3000) / 1000::DOUBLE
+            + ((conv_id * 31 + turn * 17 + (pos - 1) * 104729) % 3000) / 1000::DOUBLE)) END AS score
   FROM (SELECT conv_id, turn, unnest(t) AS token, generate_subscripts(t, 1) - 1 AS pos
         FROM (SELECT conv_id, turn, regexp_extract_all({_TURN}, '{TOKEN_PATTERN}') AS t FROM conversations))"""
 
@@ -538,14 +568,14 @@ FROM (SELECT instance_id,
         "SELECT instance_id, pair_idx, prompt, chosen, rejected FROM kept_pairs",
     ),
     "token_views": (
-        f"{_PAIR_CTES} views",
+        f"{_PAIR_CTES} view_tokens view_rows vocabulary views",
         "SELECT instance_id, pair_idx, "
         + _view_columns(lambda v: f"{_md5(v)} AS ids_md5_{v}") + ", "
         + _view_columns(lambda v: f"len({v})::INT AS len_{v}")
         + ", (len(chosen) - len(context))::INT AS completion_len_chosen FROM views",
     ),
     "padded_batches": (
-        f"{_PAIR_CTES} views batched longest",
+        f"{_PAIR_CTES} view_tokens view_rows vocabulary views batched longest",
         f"SELECT instance_id, pair_idx, batch_id, batch_pos, {_PAD_IDS}, {_PAD_MASKS}, "
         + _view_columns(lambda v: f"max_{v}::INT AS padded_{v}") + " FROM longest",
     ),

@@ -146,8 +146,9 @@ def training_batches(
     chosen_threshold: float = 0.5, rejected_threshold: float = 0.0, max_loop: int | None = None,
     seed: int = 42, epoch: int = 0,
 ) -> DataFrame:
-    """Pairs, tokens, shuffled batches, padding."""
-    pairs = preference_pairs(scored, chosen_threshold, rejected_threshold, max_loop)
-    return pad_batches(
-        shuffled_batches(token_views(pairs, tokenizer), batch_size, seed=seed, epoch=epoch), pad_id
+    """Pairs, shuffled into batches, tokenized, and padded."""
+    pairs = materialise(
+        preference_pairs(scored, chosen_threshold, rejected_threshold, max_loop), "pairs"
     )
+    batched = shuffled_batches(pairs, batch_size, seed=seed, epoch=epoch)
+    return pad_batches(token_views(batched, tokenizer), pad_id)
