@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from prefmill.functions.derive import settle
+
 # The blank and line-break letters of byte-level vocabularies, and the
 # marker that ends a chat header.
 BLANK_LETTERS = "ĠĊ"
@@ -34,18 +36,14 @@ def token_shift_scores(
     clipped = F.zip_with(
         model, reference, lambda m, r: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), m - r))
     )
-    return (
-        rows.withColumn(tokens, clean_tokens(F.col(tokens)))
-        .withColumn("_start", last_index(F.col(tokens), HEADER_END) + 2)
-        .withColumn(
-            "scores",
-            F.transform(
-                F.concat(F.array(F.lit(0.0)), clipped),
-                lambda s, i: F.when(i < F.col("_start"), F.lit(0.0)).otherwise(s),
-            ),
-        )
-        .drop("_start", model, reference)
+    cleaned = rows.withColumn(tokens, clean_tokens(F.col(tokens)))
+    # Settled: merged into the transform, the search would run once per token.
+    started = settle(cleaned, {"_start": last_index(F.col(tokens), HEADER_END) + 2})
+    scores = F.transform(
+        F.concat(F.array(F.lit(0.0)), clipped),
+        lambda s, i: F.when(i < F.col("_start"), F.lit(0.0)).otherwise(s),
     )
+    return started.withColumn("scores", scores).drop("_start", model, reference)
 
 
 def token_shift_table(scored: DataFrame, keys: list[str], tokens: str = "tokens") -> DataFrame:

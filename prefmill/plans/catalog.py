@@ -310,7 +310,8 @@ def padded_batches(spark: SparkSession, sf: str) -> DataFrame:
     return padded.select(
         "instance_id", "pair_idx", "batch_id", "batch_pos",
         *[F.md5(joined(f"input_ids_{v}")).alias(f"ids_md5_{v}") for v in batching.VIEWS],
-        *[F.md5(joined(f"attention_mask_{v}")).alias(f"mask_md5_{v}") for v in batching.VIEWS],
+        *[F.array_position(f"attention_mask_{v}", 1).alias(f"starts_{v}") for v in batching.VIEWS],
+        *[metrics.mask_sum(F.col(f"attention_mask_{v}")).alias(f"len_{v}") for v in batching.VIEWS],
         *[F.size(f"input_ids_{v}").alias(f"padded_{v}") for v in batching.VIEWS],
     )
 
@@ -343,7 +344,7 @@ def shift_scores(spark: SparkSession, sf: str) -> DataFrame:
     turns = fixtures.spread_scan(table(spark, sf, "conversations"))
     text = chat.render_chat(F.array(F.struct("role", F.col("text").alias("content"))))
     marked = F.transform(
-        split_tokens(text),
+        split_tokens(F.col("text")),
         lambda t, i: F.when((i % 2 == 0) & ~t.startswith("<|"), F.concat(F.lit("Ġ"), t)).otherwise(t),
     )
 
@@ -354,7 +355,7 @@ def shift_scores(spark: SparkSession, sf: str) -> DataFrame:
             / F.lit(1000.0),
         )
 
-    rows = turns.select("conv_id", "turn", marked.alias("tokens"))
+    rows = settle(turns.select("conv_id", "turn", text.alias("text")), {"tokens": marked}).drop("text")
     return shift.token_shift_scores(rows.withColumns({"model_lp": lp(7919), "ref_lp": lp(104729)}))
 
 

@@ -20,7 +20,15 @@ from prefmill.operators.sampling import collect_samples, expand_samples
 from prefmill.sources.dialogues import opening_turns
 
 NUM_COMPLETIONS = 8
-TABLES = ("conversations", "documents", "benchmark", "embeddings", "labels", "pages")
+# Columns of the given tables. Reading with a schema saves a job per scan.
+SCHEMAS = {
+    "conversations": "conv_id BIGINT, turn BIGINT, role STRING, text STRING",
+    "documents": "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT",
+    "benchmark": "item_id BIGINT, text STRING",
+    "embeddings": "vec_id BIGINT, embedding ARRAY<FLOAT>, label INT",
+    "labels": "doc_id BIGINT, quality INT, toxic INT",
+    "pages": "page_id BIGINT, url STRING, html STRING",
+}
 
 
 def boolean(test: str) -> str:
@@ -153,7 +161,7 @@ def case_line(response: str, result: bool) -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def spread_scan(scan: DataFrame) -> DataFrame:

@@ -343,7 +343,7 @@ def _pad(view: str, value: str) -> str:
 
 _PAD_IDS = _view_columns(lambda v: f"{_md5(_pad(v, v))} AS ids_md5_{v}")
 _PAD_MASKS = _view_columns(
-    lambda v: f"{_md5(_pad(v, f'list_transform({v}, lambda t: 1)'))} AS mask_md5_{v}"
+    lambda v: f"max_{v} - len({v}) + 1 AS starts_{v}, len({v})::INT AS len_{v}"
 )
 
 _STOP_CUT = (
