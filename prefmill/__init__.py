@@ -1,5 +1 @@
-"""Preference-data engine on Spark DataFrames.
-
-Kept free of imports: the verifier child process loads this package too and
-must start fast.
-"""
+"""Preference-data engine on Spark DataFrames."""

@@ -10,6 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from prefmill import shipping  # noqa: F401
+
 # Characters that end a line for str.splitlines, and the extra
 # control characters that str.strip counts as blank.
 LINE_BREAKS = "\r\n|[\n\x0b\x0c\r\x1c\x1d\x1e\x85\u2028\u2029]"

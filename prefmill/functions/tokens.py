@@ -9,6 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from prefmill import shipping  # noqa: F401
+
 # A chat marker, or a run without blanks that stops before a marker.
 TOKEN_PATTERN = r"<\|[a-z_]+\|>|[^\s<]+|<"
 HASHED_VOCABULARY = 32_000

@@ -1 +1 @@
-"""DataFrame operators. Free of imports: see the package docstring."""
+"""DataFrame operators."""

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from prefmill import shipping  # noqa: F401
 from prefmill.operators.lookup import skew_safe_join
 
 Request = tuple[object, int, str]  # key, sample index, prompt

@@ -8,6 +8,7 @@ functions. The only data that crosses into Python are the two input arrays.
 from __future__ import annotations
 
 import fcntl
+import inspect
 import marshal
 import os
 import select
@@ -24,11 +25,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from prefmill import shipping  # noqa: F401
 from prefmill.operators import verifier_child as child
 
 EQ_TRUE, EQ_FALSE, TRUTHY = child.EQ_TRUE, child.EQ_FALSE, child.TRUTHY
 ERROR, TIMEOUT = child.ERROR, child.TIMEOUT
 PIPE_BYTES = 1 << 20
+# The child runs from its source text, so that it needs no package on the executor.
+CHILD_SOURCE = inspect.getsource(child)
 
 VERDICTS = T.StructType(
     [
@@ -87,9 +91,7 @@ class VerifierProcess:
             "LC_ALL": "C.UTF-8",
         }
         self._process = subprocess.Popen(
-            [sys.executable, "-S", "-c",
-             "import sys; from prefmill.operators.verifier_child import main; main(int(sys.argv[1]))",
-             str(self._budget.memory_bytes)],
+            [sys.executable, "-S", "-c", CHILD_SOURCE, str(self._budget.memory_bytes)],
             stdin=subprocess.PIPE, stdout=subprocess.PIPE, stderr=subprocess.DEVNULL,
             bufsize=0, env=env, cwd="/", start_new_session=True,
         )

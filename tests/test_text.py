@@ -1,0 +1,108 @@
+import json
+import random
+import re
+
+from pyspark.sql import functions as F
+
+from prefmill.functions import text
+
+
+def column(spark, values, expression, schema="x string"):
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], f"i int, {schema}")
+    found = rows.select("i", expression(F.col("x")).alias("y")).collect()
+    return [r["y"] for r in sorted(found, key=lambda r: r["i"])]
+
+
+def test_first_turn_is_the_second_piece(spark):
+    dialogues = [
+        "\n\nHuman: one\n\nAssistant: two\n\nHuman: three",
+        "\n\nHuman: only",
+        "\n\nHuman: a\n\nHuman: b",
+        "lead\n\nAssistant: x\n\nHuman: y",
+        "\n\nHuman: \n\nAssistant: z",
+        "\n\n\nHuman: tail\n\n\nAssistant: z",
+    ]
+    expected = [re.split("\n\nHuman: |\n\nAssistant: ", d, maxsplit=2)[1] for d in dialogues]
+    assert column(spark, dialogues, text.first_turn) == expected
+    assert column(spark, ["no marker", ""], text.first_turn) == [None, None]
+
+
+def test_first_message(spark):
+    messages = [[("human", "hi"), ("gpt", "x")], [], None, [("system", "")], [("system", None)]]
+    schema = "x array<struct<`from`:string,value:string>>"
+    assert column(spark, messages, text.first_message, schema) == ["hi", "", "", "", ""]
+
+
+def test_length_counts_code_points_and_includes_both_ends(spark):
+    values = ["a" * 4, "a" * 5, "a" * 200, "a" * 201, "😀" * 5, "😀" * 4, "😀" * 200]
+    expected = [5 <= len(v) <= 200 for v in values]
+    assert column(spark, values, text.length_in_range) == expected
+
+
+def test_strip_matches_python_for_every_blank(spark):
+    points = [chr(c) for c in range(0x3100) if not 0xD800 <= c <= 0xDFFF]
+    values = [f"{c}a{c} b{c}" for c in points]
+    assert column(spark, values, text.strip) == [v.strip() for v in values]
+    assert column(spark, ["   ", ""], text.strip) == ["", ""]
+
+
+def test_cut_at_stops(spark):
+    def python(value, stops):
+        for stop in stops:
+            if stop in value:
+                value = value[: value.index(stop)]
+        return value
+
+    values = ["a\nb", "a<|x|>b\nc", "", "none", "\n", "b|b\n|"]
+    for stops in (["\n"], ["\n", "<|x|>"], ["|", "b"], [""]):
+        got = column(spark, values, lambda c, s=stops: text.cut_at_stops(c, s))
+        assert got == [python(v, stops) for v in values]
+
+
+def test_split_lines_matches_python(spark):
+    seps = ["\n", "\r\n", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x85", "\u2028",
+            "\u2029", "\x1f", " ", "\t", "a", "b"]
+    rng = random.Random(1)
+    blocks = [["".join(rng.choice(seps) for _ in range(rng.randrange(12))) for _ in range(3)]
+              for _ in range(200)]
+    got = column(spark, blocks, text.split_test_lines, "x array<string>")
+    for lines, group in zip(got, blocks):
+        expected = [line for block in group for line in block.splitlines()]
+        # a trailing break leaves one more empty piece, which is no test case either way
+        assert [x for x in lines if x] == [x for x in expected if x]
+
+
+def python_cases(blocks):
+    found = []
+    for block in blocks:
+        for line in block.splitlines():
+            try:
+                case = json.loads(line)
+                if isinstance(case["response"], str) and isinstance(case["result"], bool):
+                    found.append((case["response"], case["result"]))
+            except Exception:
+                pass
+    return found
+
+
+def test_parse_is_strict_about_types(spark):
+    good = '{"response": "ok", "result": true}'
+    blocks = [
+        good, '{"response": 7, "result": true}', '{"response": "x", "result": 1}',
+        '{"response": "x", "result": "true"}', '{"response": null, "result": true}',
+        '{"response": "x"}', '["response", "result"]', '"response result"', good + " tail",
+        "{'response': 'x', 'result': true}", "", "7", "null",
+        '{"response": "a", "response": "b", "result": false}',
+        '{"response": "nan", "result": true, "extra": NaN}',
+        f"{good}\r\n{good}\u2028" + '{"response": "", "result": false}',
+        '{"response": "caf\\u00e9 😀", "result": false, "more": [1, {"a": 2}]}',
+    ]
+    got = column(spark, [blocks], text.parse_test_cases, "x array<string>")[0]
+    assert [tuple(c) for c in got] == python_cases(blocks)
+    assert len(got) == 7
+
+
+def test_parse_drops_lone_surrogates_and_keeps_null(spark):
+    got = column(spark, [['{"response": "\\ud800", "result": true}'], None, []],
+                 text.parse_test_cases, "x array<string>")
+    assert got == [[], None, []]
