@@ -24,14 +24,15 @@ def md5_int(*parts) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
 
 
-def dense_index(df: DataFrame, key: str, seed, out: str = "idx", bits: int = 12) -> DataFrame:
+def dense_index(df: DataFrame, key: str, seed, out: str = "idx", bits: int = 16) -> DataFrame:
     """Number the rows 0..n-1 in order of ``md5_int(seed, key)``; ``key`` must be unique.
 
     A global ``row_number`` would sort everything in one task. Here the top ``bits``
     of the hash name a range bucket, rows are ranked inside their bucket, and the
     bucket's offset is added. The hash of a unique key spreads evenly, so no bucket
     runs hot whatever the data. Only the offsets are broadcast: at most ``2**bits``
-    rows, however large the input.
+    rows, however large the input. ``bits`` also bounds the number of tasks that rank.
+    ``df`` is read twice, so pass a table or something cheap to recompute.
     """
     if not 1 <= bits <= 20:
         raise ValueError("bits must lie in 1..20, which bounds the broadcast offsets")

@@ -15,7 +15,7 @@ VIEWS = ("chosen", "rejected", "context")
 
 def shuffled_batches(
     rows: DataFrame, batch_size: int, key: tuple[str, ...] = ("instance_id", "pair_idx"),
-    seed=42, epoch: int = 0, bits: int = 12,
+    seed=42, epoch: int = 0, bits: int = 16,
 ) -> DataFrame:
     """Add ``batch_id`` and ``batch_pos``: a random order per (seed, epoch), cut in batches.
 

@@ -5,24 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from prefmill.functions.keys import row_count
+
+
+MAX_HOT_KEYS = 10_000
+
 
 def skew_safe_join(
     rows: DataFrame, table: DataFrame, keys: list[str], spread: str,
-    hot_rows: int = 1_000_000, per_task: int = 250_000, how: str = "inner",
+    hot_rows: int = 1_000_000, how: str = "inner",
 ) -> DataFrame:
     """Join ``rows`` to ``table`` (unique on ``keys``), salting only hot keys.
 
-    Keys with more than ``hot_rows`` rows are counted first; there are at most
-    ``rows / hot_rows`` of them, and only these keys are broadcast. Their rows are
-    spread by a hash of the column ``spread`` over enough salts to give about
-    ``per_task`` rows each, and their table entry is repeated once per salt. All
-    other keys take salt 0 on both sides, so they shuffle exactly as in a plain join.
+    A key is hot with more than ``hot_rows`` rows and more than 1/10,000 of all rows, so
+    at most 10,000 keys are, whatever the data: only these are broadcast. Their rows are
+    spread by a hash of the column ``spread`` over salts of about a quarter of that
+    threshold each, and their table entry is repeated once per salt. All other keys take
+    salt 0 on both sides and shuffle exactly as in a plain join.
     """
+    threshold = F.greatest(F.lit(hot_rows), (row_count(rows) / MAX_HOT_KEYS).cast("bigint"))
     hot = (
         rows.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("_n"))
-        .filter(F.col("_n") > hot_rows)
-        .select(*keys, F.ceil(F.col("_n") / per_task).cast("int").alias("_salts"))
+        .filter(F.col("_n") > threshold)
+        .select(*keys, F.ceil(F.col("_n") * 4 / threshold).cast("int").alias("_salts"))
     )
     salts = F.coalesce(F.col("_salts"), F.lit(1))
     salted = (

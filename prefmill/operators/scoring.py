@@ -45,26 +45,49 @@ def score(judged: DataFrame) -> DataFrame:
         "completions",
         lambda c, i: F.struct(c.alias("completion"), F.get("rates", i).alias("score")),
     )
-    texts = F.array_distinct("completions")
-    last_rate = F.transform(
-        texts,
-        lambda c: F.struct(
-            c.alias("completion"),
-            F.get(F.reverse("rates"), (F.array_position(F.reverse("completions"), c) - 1).cast("int"))
-            .alias("score"),
+    out = settle(judged, {"rates": rates})
+    out = settle(out, {"_zipped": zipped})
+    # Most instances hold no repeated text; only those that do pay for the sorts.
+    repeats = F.size(F.array_distinct("completions")) < F.size("completions")
+
+    def ordered(position):
+        entries = F.transform(
+            "_zipped",
+            lambda z, i: F.struct(
+                z["completion"].alias("completion"), position(i).alias("at"),
+                z["score"].alias("score"),
+            ),
+        )
+        return F.when(repeats, F.array_sort(entries))
+
+    out = settle(out, {"_early": ordered(lambda i: i), "_late": ordered(lambda i: -i)})
+
+    def heads(name):
+        """First entry of each text in a list sorted by text."""
+        return F.filter(
+            name,
+            lambda e, i: (i == 0) | (F.get(name, i - 1)["completion"] != e["completion"]),
+        )
+
+    by_text = F.zip_with(
+        heads("_early"), heads("_late"),
+        lambda first, last: F.struct(
+            first["at"].alias("at"), first["completion"].alias("completion"),
+            last["score"].alias("score"),
         ),
     )
-    out = settle(judged, {"rates": rates})
-    # Most instances hold no repeated text; only those that do pay the lookup.
-    scores = F.when(F.size(texts) == F.size("completions"), zipped).otherwise(last_rate)
+    by_first = F.transform(
+        F.array_sort(by_text),
+        lambda e: F.struct(e["completion"].alias("completion"), e["score"].alias("score")),
+    )
     return settle(
         out,
         {
-            "chosen": F.filter(zipped, lambda z: z["score"] >= 0.5)["completion"],
-            "rejected": F.filter(zipped, lambda z: z["score"] == 0)["completion"],
-            "scores": scores,
+            "chosen": F.filter("_zipped", lambda z: z["score"] >= 0.5)["completion"],
+            "rejected": F.filter("_zipped", lambda z: z["score"] == 0)["completion"],
+            "scores": F.when(repeats, by_first).otherwise(F.col("_zipped")),
         },
-    )
+    ).drop("_zipped", "_early", "_late")
 
 
 def scored_rows(scored: DataFrame) -> DataFrame:

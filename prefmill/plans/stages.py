@@ -2,11 +2,12 @@
 
 Stages hand on Parquet or JSON lines (``prefmill.sources.jsonl``). Filtering and
 scoring are row-local: they run without a shuffle on whatever partitions they get.
+Generating stages are lazy; write their result before reading it twice.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from prefmill.functions import chat
@@ -133,12 +134,18 @@ def score_completions(
     completed: DataFrame, budget: Budget = Budget(), allow_execution: bool = False,
     partitions: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """(scored instances, yield report); the verifiers run once."""
+    """(scored instances, yield report); the verifiers run once.
+
+    The inputs are counted on the way: counting ``completed`` by itself could mean
+    generating it again.
+    """
+    inputs = Observation()
+    counted = completed.observe(inputs, F.count(F.lit(1)).alias("n"))
     scored = materialise(
-        scored_rows(score(judge_completions(completed, budget, allow_execution, partitions))),
+        scored_rows(score(judge_completions(counted, budget, allow_execution, partitions))),
         "scored",
     )
-    return scored, yield_report(scored, completed.count())
+    return scored, yield_report(scored, inputs.get["n"])
 
 
 def training_batches(

@@ -82,7 +82,7 @@ def test_skew_safe_join_with_one_hot_key(spark):
             F.concat(F.lit("k"), F.col("id") % 50)).alias("key"))
     keys = rows.select("key").distinct()
     table = keys.select("key", F.concat(F.lit("v-"), "key").alias("value")).filter("key <> 'k7'")
-    got = skew_safe_join(rows, table, ["key"], "id", hot_rows=100, per_task=50)
+    got = skew_safe_join(rows, table, ["key"], "id", hot_rows=100)
     expected = rows.join(table, "key")
     assert sorted(got.select("id", "value").collect()) == sorted(expected.select("id", "value").collect())
     assert got.columns == ["key", "id", "value"]
