@@ -200,7 +200,9 @@ def instances(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFra
         F.pmod("conv_id", F.lit(len(TEMPLATES))).cast("int").alias("template"),
     )
     if spread:
-        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        # The shuffle partitions a cluster is set up with, but no crumbs on a small one.
+        cores = spark.sparkContext.defaultParallelism
+        parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * cores)
         opened = opened.repartition(parts, F.xxhash64("instance_id"))
     opened = opened.join(templates(spark), "template")
 
