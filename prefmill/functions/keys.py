@@ -31,7 +31,7 @@ def dense_index(df: DataFrame, key: str, seed, out: str = "idx", bits: int = 16)
     of the hash name a range bucket, rows are ranked inside their bucket, and the
     bucket's offset is added. The hash of a unique key spreads evenly, so no bucket
     runs hot whatever the data. Only the offsets are broadcast: at most ``2**bits``
-    rows, however large the input. ``bits`` also bounds the number of tasks that rank.
+    rows, however large the input, summed up in one small task. ``bits`` also bounds the number of tasks that rank.
     ``df`` is read twice, so pass a table or something cheap to recompute.
     """
     if not 1 <= bits <= 20:

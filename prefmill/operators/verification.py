@@ -85,13 +85,15 @@ class VerifierProcess:
 
     def _start(self) -> None:
         env = {
-            "PYTHONPATH": os.pathsep.join(p for p in sys.path if p),
             "PYTHONHASHSEED": "0",
             "PATH": os.environ.get("PATH", ""),
             "LC_ALL": "C.UTF-8",
         }
         self._process = subprocess.Popen(
-            [sys.executable, "-S", "-c", CHILD_SOURCE, str(self._budget.memory_bytes)],
+            [
+                sys.executable, "-S", "-c", CHILD_SOURCE,
+                str(self._budget.memory_bytes), *[p for p in sys.path if p],
+            ],
             stdin=subprocess.PIPE, stdout=subprocess.PIPE, stderr=subprocess.DEVNULL,
             bufsize=0, env=env, cwd="/", start_new_session=True,
         )

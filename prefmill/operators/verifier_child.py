@@ -94,9 +94,9 @@ def parse(source):
         return None
 
 
-def load(tree):
-    """The function a verifier defines, from a namespace holding only ``json``."""
-    namespace = {"__name__": "__main__", "json": json}
+def load(tree, namespace):
+    """The function a verifier defines, in a namespace holding only ``json``."""
+    namespace.update(__name__="__main__", json=json)
     exec(compile(tree, "<verifier>", "exec"), namespace)
     return namespace["evaluate"]
 
@@ -139,8 +139,9 @@ class Replies:
 def work(trees, inputs, verifier, call, replies):
     me = os.getpid()
     while verifier < len(trees):
+        namespace = {}
         try:
-            function = load(trees[verifier])
+            function = load(trees[verifier], namespace)
             compiled = True
         except BaseException:
             compiled = False
@@ -155,6 +156,7 @@ def work(trees, inputs, verifier, call, replies):
                 if os.getpid() != me:
                     os._exit(0)
                 replies.add(code)
+        namespace.clear()  # functions point back at it: free it now, not at some collection
         verifier, call = verifier + 1, -1
     replies.flush()
 
@@ -181,7 +183,8 @@ def serve(request, requests, pipe):
     os.waitpid(worker, 0)
 
 
-def main(memory):
+def main(memory, path):
+    sys.path[:] = path  # only now: what this file imports is the standard library's
     requests, replies = os.dup(0), os.dup(1)
     blank = os.open(os.devnull, os.O_RDWR)
     for stream in (0, 1, 2):
@@ -201,4 +204,4 @@ def main(memory):
 
 
 if __name__ == "__main__":
-    main(int(sys.argv[1]))
+    main(int(sys.argv[1]), sys.argv[2:])

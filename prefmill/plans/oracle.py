@@ -392,7 +392,7 @@ WHERE length(query) BETWEEN 5 AND 200""",
     "clean_instructions": (
         "",
         f"""
-SELECT page_id, count(*) AS pieces, sum(length(x)) AS chars, min(x) AS least, max(x) AS greatest
+SELECT page_id, count(*) AS pieces, sum(length(x))::BIGINT AS chars, min(x) AS least, max(x) AS greatest
 FROM (SELECT page_id, {_STRIPPED} AS x
       FROM (SELECT page_id, unnest(regexp_split_to_array(html, '[<>]')) AS piece FROM pages))
 WHERE x <> '' GROUP BY page_id""",
