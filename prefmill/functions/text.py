@@ -15,7 +15,10 @@ from prefmill import shipping  # noqa: F401
 # Characters that end a line for str.splitlines, and the extra
 # control characters that str.strip counts as blank.
 LINE_BREAKS = "\r\n|[\n\x0b\x0c\r\x1c\x1d\x1e\x85\u2028\u2029]"
-STRIP_PATTERN = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+BLANK = r"[\s\x1c-\x1f]"
+# Only the first blank of a run may start the second match: without that, a long run of
+# blanks inside a text costs its length squared.
+STRIP_PATTERN = f"(?U)^{BLANK}+|(?<!{BLANK}){BLANK}+$"
 # The two turn markers of a delimited dialogue.
 HUMAN_TURN = "\n\nHuman: "
 ASSISTANT_TURN = "\n\nAssistant: "

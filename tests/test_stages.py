@@ -6,8 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from prefmill.operators import filtering
+from prefmill.operators.verification import Budget
 from prefmill.plans import stages
-from prefmill.sources import jsonl
+from prefmill.session import with_stable_row_id
+from prefmill.sources import dialogues, jsonl
 from prefmill.streaming.incremental import run_incrementally
 
 
@@ -87,3 +89,43 @@ def test_incremental_run_resumes(spark, tmp_path):
     done = spark.read.parquet(target)
     assert sorted(r["instance_id"] for r in done.collect()) == [1, 3, 5, 7, 9, 11, 13]
     assert done.select(F.explode("test_cases.response")).distinct().count() == 1
+
+
+def test_instances_over_the_limit_count_as_input_only(spark):
+    loop = "def evaluate(response):\n    while True:\n        pass\n"
+    good = "def evaluate(response):\n    return response == 'a'\n"
+    rows = [(i, "q", "i", [good, loop] if i == 2 else [good], ["a", "b"]) for i in range(5)]
+    completed = spark.createDataFrame(
+        rows, "instance_id int, query string, instruction string, verifiers array<string>, "
+        "completions array<string>")
+    budget = Budget(seconds=0.3)
+    scored, report = stages.score_completions(completed, budget, allow_execution=True)
+    assert sorted(r["instance_id"] for r in scored.collect()) == [0, 1, 3, 4]
+    assert report.first().asDict() == {
+        "instances": 5, "pairs": 4, "unique_completions": 8, "unique_prompts": 4,
+        "chosen_completions": 4, "rejected_completions": 4,
+    }
+    patient = Budget(seconds=0.3, timeout_as_false=True)
+    scored, _ = stages.score_completions(completed, patient, allow_execution=True)
+    slow = scored.filter("instance_id = 2").first()
+    assert [tuple(s) for s in slow["scores"]] == [("a", 0.5), ("b", 0.0)]
+
+
+def test_no_rows_at_all(spark):
+    empty = spark.createDataFrame(
+        [], "instance_id int, query string, instruction string, verifiers array<string>, "
+        "completions array<string>")
+    scored, report = stages.score_completions(empty, allow_execution=True)
+    assert set(report.first().asDict().values()) == {0}
+    assert stages.training_batches(scored, 4).collect() == []
+
+
+def test_queries_from_a_file_without_keys(spark, tmp_path):
+    path = tmp_path / "hh.jsonl"
+    path.write_text("\n".join(
+        json.dumps({"chosen": f"\n\nHuman: question {i % 2}?\n\nAssistant: x"}) for i in range(9)))
+    queries = with_stable_row_id(dialogues.load_queries(spark, "hh", str(path)), "queries")
+    drawn = stages.build_instructions(queries, "row_id", "SEEDS", 40, scripted_backend())
+    rows = drawn.collect()
+    assert sorted(r["instance_id"] for r in rows) == list(range(40))
+    assert {r["query"] for r in rows} == {"question 0?", "question 1?"}

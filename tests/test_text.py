@@ -44,6 +44,8 @@ def test_strip_matches_python_for_every_blank(spark):
     values = [f"{c}a{c} b{c}" for c in points]
     assert column(spark, values, text.strip) == [v.strip() for v in values]
     assert column(spark, ["   ", ""], text.strip) == ["", ""]
+    long = "a" + " " * 300_000 + "b\u2003"
+    assert column(spark, [long], text.strip) == [long.strip()]
 
 
 def test_cut_at_stops(spark):
