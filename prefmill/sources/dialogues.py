@@ -95,4 +95,4 @@ def load_queries(
     if name == "sharegpt":
         raw = spark.read.schema(MESSAGES).json(path, multiLine=True)
         return message_queries(raw, low=low, high=high)
-    raise ValueError(f"Unknown query source: {name}")
+    raise ValueError(f"no query source is called {name!r}")
