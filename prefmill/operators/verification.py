@@ -65,7 +65,8 @@ _ARROW_VERDICTS = pa.struct(
 class Budget:
     """Limits of a verifier run.
 
-    ``seconds`` bounds each single call (and each compile). With ``timeout_as_false``
+    ``seconds`` bounds each single call (and each compile), ``memory_bytes`` what the
+    verifiers may take on top of their input. With ``timeout_as_false``
     a call over the limit counts as a failed verdict; otherwise the instance is marked
     ``timed_out`` at once and its remaining calls are skipped, so an endless loop costs
     one limit per instance.

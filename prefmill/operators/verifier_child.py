@@ -13,6 +13,7 @@ import ast
 import collections
 import datetime
 import gc
+import importlib.util
 import itertools
 import json
 import marshal
@@ -185,20 +186,22 @@ def serve(request, requests, pipe):
 
 def main(memory, path):
     sys.path[:] = path  # only now: what this file imports is the standard library's
+    importlib.util.find_spec("no_such_module")  # fills the folder caches that forks inherit
     requests, replies = os.dup(0), os.dup(1)
     blank = os.open(os.devnull, os.O_RDWR)
     for stream in (0, 1, 2):
         os.dup2(blank, stream)
     incoming = os.fdopen(requests, "rb")
     signal.signal(signal.SIGALRM, signal.SIG_DFL)
-    if memory:
-        resource.setrlimit(resource.RLIMIT_AS, (memory, memory))
     gc.freeze()
     while True:
         head = incoming.read(8)
         if len(head) < 8:
             return
-        request = marshal.loads(incoming.read(struct.unpack("<Q", head)[0]))
+        size = struct.unpack("<Q", head)[0]
+        if memory:  # on top of what the request itself takes, however long its texts are
+            resource.setrlimit(resource.RLIMIT_AS, (memory + 4 * size, resource.RLIM_INFINITY))
+        request = marshal.loads(incoming.read(size))
         serve(request, requests, replies)
         os.write(replies, bytes([DONE]))
 

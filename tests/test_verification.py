@@ -85,6 +85,15 @@ def test_time_out_drops_the_instance_unless_counted_as_false():
     process.close()
 
 
+def test_the_memory_limit_leaves_room_for_long_texts():
+    process = VerifierProcess(Budget(seconds=30, memory_bytes=256 << 20))
+    text = "a" * (150 << 20)
+    hungry = fn("return len('b' * (1 << 30)) > 0")
+    got = process.judge([GOOD, hungry], [text, "x"])["matrix"]
+    process.close()
+    assert [v["codes"] for v in got] == [[YES, NO], [ERROR, ERROR]]
+
+
 def test_no_inputs_or_no_sources(judge):
     assert judge([GOOD, "def"], []) == [(True, []), (False, None)]
     assert judge([], ["a"]) == []
