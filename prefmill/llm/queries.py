@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prefmill.llm import dedup, mixing, quality, sharding
+from prefmill.llm import dedup, mixing, pieces, quality, sharding, simhash
 from prefmill.llm.common import crc_fold, table
 from prefmill.session import materialise
 
@@ -25,6 +25,26 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def tokenizer(name: str) -> str:
+    """Path of a public tokenizer's file on the driver."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = pieces.encode_texts(
+        table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"), keep=["doc_id"], spans=False
+    )
+    return encoded.select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+        F.col("covered").alias("covered_bytes"),
+    )
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
@@ -49,13 +69,20 @@ def op4_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hex_of("fp").alias("fingerprint"), "component_id")
+
+
 def op8_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
+    "op2_pieces": op2_pieces,
     "op3_quality": op3_quality,
     "op4_ring_shards": op4_ring_shards,
+    "op5_pigeonhole": op5_pigeonhole,
     "op8_content_sort": op8_content_sort,
 }
