@@ -58,7 +58,8 @@ def _runs(batches: Iterator[pa.RecordBatch], schema: pa.Schema, whole: bool) ->
             "_part": rows.column("_part"),
             "_first": pa.array(first),
             "_last": pa.array(np.full(n, last)),
-            "_edge_text": pc.if_else(pa.array(shown), texts, pa.scalar(None, texts.type)),
+            "_edge_text": pa.array([texts[i].as_py() if s else None for i, s in enumerate(shown)], texts.type)
+            if shown.any() else pa.nulls(n, texts.type),
         }
         if whole:
             columns["_payload"] = rows.column("_payload")
