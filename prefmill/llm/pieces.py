@@ -15,7 +15,6 @@ from functools import cached_property
 from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
@@ -161,8 +160,9 @@ class PieceCoder:
         """Ids of all segments in a row, and the number of ids of each segment."""
         if not segments:
             return np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64)
-        codes, distinct = pd.factorize(np.array(segments, dtype=object))
-        merged = self.merger.encode(distinct.tolist(), num_threads=1)
+        coded = pa.array(segments, pa.large_string()).dictionary_encode()
+        codes = coded.indices.to_numpy()
+        merged = self.merger.encode(coded.dictionary.to_pylist(), num_threads=1)
         lengths = np.fromiter(map(len, merged), np.int64, len(merged))
         flat = np.fromiter(chain.from_iterable(merged), np.int32, int(lengths.sum()))
         begins, wanted = np.cumsum(lengths) - lengths, lengths[codes]
