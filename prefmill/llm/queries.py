@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prefmill.llm import dedup, mixing, pieces, quality, sharding, simhash
+from prefmill.llm import dedup, mixing, neighbours, pieces, quality, sharding, simhash
 from prefmill.llm.common import crc_fold, table
 from prefmill.session import materialise
 
@@ -74,6 +74,15 @@ def op5_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_of("fp").alias("fingerprint"), "component_id")
 
 
+def op6_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    index = neighbours.build_index(vectors)
+    if index is None:
+        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+    asked = vectors.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"))
+    return neighbours.nearest_members(index, asked)
+
+
 def op8_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -84,5 +93,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality": op3_quality,
     "op4_ring_shards": op4_ring_shards,
     "op5_pigeonhole": op5_pigeonhole,
+    "op6_nn_descent": op6_nn_descent,
     "op8_content_sort": op8_content_sort,
 }
