@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prefmill.llm import dedup, mixing, neighbours, pieces, quality, sharding, simhash
+from prefmill.llm import dedup, lm, mixing, neighbours, pieces, quality, sharding, simhash
 from prefmill.llm.common import crc_fold, table
 from prefmill.session import materialise
 
@@ -87,6 +87,10 @@ def op8_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op9_elias_fano(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(table(spark, sf_dir, "documents")).rows
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_pieces": op2_pieces,
@@ -95,4 +99,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_pigeonhole": op5_pigeonhole,
     "op6_nn_descent": op6_nn_descent,
     "op8_content_sort": op8_content_sort,
+    "op9_elias_fano": op9_elias_fano,
 }
