@@ -1,0 +1,90 @@
+"""Registered queries over the smallest tables: SQL where there is any, plain Python elsewhere."""
+
+import hashlib
+import re
+import zlib
+
+import duckdb
+import pytest
+
+import __spark_entry__ as entry
+from check_oracle import compare
+from prefmill.llm.queries import QUERIES, tokenizer
+from prefmill.llm.sql import SQL
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def documents():
+    return duckdb.sql(f"SELECT doc_id, text FROM '{SF}/documents.parquet' ORDER BY doc_id").fetchall()
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
+def test_query_matches_sql(spark, name):
+    assert compare(spark, SF, name, SQL[name]).startswith("ok")
+
+
+def test_all_are_registered():
+    assert set(QUERIES) | {"pipeline"} <= set(entry.queries())
+    assert set(SQL) <= set(QUERIES)
+
+
+def test_pieces_match_the_library(spark, documents):
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=tokenizer("piece_bpe_32k.model"))
+    rows = {r["doc_id"]: r for r in QUERIES["op2_pieces"](spark, SF).collect()}
+    assert len(rows) == len(documents)
+    for doc_id, text in documents:
+        ids = model.encode(text)
+        sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+        assert rows[doc_id]["n_tokens"] == len(ids)
+        assert rows[doc_id]["ids_sha256"] == sha(",".join(map(str, ids)))
+        assert rows[doc_id]["decoded_sha256"] == sha(model.decode(ids))
+        assert rows[doc_id]["covered_bytes"] == len(text.encode())
+
+
+def test_quality_on_held_out_labels(spark):
+    sf = "/root/testdata/sf0.01"
+    labels = dict(duckdb.sql(f"SELECT doc_id, quality FROM '{sf}/labels.parquet'").fetchall())
+    rows = QUERIES["op3_quality"](spark, sf).collect()
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) for r in rows)
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in rows)
+    held = [r for r in rows if r["held_out"] and r["doc_id"] in labels]
+    right = sum(r["predicted"] == labels[r["doc_id"]] for r in held)
+    assert right >= 0.9 * len(held)
+
+
+def test_shards_are_balanced_and_gapless(spark, documents):
+    rows = QUERIES["op4_ring_shards"](spark, SF).collect()
+    sizes = {d: len(t.encode()) + 1 for d, t in documents}
+    sums, slots = [0] * 8, [[] for _ in range(8)]
+    for r in rows:
+        assert r["size"] == sizes[r["doc_id"]]
+        sums[r["shard"]] += r["size"]
+        slots[r["shard"]].append(r["slot"])
+    assert {r["doc_id"]: r["text_crc32"] for r in rows} == {d: zlib.crc32(t.encode()) for d, t in documents}
+    assert all(sorted(s) == list(range(len(s))) for s in slots)
+    assert max(sums) <= 1.005 * sum(sums) / 8 + max(sizes.values())
+
+
+def test_components_match_all_pairs(spark, documents):
+    from prefmill.llm.simhash import components_brute
+
+    prints = [slow_fingerprint(t) for _, t in documents]
+    roots = components_brute(prints)
+    rows = {r["doc_id"]: r for r in QUERIES["op5_pigeonhole"](spark, SF).collect()}
+    for (doc_id, _), fp, root in zip(documents, prints, roots):
+        assert rows[doc_id]["fingerprint"] == f"{fp:016x}"
+        assert rows[doc_id]["component_id"] == documents[root][0]
+
+
+def slow_fingerprint(text: str) -> int:
+    import xxhash
+
+    lowered = re.sub("[A-Z]", lambda m: m[0].lower(), text)
+    words = re.findall(r"[^\x20\x09-\x0D]+", lowered)
+    shingles = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or [" ".join(words)] * bool(words)
+    hashes = [xxhash.xxh64_intdigest(s.encode(), seed=42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
