@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prefmill.llm import dedup, lm, mixing, neighbours, pieces, quality, sharding, simhash
+from prefmill.llm import (
+    dedup, licences, lm, mixing, neighbours, pieces, quality, sharding, simhash, token_counts,
+)
 from prefmill.llm.common import crc_fold, table
 from prefmill.session import materialise
 
@@ -83,6 +85,17 @@ def op6_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest_members(index, asked)
 
 
+def op7_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licences.scan_licences(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        "n_paragraphs",
+        F.size("hits").alias("n_hits"),
+        F.concat_ws(",", F.array_sort(F.array_distinct("hits.family"))).alias("families"),
+        F.array_min("hits.probability").alias("lowest_probability"),
+    )
+
+
 def op8_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -91,6 +104,14 @@ def op9_elias_fano(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_documents(table(spark, sf_dir, "documents")).rows
 
 
+def op10_line_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_counts.count_lines(
+        table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_pieces": op2_pieces,
@@ -98,6 +119,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_ring_shards": op4_ring_shards,
     "op5_pigeonhole": op5_pigeonhole,
     "op6_nn_descent": op6_nn_descent,
+    "op7_licence_scan": op7_licence_scan,
     "op8_content_sort": op8_content_sort,
     "op9_elias_fano": op9_elias_fano,
+    "op10_line_tokens": op10_line_tokens,
 }
