@@ -60,8 +60,8 @@ def cut_at_stops(text: Column, stops: list[str]) -> Column:
 
 
 def split_test_lines(blocks: Column) -> Column:
-    """Lines of all blocks, in block then line order."""
-    return F.flatten(F.transform(blocks, lambda b: F.split(b, LINE_BREAKS)))
+    """Lines of all blocks, in block then line order; a NULL block is empty."""
+    return F.flatten(F.transform(blocks, lambda b: F.split(F.coalesce(b, F.lit("")), LINE_BREAKS)))
 
 
 def _parse_line(line: str | None) -> dict | None:

@@ -19,16 +19,16 @@ def shuffled_batches(
 ) -> DataFrame:
     """Add ``batch_id`` and ``batch_pos``: a random order per (seed, epoch), cut in batches.
 
-    ``key`` must be unique. The order is a dense index, so batches are full but for the
+    ``key`` must be unique; its values are told apart whatever they hold. The order is a dense index, so batches are full but for the
     last one and no single task sorts everything. Each batch ends up inside one
     partition, where tokens and padding can be worked out without a further shuffle: put
     the batches together while rows are still text. ``rows`` is read twice (index offsets
     and rows), so pass a written table.
     """
-    keyed = rows.withColumn("_key", F.concat_ws(":", *key))
+    keyed = rows.withColumn("_key", F.to_json(F.struct(*key), {"ignoreNullFields": "false"}))
     indexed = dense_index(keyed, "_key", f"{seed}:{epoch}", out="_idx", bits=bits)
     return (
-        indexed.withColumn("batch_id", F.floor(F.col("_idx") / batch_size))
+        indexed.withColumn("batch_id", F.expr(f"_idx div {int(batch_size)}"))
         .withColumn("batch_pos", F.pmod("_idx", F.lit(batch_size)).cast("int"))
         .drop("_key", "_idx")
         .repartition("batch_id")
@@ -62,15 +62,18 @@ def token_views(
 
 
 def pad_batches(batched: DataFrame, pad_id: int = 0) -> DataFrame:
-    """Left-pad each view to its longest row in the batch; padding has mask 0.
+    """Left-pad each view to its longest row in the batch; padding has mask 0, ids mask 1.
 
-    A window holds one batch, so its size is the batch size.
+    A window holds one batch, so its size is the batch size. Masks follow from the sizes, so
+    they are made behind the window and none is sorted.
     """
     batch = Window.partitionBy("batch_id")
+    masks = [f"attention_mask_{v}" for v in VIEWS]
     longest = {f"_max_{v}": F.max(F.size(f"input_ids_{v}")).over(batch) for v in VIEWS}
     padded = {}
     for v in VIEWS:
-        missing = F.col(f"_max_{v}") - F.size(f"input_ids_{v}")
-        for name, fill in ((f"input_ids_{v}", pad_id), (f"attention_mask_{v}", 0)):
-            padded[name] = F.concat(F.array_repeat(F.lit(fill), missing), F.col(name))
-    return batched.withColumns(longest).withColumns(padded).drop(*longest)
+        size = F.size(f"input_ids_{v}")
+        missing = F.col(f"_max_{v}") - size
+        padded[f"attention_mask_{v}"] = F.concat(F.array_repeat(F.lit(0), missing), F.array_repeat(F.lit(1), size))
+        padded[f"input_ids_{v}"] = F.concat(F.array_repeat(F.lit(pad_id), missing), F.col(f"input_ids_{v}"))
+    return batched.drop(*masks).withColumns(longest).withColumns(padded).drop(*longest)

@@ -20,12 +20,15 @@ def judge_test_cases(
 ) -> DataFrame:
     """Parse the test case blocks and run all verifiers over them.
 
-    Adds ``cases`` and ``verdicts``; instances over the time limit are gone.
+    Adds ``cases`` and ``verdicts``; instances over the time limit are gone. ``partitions``
+    spreads the blocks before they are parsed, so both are spread and only raw text moves.
     """
+    if partitions:
+        df = df.repartition(partitions)
     parsed = df.withColumn("cases", parse_test_cases(F.col("testcases")))
     return run_verifiers(
         parsed, F.col("verifiers"), F.col("cases.response"), budget=budget,
-        allow_execution=allow_execution, partitions=partitions,
+        allow_execution=allow_execution,
     )
 
 

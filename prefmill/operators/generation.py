@@ -112,14 +112,22 @@ def template_backend(pattern: str) -> BackendFactory:
 
 def replay(
     prompts: DataFrame, recorded: DataFrame, spread: str, prompt: str = "prompt",
-    hot_rows: int = 1_000_000,
+    hot_rows: int = 1_000_000, missing: str = "error",
 ) -> DataFrame:
     """Backend over recorded generations, as an equi-join on (md5 of prompt, sample_idx).
 
     ``recorded`` has (prompt_md5, sample_idx, text), unique on the first two. Many rows
-    may share one prompt; ``skew_safe_join`` spreads them by ``spread``.
+    may share one prompt; ``skew_safe_join`` spreads them by ``spread``. Every prompt
+    stays: one that was not recorded stops the job, or with ``missing="null"`` has a NULL text.
     """
+    if missing not in ("error", "null"):
+        raise ValueError("missing is 'error' or 'null'")
     keyed = prompts.withColumn("prompt_md5", F.md5(prompt))
-    return skew_safe_join(
-        keyed, recorded, ["prompt_md5", "sample_idx"], spread, hot_rows=hot_rows
+    found = skew_safe_join(
+        keyed, recorded.withColumn("_recorded", F.lit(True)), ["prompt_md5", "sample_idx"], spread,
+        hot_rows=hot_rows, how="left",
     )
+    if missing == "error":
+        report = F.concat(F.lit("not recorded: prompt "), "prompt_md5", F.lit(", sample "), "sample_idx")
+        found = found.withColumn("text", F.when(F.col("_recorded"), F.col("text")).otherwise(F.raise_error(report)))
+    return found.drop("_recorded")

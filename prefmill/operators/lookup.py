@@ -23,7 +23,7 @@ def skew_safe_join(
     threshold each, and their table entry is repeated once per salt. All other keys take
     salt 0 on both sides and shuffle exactly as in a plain join.
     """
-    threshold = F.greatest(F.lit(hot_rows), (row_count(rows) / MAX_HOT_KEYS).cast("bigint"))
+    threshold = F.greatest(F.lit(max(1, hot_rows)), (row_count(rows) / MAX_HOT_KEYS).cast("bigint"))
     hot = (
         rows.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("_n"))

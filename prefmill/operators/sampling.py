@@ -44,11 +44,17 @@ def expand_samples(df: DataFrame, count: int, out: str = "sample_idx") -> DataFr
 
 
 def collect_samples(
-    df: DataFrame, key: str, text: str = "text", slot: str = "sample_idx", out: str = "texts"
+    df: DataFrame, key: str, text: str = "text", slot: str = "sample_idx", out: str = "texts",
+    count: int | None = None,
 ) -> DataFrame:
     """Fold the samples of each key back into one array in slot order.
 
-    The group is the fixed number of samples ``expand_samples`` made, never more.
+    The group is the fixed number of samples ``expand_samples`` made, never more. With
+    ``count`` the array has that many entries and each text sits at its slot, NULL where
+    a slot is missing; else a missing slot would shift those behind it.
     """
     pairs = F.array_sort(F.collect_list(F.struct(slot, text)))
-    return df.groupBy(key).agg(F.transform(pairs, lambda p: p[text]).alias(out))
+    if count is None:
+        return df.groupBy(key).agg(F.transform(pairs, lambda p: p[text]).alias(out))
+    at = F.map_from_entries(pairs)
+    return df.groupBy(key).agg(F.transform(slots(count), lambda i: F.try_element_at(at, i)).alias(out))

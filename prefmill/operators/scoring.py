@@ -11,18 +11,22 @@ from prefmill.operators.verification import TRUTHY, Budget, run_verifiers
 
 def judge_completions(
     df: DataFrame, budget: Budget = Budget(), allow_execution: bool = False,
-    partitions: int | None = None,
+    partitions: int | None = None, keep_timed_out: bool = False,
 ) -> DataFrame:
     """Run all verifiers of an instance over its completions; adds ``verdicts``."""
     return run_verifiers(
         df, F.col("verifiers"), F.col("completions"), budget=budget,
-        allow_execution=allow_execution, partitions=partitions,
+        allow_execution=allow_execution, partitions=partitions, keep_timed_out=keep_timed_out,
     )
 
 
-def score(judged: DataFrame) -> DataFrame:
-    """Add ``rates``, ``chosen``, ``rejected`` and ``scores``.
+OUTPUTS = ("rates", "chosen", "rejected", "scores")
 
+
+def score(judged: DataFrame, outputs: tuple[str, ...] = OUTPUTS) -> DataFrame:
+    """Add ``outputs``: ``rates``, ``chosen``, ``rejected`` and ``scores``, or some of them.
+
+    Ask for what is read only: settled columns are worked out whether read or not.
     ``rates`` is truthy verdicts / verifiers, per completion position. The two label
     lists go by position too, so a repeated completion appears in them repeatedly.
     ``scores`` goes by text: first-occurrence order, last rate.
@@ -45,8 +49,18 @@ def score(judged: DataFrame) -> DataFrame:
         "completions",
         lambda c, i: F.struct(c.alias("completion"), F.get("rates", i).alias("score")),
     )
+    spare = [c for c in ("rates", "_zipped") if c not in outputs]
     out = settle(judged, {"rates": rates})
+    if set(outputs) <= {"rates"}:
+        return out
     out = settle(out, {"_zipped": zipped})
+    labels = {
+        "chosen": F.filter("_zipped", lambda z: z["score"] >= 0.5)["completion"],
+        "rejected": F.filter("_zipped", lambda z: z["score"] == 0)["completion"],
+    }
+    labels = {name: value for name, value in labels.items() if name in outputs}
+    if "scores" not in outputs:
+        return settle(out, labels).drop(*spare)
     # Most instances hold no repeated text; only those that do pay for the sorts.
     repeats = F.size(F.array_distinct("completions")) < F.size("completions")
 
@@ -80,20 +94,14 @@ def score(judged: DataFrame) -> DataFrame:
         F.array_sort(by_text),
         lambda e: F.struct(e["completion"].alias("completion"), e["score"].alias("score")),
     )
-    return settle(
-        out,
-        {
-            "chosen": F.filter("_zipped", lambda z: z["score"] >= 0.5)["completion"],
-            "rejected": F.filter("_zipped", lambda z: z["score"] == 0)["completion"],
-            "scores": F.when(repeats, by_first).otherwise(F.col("_zipped")),
-        },
-    ).drop("_zipped", "_early", "_late")
-
-
-def scored_rows(scored: DataFrame) -> DataFrame:
-    """The columns the scoring stage hands on."""
+    labels["scores"] = F.when(repeats, by_first).otherwise(F.col("_zipped"))
+    return settle(out, labels).drop(*spare, "_early", "_late")
+
+
+def scored_rows(scored: DataFrame, *more: str) -> DataFrame:
+    """The columns the scoring stage hands on, and ``more``."""
     return scored.select(
-        "instance_id", "query", "instruction", "verifiers", "chosen", "rejected", "scores"
+        "instance_id", "query", "instruction", "verifiers", "chosen", "rejected", "scores", *more
     )
 
 

@@ -65,14 +65,17 @@ _ARROW_VERDICTS = pa.struct(
 class Budget:
     """Limits of a verifier run.
 
-    ``seconds`` bounds each single call (and each compile), ``memory_bytes`` what the
+    ``seconds`` bounds each single call (and each compile), ``instance_seconds`` all those
+    of an instance together (None: no bound), ``memory_bytes`` what the
     verifiers may take on top of their input. With ``timeout_as_false``
-    a call over the limit counts as a failed verdict; otherwise the instance is marked
+    a call over the limit counts as a failed verdict, and when the instance's time is up so do its remaining
+    calls, while verifiers not reached by then count as not compiled; otherwise the instance is marked
     ``timed_out`` at once and its remaining calls are skipped, so an endless loop costs
     one limit per instance.
     """
 
     seconds: float = 10.0
+    instance_seconds: float | None = 60.0
     memory_bytes: int = 1 << 30
     timeout_as_false: bool = False
 
@@ -152,13 +155,26 @@ class VerifierProcess:
         def unfinished() -> bool:
             return call >= 0 or len(matrix) < len(sources)
 
+        whole = self._budget.instance_seconds
+        deadline = None if whole is None else time.monotonic() + whole + 5
         careful = False
         while unfinished():
+            if deadline is not None and time.monotonic() >= deadline:
+                self.close()
+                if not self._budget.timeout_as_false:
+                    return {"timed_out": True, "matrix": None}
+                while call >= 0:
+                    call = self._advance(matrix, inputs, call, TIMEOUT)
+                missing = len(sources) - len(matrix)
+                matrix += [{"compiled": False, "codes": None} for _ in range(missing)]
+                break
             verifier = len(matrix) if call < 0 else len(matrix) - 1
             self._send((sources, inputs, verifier, call, limit, careful))
             allowed = limit + 5  # the first reply also waits for the start of the process
             ended = timed_out = False
             while not ended and not timed_out:
+                if deadline is not None:
+                    allowed = min(allowed, max(0.0, deadline - time.monotonic()))
                 reply = self._receive(allowed)
                 allowed = limit + child.FLUSH_SECONDS
                 timed_out, ended = reply is None, reply == b""
@@ -171,7 +187,7 @@ class VerifierProcess:
                     self.close()
             if timed_out and not self._budget.timeout_as_false:
                 return {"timed_out": True, "matrix": None}
-            if unfinished():
+            if unfinished() and (deadline is None or time.monotonic() < deadline):
                 # Stopped early. Replies may still have been held back then, so the
                 # step at fault is only known in careful mode: go on in that mode.
                 if careful:
@@ -219,8 +235,10 @@ def verdicts(sources: Column, inputs: Column, budget: Budget = Budget()) -> Colu
 def run_verifiers(
     df: DataFrame, sources: Column, inputs: Column, out: str = "verdicts",
     budget: Budget = Budget(), allow_execution: bool = False, partitions: int | None = None,
+    keep_timed_out: bool = False,
 ) -> DataFrame:
-    """Add the verdict struct; instances over the time limit are dropped.
+    """Add the verdict struct; instances over the time limit are dropped, unless they are
+    to be kept, with ``timed_out`` set and no matrix.
 
     The sources are generated code. ``allow_execution=True`` confirms that the
     executors are sandboxed. The work is CPU-bound: where input splits are too few or
@@ -233,7 +251,7 @@ def run_verifiers(
     if partitions:
         df = df.repartition(partitions)
     df = df.withColumn(out, verdicts(sources, inputs, budget))
-    return df.filter(~F.col(f"{out}.timed_out"))
+    return df if keep_timed_out else df.filter(~F.col(f"{out}.timed_out"))
 
 
 def verdict_rows(df: DataFrame, key: str, verdict: str = "verdicts") -> DataFrame:

@@ -2,89 +2,143 @@
 
 The parent writes one request per instance and reads back one byte per step.
 Verdicts must depend on the instance alone, not on which instances shared a process
-with it, so an instance is served by a fork unless all its verifiers are *plain*:
-provably unable to change interpreter state that outlives them. Plain ones, the common
-case, run in this process and save the fork.
+with it, so an instance is served by a fork unless all its verifiers are *plain*: made only of
+parts on a short list of harmless ones. Plain ones, the common case, run in this process and
+save the fork.
 
 This isolates crashes and endless loops. It is no security boundary.
 """
 
 import ast
+import builtins
 import collections
 import datetime
 import gc
 import importlib.util
-import itertools
 import json
 import marshal
-import math
 import os
 import re
 import resource
 import signal
-import string
 import struct
 import sys
 import time
-import types
-import typing
-import unicodedata
 
 EQ_TRUE, EQ_FALSE, TRUTHY, ERROR, TIMEOUT = 1, 2, 4, 8, 16
 COMPILED, BROKEN, DONE = 32, 64, 128
 FLUSH_SECONDS = 0.05
 
-# Modules without state a verifier could leave behind.
-STATELESS = {
-    m.__name__: m
-    for m in (collections, datetime, itertools, json, math, re, string, typing, unicodedata)
+# What a plain verifier may use. Everything else is served by a fork.
+MEMBERS = {
+    "json": "loads dumps JSONDecodeError",
+    "re": "match search fullmatch findall finditer split sub subn compile escape IGNORECASE I MULTILINE M "
+    "DOTALL S UNICODE U VERBOSE X ASCII A",
+    "math": "ceil floor sqrt log log2 log10 exp pow fabs gcd isclose isfinite isinf isnan prod trunc pi e inf nan",
+    "string": "ascii_letters ascii_lowercase ascii_uppercase digits hexdigits octdigits punctuation whitespace printable",
+    "collections": "Counter OrderedDict defaultdict deque",
+    "itertools": "accumulate chain combinations combinations_with_replacement compress count cycle dropwhile "
+    "filterfalse groupby islice permutations product repeat starmap takewhile tee zip_longest",
+    "datetime": "date datetime time timedelta timezone",
+    "unicodedata": "bidirectional category combining decimal digit east_asian_width is_normalized name "
+    "normalize numeric",
 }
-# Builtins that reach attributes, namespaces or files by name.
-REACHING = frozenset(
-    "breakpoint compile delattr eval exec exit getattr globals help input locals open quit "
-    "setattr vars".split()
+MEMBERS = {module: frozenset(names.split()) for module, names in MEMBERS.items()}
+BUILTINS = frozenset(
+    "BaseException KeyboardInterrupt SystemExit abs all any ascii bin bool bytes callable chr complex dict divmod enumerate filter float format "
+    "frozenset hash hex int isinstance iter len list map max min next oct ord pow print range repr "
+    "reversed round set slice sorted str sum tuple zip ArithmeticError AttributeError Exception "
+    "IndexError KeyError LookupError NameError OverflowError RuntimeError StopIteration TypeError "
+    "UnicodeError ValueError ZeroDivisionError json".split()
+)
+# Names of annotations only: they are not used otherwise.
+ANNOTATIONS = frozenset("Any Dict FrozenSet Iterable Iterator List Optional Sequence Set Tuple Union".split())
+# Methods of plain values: a verifier can only change values that it made itself.
+METHODS = frozenset(
+    name
+    for kind in (
+        str, bytes, int, float, complex, tuple, list, dict, set, frozenset, range, re.Pattern, re.Match,
+        collections.Counter, collections.deque, collections.OrderedDict, collections.defaultdict,
+        datetime.datetime, datetime.timedelta, datetime.timezone,
+    )
+    for name in dir(kind) if not name.startswith("_")
+) | {"msg", "doc", "pos", "lineno", "colno", "args"}
+STATEMENTS = (
+    ast.FunctionDef, ast.Return, ast.Assign, ast.AugAssign, ast.AnnAssign, ast.For, ast.While, ast.If,
+    ast.Try, ast.Raise, ast.Assert, ast.Expr, ast.Pass, ast.Break, ast.Continue, ast.Import, ast.ImportFrom,
+    ast.Delete,
 )
 
 
 def is_plain(tree):
-    """Whether a parsed verifier cannot touch state outside its own namespace.
+    """Whether a parsed verifier only does what is known to leave nothing behind.
 
-    Refused: attribute assignment, names and attributes with a leading underscore, the
-    builtins above, and every import but members of stateless modules. A module may only
-    be used as ``module.member``, where the member is no module itself.
+    It may use the statements above, names that it binds itself, the listed builtins and members
+    of modules, and attributes that are methods of plain values. Annotations may
+    not be strings, which could be evaluated later. What is not listed is not plain, harmless or not.
     """
-    modules = {"json": json}
+    modules, bound, hints, annotations = {"json": "json"}, set(), set(), []
     nodes = list(ast.walk(tree))
     for node in nodes:
+        if isinstance(node, ast.stmt) and not isinstance(node, STATEMENTS):
+            return False
         if isinstance(node, ast.Import):
             for alias in node.names:
-                if alias.name not in STATELESS:
+                if alias.name == "typing":
+                    hints.add(alias.asname or alias.name)
+                elif alias.name in MEMBERS:
+                    modules[alias.asname or alias.name] = alias.name
+                else:
                     return False
-                modules[alias.asname or alias.name] = STATELESS[alias.name]
         elif isinstance(node, ast.ImportFrom):
-            source = STATELESS.get(node.module or "")
-            if source is None or node.level:
-                return False
+            allowed = ANNOTATIONS if node.module == "typing" else MEMBERS.get(node.module or "", ())
             for alias in node.names:
-                member = getattr(source, alias.name, source)
-                if alias.name.startswith("_") or isinstance(member, types.ModuleType):
+                if node.level or alias.name not in allowed:
                     return False
-    members = set()
+                (hints if node.module == "typing" else bound).add(alias.asname or alias.name)
+        elif isinstance(node, ast.FunctionDef):
+            bound.add(node.name)
+            annotations.append(node.returns)
+        elif isinstance(node, ast.arg):
+            bound.add(node.arg)
+            annotations.append(node.annotation)
+        elif isinstance(node, ast.AnnAssign):
+            annotations.append(node.annotation)
+        elif isinstance(node, ast.ExceptHandler) and node.name:
+            bound.add(node.name)
+        elif isinstance(node, ast.Name) and not isinstance(node.ctx, ast.Load):
+            bound.add(node.id)
+    if bound & (BUILTINS | set(modules) | hints):
+        return False  # a name with two meanings: not worth telling apart
+    in_annotation = {id(n) for a in annotations if a is not None for n in ast.walk(a)}
+    owners = set()
     for node in nodes:
+        noted = id(node) in in_annotation
+        if isinstance(node, ast.Constant) and noted and isinstance(node.value, str):
+            return False
         if isinstance(node, ast.Attribute):
-            if node.attr.startswith("_") or not isinstance(node.ctx, ast.Load):
-                return False
-            if isinstance(node.value, ast.Name) and node.value.id in modules:
-                owner = modules[node.value.id]
-                if isinstance(getattr(owner, node.attr, None), types.ModuleType):
-                    return False
-                members.add(node.value)
-    for node in nodes:
-        if isinstance(node, ast.Name):
-            if node.id.startswith("__") or node.id in REACHING:
+            if not isinstance(node.ctx, ast.Load):
                 return False
-            if node.id in modules and node not in members:
+            owner = node.value.id if isinstance(node.value, ast.Name) else None
+            if owner in modules:
+                allowed = MEMBERS[modules[owner]]
+            else:
+                allowed = ANNOTATIONS if noted and owner in hints else METHODS
+            if node.attr not in allowed:
                 return False
+            owners.add(id(node.value))
+        elif isinstance(node, (ast.Await, ast.Yield, ast.YieldFrom)):
+            return False
+    for node in nodes:
+        if isinstance(node, ast.Name) and isinstance(node.ctx, ast.Load):
+            if node.id in modules:
+                if id(node) not in owners:
+                    return False
+            elif node.id in hints:
+                if id(node) not in in_annotation:
+                    return False
+            elif node.id not in bound | BUILTINS and (hasattr(builtins, node.id) or node.id.startswith("__")):
+                return False  # a name that nothing binds is an error and no more
     return True
 
 

@@ -22,13 +22,14 @@ from prefmill.operators.sampling import (
     collect_samples, draw_with_replacement, expand_samples, pick_per_slot,
 )
 from prefmill.operators.verification import verdict_rows
-from prefmill.plans import fixtures
+from prefmill.plans import fixtures, stages
 from prefmill.plans.fixtures import completed_instances, instances, table
 from prefmill.session import materialise, scratch_path
 from prefmill.sources import dialogues, jsonl
 
 BATCH_SIZE = 8
 SAMPLES = 3
+GENERATED = 2  # verifiers, and completions, of each instance of ``generated_dataset``
 
 
 def joined(array: Column | str, separator: str = ",") -> Column:
@@ -64,6 +65,17 @@ def first_message_queries(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def message_list_queries(spark: SparkSession, sf: str) -> DataFrame:
+    """The list form: some lists are NULL, some empty, some open with an empty message."""
+    opened = dialogues.opening_turns(table(spark, sf, "conversations"))
+    empty = F.col("conv_id") % 13 == 0
+    first = F.struct(F.col("role").alias("from"), F.when(~empty, F.col("text")).otherwise("").alias("value"))
+    last = F.struct(F.lit("gpt").alias("from"), F.lit("a later message").alias("value"))
+    messages = F.when(F.col("conv_id") % 17 == 0, F.slice(F.array(last), 1, 0)).otherwise(F.array(first, last))
+    lists = opened.select("conv_id", F.when(F.col("conv_id") % 11 > 0, messages).alias("conversations"))
+    return dialogues.message_queries(lists, keep=("conv_id",))
+
+
 def sampled_queries(spark: SparkSession, sf: str) -> DataFrame:
     draws = table(spark, sf, "documents").select(F.col("doc_id").alias("instance_id"))
     return draw_with_replacement(first_message_queries(spark, sf), "conv_id", draws)
@@ -72,11 +84,13 @@ def sampled_queries(spark: SparkSession, sf: str) -> DataFrame:
 def merged_shards(spark: SparkSession, sf: str) -> DataFrame:
     turns = table(spark, sf, "conversations")
     prefix = scratch_path(spark, "turns")
-    for shard in range(3):
-        jsonl.write_jsonl(
-            turns.filter(F.pmod("conv_id", F.lit(3)) == shard), f"{prefix}-{shard}.jsonl"
-        )
-    return jsonl.read_jsonl(spark, jsonl.merge_shards(spark, prefix), turns.schema)
+    # One pass writes all shards, as folders side by side; a folder's name is no column of its rows.
+    shard = F.pmod("conv_id", F.lit(3)).alias("shard")
+    turns.select(shard, F.to_json(F.struct(*turns.columns), {"ignoreNullFields": "false"}).alias("value")).write.partitionBy(
+        "shard"
+    ).text(f"{prefix}-jsonl")
+    merged = jsonl.merge_shards(spark, f"{prefix}-jsonl/shard", "", sign="=")
+    return jsonl.read_jsonl(spark, merged, turns.schema)
 
 
 # Prompts and generation
@@ -90,6 +104,7 @@ def clean_instructions(spark: SparkSession, sf: str) -> DataFrame:
         cleaned.filter(not_empty(F.col("instruction")))
         .groupBy("page_id")
         .agg(F.count(F.lit(1)).alias("pieces"), F.sum(F.length("instruction")).alias("chars"),
+             F.sum(md5_int(F.col("instruction")) % (1 << 40)).alias("checksum"),
              F.min("instruction").alias("least"), F.max("instruction").alias("greatest"))
     )
 
@@ -148,10 +163,28 @@ def replayed_generations(spark: SparkSession, sf: str) -> DataFrame:
     recorded = settle(distinct, {"idx": at}).join(
         dense_index(texts, "item_id", "replay", out="idx"), "idx"
     ).select("prompt_md5", "sample_idx", "text")
-    found = replay(expand_samples(prompts, SAMPLES), recorded, spread="prompt_id")
+    # One slot in seven was never recorded.
+    recorded = recorded.filter(md5_int("lost", F.col("prompt_md5"), F.col("sample_idx")) % 7 > 0)
+    found = replay(expand_samples(prompts, SAMPLES), recorded, spread="prompt_id", missing="null")
     cut = found.withColumn("text", cut_at_stops(F.col("text"), ["\n", ". ", ","]))
-    folded = collect_samples(cut, "prompt_id")
-    return folded.select("prompt_id", joined("texts", "|").alias("texts"))
+    folded = collect_samples(cut, "prompt_id", count=SAMPLES)
+    return folded.select("prompt_id", F.array_join("texts", "|", "<missing>").alias("texts"))
+
+
+def generated_dataset(spark: SparkSession, sf: str) -> DataFrame:
+    """The three generating stages in a row, over as many instances as conversations."""
+    backend = template_backend("Use at least {n} words.")
+    drawn = table(spark, sf, "conversations").select(F.col("conv_id").alias("instance_id")).distinct()
+    asked = stages.build_instructions(
+        first_message_queries(spark, sf), "conv_id", fixtures.SEEDS, drawn, backend
+    )
+    instructions = materialise(asked, "instructions")
+    artifacts = materialise(stages.build_artifacts(instructions, GENERATED, backend), "artifacts")
+    done = stages.build_completions(artifacts, GENERATED, backend)
+    return done.select(
+        "instance_id", "instruction", F.md5(joined("verifiers", "|")).alias("verifiers_md5"),
+        F.md5(joined("testcases", "|")).alias("testcases_md5"), joined("completions", "|").alias("completions"),
+    )
 
 
 # Self-consistency
@@ -167,7 +200,7 @@ def parsed_test_cases(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def judged(spark: SparkSession, sf: str) -> DataFrame:
-    return filtering.judge_test_cases(instances(spark, sf, spread=True), allow_execution=True)
+    return filtering.judge_test_cases(instances(spark, sf, spread_out=True), allow_execution=True)
 
 
 def weighed(spark: SparkSession, sf: str) -> DataFrame:
@@ -207,6 +240,16 @@ def filtered_instances(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def stored_instances(spark: SparkSession, sf: str) -> DataFrame:
+    """Filtered instances written as JSON lines and read back."""
+    path = scratch_path(spark, "filtered")
+    jsonl.write_jsonl(filtering.filtered_instances(weighed(spark, sf)), path)
+    back = jsonl.read_jsonl(spark, path, jsonl.FILTERED)
+    return back.select("instance_id", F.posexplode("test_cases").alias("pos", "c"), "total_passes").select(
+        "instance_id", "pos", "c.response", "c.result", "total_passes"
+    )
+
+
 def instance_counters(spark: SparkSession, sf: str) -> DataFrame:
     return weighed(spark, sf).select("instance_id", *jsonl.COUNTERS)
 
@@ -222,8 +265,8 @@ def judged_completions(spark: SparkSession, sf: str) -> DataFrame:
     return scoring.judge_completions(completed_instances(spark, sf), allow_execution=True)
 
 
-def scored(spark: SparkSession, sf: str) -> DataFrame:
-    return scoring.score(judged_completions(spark, sf))
+def scored(spark: SparkSession, sf: str, *outputs: str) -> DataFrame:
+    return scoring.score(judged_completions(spark, sf), outputs)
 
 
 def completion_verdicts(spark: SparkSession, sf: str) -> DataFrame:
@@ -232,11 +275,12 @@ def completion_verdicts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def completion_scores(spark: SparkSession, sf: str) -> DataFrame:
-    return scored(spark, sf).select("instance_id", F.posexplode("rates").alias("slot", "rate"))
+    rates = scored(spark, sf, "rates")
+    return rates.select("instance_id", F.posexplode("rates").alias("slot", "rate"))
 
 
 def labelled_completions(spark: SparkSession, sf: str) -> DataFrame:
-    done = scored(spark, sf)
+    done = scored(spark, sf, "chosen", "rejected")
     sides = [
         F.struct(F.lit(side).alias("label"), F.col(side).alias("texts"))
         for side in ("chosen", "rejected")
@@ -249,19 +293,29 @@ def labelled_completions(spark: SparkSession, sf: str) -> DataFrame:
 
 def score_map(spark: SparkSession, sf: str) -> DataFrame:
     return (
-        scored(spark, sf)
+        scored(spark, sf, "scores")
         .select("instance_id", F.posexplode("scores").alias("pos", "s"))
         .select("instance_id", "pos", "s.completion", "s.score")
     )
 
 
+def stored_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Scored instances written as JSON lines and read back."""
+    path = scratch_path(spark, "scored")
+    jsonl.write_jsonl(scoring.scored_rows(scored(spark, sf, "chosen", "rejected", "scores")), path)
+    back = jsonl.read_jsonl(spark, path, jsonl.SCORED)
+    return back.select("instance_id", F.explode("scores").alias("s")).select(
+        "instance_id", F.md5("s.completion").alias("completion_md5"), "s.score"
+    )
+
+
 def yield_report(spark: SparkSession, sf: str) -> DataFrame:
-    return scoring.yield_report(scored(spark, sf))
+    return scoring.yield_report(scored(spark, sf, "chosen", "rejected"))
 
 
 def relabelled(spark: SparkSession, sf: str) -> DataFrame:
     """Thresholds that overlap: at or above 0.25 chosen, below 0.5 rejected."""
-    done = pairing.relabel(scored(spark, sf), 0.25, 0.5)
+    done = pairing.relabel(scored(spark, sf, "scores"), 0.25, 0.5)
     return done.select(
         "instance_id", F.md5(joined("chosen", "|")).alias("chosen_md5"),
         F.md5(joined("rejected", "|")).alias("rejected_md5"),
@@ -270,22 +324,22 @@ def relabelled(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return pairing.preference_pairs(scored(spark, sf))
+    return pairing.preference_pairs(scored(spark, sf, "scores"))
 
 
 def bounded_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return pairing.preference_pairs(scored(spark, sf), max_loop=1)
+    """Each completion of the shorter list is used twice at most."""
+    return pairing.preference_pairs(scored(spark, sf, "scores"), max_loop=2)
 
 
 def self_consistent_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """All stages in a row: filter instances, then score and pair with kept verifiers."""
     kept = filtering.filtered_instances(weighed(spark, sf)).select(
-        "instance_id", "query", "instruction", "verifiers"
-    )
-    completed = kept.join(fixtures.drawn_completions(spark, sf), "instance_id")
-    return pairing.preference_pairs(
-        scoring.score(scoring.judge_completions(completed, allow_execution=True))
+        F.col("instance_id").alias("conv_id"), "query", "instruction", "verifiers"
     )
+    completed = kept.join(fixtures.drawn_completions(spark, sf), "conv_id")
+    judged = scoring.judge_completions(completed, allow_execution=True)
+    return pairing.preference_pairs(scoring.score(judged, ("scores",)))
 
 
 # Training batches and metrics
@@ -317,14 +371,14 @@ def padded_batches(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def logprobs(spark: SparkSession, sf: str) -> DataFrame:
-    """Stand-in log-probabilities: four stretches of 16 entries of each vector."""
-    vector = F.col("embedding").cast("array<double>")
+    """Stand-in log-probabilities: the four quarters of each vector."""
+    vector, quarter = F.col("embedding").cast("array<double>"), F.expr("size(embedding) div 4").cast("int")
     names = ("pi_chosen", "pi_rejected", "ref_chosen", "ref_rejected")
     return table(spark, sf, "embeddings").select(
-        F.floor(F.col("vec_id") / BATCH_SIZE).alias("batch_id"),
-        *[F.slice(vector, 16 * i + 1, 16).alias(name) for i, name in enumerate(names)],
-        F.pmod("vec_id", F.lit(18)).cast("int").alias("len_chosen"),
-        F.pmod(F.col("vec_id") * 7, F.lit(18)).cast("int").alias("len_rejected"),
+        F.expr(f"vec_id div {BATCH_SIZE}").alias("batch_id"),
+        *[F.slice(vector, quarter * i + 1, quarter).alias(name) for i, name in enumerate(names)],
+        F.pmod("vec_id", quarter + 2).cast("int").alias("len_chosen"),
+        F.pmod(F.col("vec_id") * 7, quarter + 2).cast("int").alias("len_rejected"),
     )
 
 
@@ -341,7 +395,7 @@ def dpo_metrics_nll(spark: SparkSession, sf: str) -> DataFrame:
 
 def shift_scores(spark: SparkSession, sf: str) -> DataFrame:
     """Every turn as a one-message chat, with made-up log-probabilities per position."""
-    turns = fixtures.spread_scan(table(spark, sf, "conversations"))
+    turns = fixtures.spread(table(spark, sf, "conversations"), "conv_id", "turn")
     text = chat.render_chat(F.array(F.struct("role", F.col("text").alias("content"))))
     marked = F.transform(
         split_tokens(F.col("text")),
@@ -422,6 +476,7 @@ def limited_scorecard(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "hh_queries": hh_queries,
     "first_message_queries": first_message_queries,
+    "message_list_queries": message_list_queries,
     "sampled_queries": sampled_queries,
     "merged_shards": merged_shards,
     "clean_instructions": clean_instructions,
@@ -431,17 +486,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "completion_prompts": completion_prompts,
     "generated_texts": generated_texts,
     "replayed_generations": replayed_generations,
+    "generated_dataset": generated_dataset,
     "parsed_test_cases": parsed_test_cases,
     "verdict_matrix": verdict_matrix,
     "kept_test_cases": kept_test_cases,
     "verifier_pass_rates": verifier_pass_rates,
     "filtered_instances": filtered_instances,
+    "stored_instances": stored_instances,
     "instance_counters": instance_counters,
     "filter_funnel": filter_funnel,
     "completion_verdicts": completion_verdicts,
     "completion_scores": completion_scores,
     "labelled_completions": labelled_completions,
     "score_map": score_map,
+    "stored_scores": stored_scores,
     "yield_report": yield_report,
     "relabelled": relabelled,
     "preference_pairs": pairs,

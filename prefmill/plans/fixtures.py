@@ -15,8 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prefmill.functions.derive import settle
-from prefmill.functions.keys import dense_index, md5_int, row_count
-from prefmill.operators.sampling import collect_samples, expand_samples
+from prefmill.functions.keys import dense_index, row_count
+from prefmill.operators.sampling import collect_samples
 from prefmill.sources.dialogues import opening_turns
 
 NUM_COMPLETIONS = 8
@@ -164,14 +164,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread_scan(scan: DataFrame) -> DataFrame:
-    """A scan with at least one split per core, for CPU-heavy work on its rows.
+def spread(df: DataFrame, *keys: Column | str) -> DataFrame:
+    """Rows dealt over the cluster's shuffle partitions, for CPU-heavy work on them.
 
-    A small or unsplittable file would keep one core busy. A large table has more
-    splits than cores and is left as it is.
+    Splits sized by bytes are too few for that. The number is given so that adaptive
+    execution does not take the small partitions together again.
     """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
 def templates(spark: SparkSession) -> DataFrame:
@@ -187,10 +186,10 @@ def templates(spark: SparkSession) -> DataFrame:
     return F.broadcast(spark.createDataFrame(rows, schema))
 
 
-def instances(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
+def instances(spark: SparkSession, sf_dir: str, spread_out: bool = False) -> DataFrame:
     """(instance_id, query, instruction, verifiers, testcases), one per conversation.
 
-    ``spread`` is for CPU-bound work on the rows, such as running verifiers: partitions
+    ``spread_out`` is for CPU-bound work on the rows, such as running verifiers: partitions
     sized by bytes are too few for it. Only the openers move for that; the wide columns
     are added behind the exchange. It hashes the hashed id, because hashing the id again
     would be taken for the partitioning that is already there.
@@ -199,11 +198,8 @@ def instances(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFra
         F.col("conv_id").alias("instance_id"), F.col("text").alias("query"),
         F.pmod("conv_id", F.lit(len(TEMPLATES))).cast("int").alias("template"),
     )
-    if spread:
-        # The shuffle partitions a cluster is set up with, but no crumbs on a small one.
-        cores = spark.sparkContext.defaultParallelism
-        parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * cores)
-        opened = opened.repartition(parts, F.xxhash64("instance_id"))
+    if spread_out:
+        opened = spread(opened, F.xxhash64("instance_id"))
     opened = opened.join(templates(spark), "template")
 
     def own_case(result: bool) -> Column:
@@ -228,22 +224,30 @@ def instances(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFra
 
 
 def drawn_completions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(instance_id, completions): eight whole documents per conversation.
+    """(instance_id, conv_id, completions): every document is a completion once.
 
-    Keys are matched first, so the document texts are shuffled once. In every fifth
-    conversation the last slot repeats the first.
+    Documents in hash order, eight to an instance; instances take the conversations in
+    turn, also in hash order. Every fifth instance repeats its first document at the end.
+    Keys are matched first, so the document texts are shuffled once to their instance.
     """
     documents = table(spark, sf_dir, "documents")
-    ids = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("instance_id"))
-    drawn = expand_samples(ids.distinct(), NUM_COMPLETIONS, "slot")
-    repeat = (F.col("instance_id") % 5 == 0) & (F.col("slot") == NUM_COMPLETIONS - 1)
-    source = F.when(repeat, 0).otherwise(F.col("slot"))
-    at = F.pmod(md5_int("completions", F.col("instance_id"), source), row_count(documents))
+    conversations = table(spark, sf_dir, "conversations").select("conv_id").distinct()
     index = dense_index(documents.select("doc_id"), "doc_id", "docs")
-    chosen = settle(drawn, {"idx": at}).join(index, "idx").drop("idx")
-    texts = chosen.join(documents.select("doc_id", "text"), "doc_id")
-    return collect_samples(texts, "instance_id", "text", "slot", "completions")
+    placed = index.select(
+        "doc_id", F.expr(f"idx div {NUM_COMPLETIONS}").alias("instance_id"),
+        F.pmod("idx", F.lit(NUM_COMPLETIONS)).cast("int").alias("slot"),
+    )
+    texts = placed.join(documents.select("doc_id", "text"), "doc_id")
+    folded = collect_samples(texts, "instance_id", "text", "slot", "completions")
+    repeated = F.when(
+        F.col("instance_id") % 5 == 0, F.concat("completions", F.slice("completions", 1, 1))
+    ).otherwise(F.col("completions"))
+    turn = F.pmod("instance_id", row_count(conversations))
+    asked = settle(folded.select("instance_id", repeated.alias("completions")), {"idx": turn})
+    return asked.join(dense_index(conversations, "conv_id", "convs"), "idx").drop("idx")
 
 
 def completed_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return instances(spark, sf_dir).join(drawn_completions(spark, sf_dir), "instance_id")
+    """(instance_id, conv_id, completions) with what the conversation's instance asks."""
+    asked = instances(spark, sf_dir).withColumnRenamed("instance_id", "conv_id")
+    return asked.drop("testcases").join(drawn_completions(spark, sf_dir), "conv_id")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from prefmill.functions import chat
 from prefmill.functions.tokens import HASHED_VOCABULARY, TOKEN_PATTERN
 from prefmill.plans import fixtures
-from prefmill.plans.catalog import BATCH_SIZE, SAMPLES
+from prefmill.plans.catalog import BATCH_SIZE, GENERATED, SAMPLES
 from prefmill.plans.fixtures import TEMPLATES
 from prefmill.sources.jsonl import COUNTERS
 
@@ -180,19 +180,26 @@ CTES["counters"] = """
         FROM instances i)"""
 
 CTES["completions"] = f"""
-  SELECT d.instance_id, d.slot, t.text AS completion
-  FROM (SELECT conv_id AS instance_id, slot,
-               {h("'completions'", "conv_id", "CASE WHEN conv_id % 5 = 0 AND slot = 7 THEN 0 ELSE slot END")}
-                 % (SELECT count(*) FROM documents) AS idx
-        FROM (SELECT DISTINCT conv_id FROM conversations), range({fixtures.NUM_COMPLETIONS}) r(slot)) d
-  JOIN (SELECT doc_id, text,
-               row_number() OVER (ORDER BY {h("'docs'", "doc_id")}, doc_id) - 1 AS idx
-        FROM documents) t ON t.idx = d.idx"""
+  SELECT idx // {fixtures.NUM_COMPLETIONS} AS instance_id, idx % {fixtures.NUM_COMPLETIONS} AS slot, text AS completion
+  FROM (SELECT text, row_number() OVER (ORDER BY {h("'docs'", "doc_id")}, doc_id) - 1 AS idx FROM documents)"""
+
+CTES["slots"] = f"""
+  SELECT * FROM completions UNION ALL
+  SELECT instance_id, (SELECT max(slot) + 1 FROM completions c WHERE c.instance_id = f.instance_id) AS slot, completion
+  FROM completions f WHERE slot = 0 AND instance_id % 5 = 0"""
+
+CTES["completed"] = f"""
+  SELECT a.instance_id, conv_id, i.query, i.instruction, i.template
+  FROM (SELECT DISTINCT instance_id FROM completions) a
+  JOIN (SELECT conv_id, row_number() OVER (ORDER BY {h("'convs'", "conv_id")}, conv_id) - 1 AS conv_idx
+        FROM (SELECT DISTINCT conv_id FROM conversations)) c
+    ON conv_idx = a.instance_id % (SELECT count(DISTINCT conv_id) FROM conversations)
+  JOIN instances i ON i.instance_id = c.conv_id"""
 
 CTES["completion_codes"] = f"""
-  SELECT v.instance_id, v.verifier_pos, v.compiled, c.slot, c.completion,
-         {code("c.completion")} AS code
-  FROM instance_verifiers v JOIN completions c USING (instance_id)"""
+  SELECT c.instance_id, conv_id, verifier_pos, {COMPILED} AS compiled, slot, completion,
+         {code("completion")} AS code
+  FROM completed c JOIN verifiers USING (template) JOIN slots s ON s.instance_id = c.instance_id"""
 
 CTES["rates"] = """
   SELECT instance_id, slot, any_value(completion) AS completion,
@@ -202,8 +209,9 @@ CTES["rates"] = """
 CTES["kept_rates"] = """
   SELECT instance_id, slot, any_value(completion) AS completion,
          sum(CASE WHEN (code & 4) <> 0 THEN 1 ELSE 0 END) / count(*)::DOUBLE AS rate
-  FROM completion_codes SEMI JOIN kept_verifiers USING (instance_id, verifier_pos)
-  GROUP BY instance_id, slot"""
+  FROM completion_codes c SEMI JOIN kept_verifiers k
+    ON k.instance_id = c.conv_id AND k.verifier_pos = c.verifier_pos
+  GROUP BY c.instance_id, slot"""
 
 
 def _score_map(rates: str) -> str:
@@ -222,7 +230,7 @@ def _pairs(scores: str, limit: str = "greatest(nc, nr)") -> str:
                 coalesce(list(completion ORDER BY first_slot) FILTER (score >= 0.5), []) AS c,
                 coalesce(list(completion ORDER BY first_slot) FILTER (score = 0), []) AS r
               FROM {scores} GROUP BY instance_id))
-  JOIN instances USING (instance_id)"""
+  JOIN completed USING (instance_id)"""
 
 
 CTES["score_map"] = _score_map("rates")
@@ -277,8 +285,8 @@ CTES["views"] = """
 
 CTES["batched"] = f"""
   SELECT *, idx // {BATCH_SIZE} AS batch_id, (idx % {BATCH_SIZE})::INT AS batch_pos
-  FROM (SELECT *, row_number() OVER (ORDER BY {h("'42:0'", "instance_id", "pair_idx")},
-                                     instance_id || ':' || pair_idx) - 1 AS idx FROM views)"""
+  FROM (SELECT *, row_number() OVER (ORDER BY {h("'42:0'", "key")}, key) - 1 AS idx
+        FROM (SELECT *, '{{"instance_id":' || instance_id || ',"pair_idx":' || pair_idx || '}}' AS key FROM views))"""
 
 CTES["longest"] = """
   SELECT *, max(len(chosen)) OVER b AS max_chosen, max(len(rejected)) OVER b AS max_rejected,
@@ -287,15 +295,16 @@ CTES["longest"] = """
 
 
 def _stretch(name: str, side: str, at: int) -> str:
-    part = f"list_slice(embedding::DOUBLE[], {at} + 17 - least(len_{side}, 16), {at} + 16)"
+    part = f"list_slice(embedding::DOUBLE[], ({at} + 1) * q + 1 - least(len_{side}, q), ({at} + 1) * q)"
     return f"CASE WHEN len_{side} = 0 THEN 0 ELSE list_sum({part}) END AS {name}_{side}"
 
 
 CTES["sums"] = f"""
   SELECT vec_id // {BATCH_SIZE} AS batch_id, len_chosen, len_rejected,
-         {_stretch("pi", "chosen", 0)}, {_stretch("pi", "rejected", 16)},
-         {_stretch("ref", "chosen", 32)}, {_stretch("ref", "rejected", 48)}
-  FROM (SELECT *, vec_id % 18 AS len_chosen, (vec_id * 7) % 18 AS len_rejected FROM embeddings)"""
+         {_stretch("pi", "chosen", 0)}, {_stretch("pi", "rejected", 1)},
+         {_stretch("ref", "chosen", 2)}, {_stretch("ref", "rejected", 3)}
+  FROM (SELECT *, len(embedding) // 4 AS q, vec_id % (q + 2) AS len_chosen, (vec_id * 7) % (q + 2) AS len_rejected
+        FROM embeddings)"""
 
 
 def _metrics(beta: float) -> str:
@@ -363,12 +372,57 @@ _CHOICE_CARD = """
           list(option ORDER BY ll / length(text) DESC, option)[1] AS best_norm
         FROM ({}) GROUP BY item_id)"""
 
+def _generated() -> str:
+    """The three generating stages, each prompt and the number drawn from it spelled out."""
+
+    def answer(seed: str, slot: str, prompt: str) -> str:
+        return f"'Use at least ' || ({h(seed, 'instance_id', slot, prompt)} % 90 + 10) || ' words.'"
+
+    seeds = turn("user", lit(chat.INSTRUCTION_TEMPLATE.replace("{seeds}", fixtures.SEEDS)))
+    ask = "{} || {} || query || {}".format(rendered(seeds, reply=True), lit("\nQuery: "), lit("\nInstruction:"))
+    verify = turn("user", fill(chat.VERIFIER_TEMPLATE, query="query", instruction="instruction"))
+    verifier_prompt = f"{rendered(verify, reply=True)} || {lit(chat.CODE_FENCE + chat.VERIFIER_OPENING)}"
+    quoted = turn("assistant", f"{lit('```' + chr(10))} || verifier || '```'")
+    cases = turn("user", fill(chat.TEST_CASE_TEMPLATE, instruction="instruction"))
+    case_prompt = f"{rendered(verify, quoted, cases, reply=True)} || {lit(chat.TEST_CASE_OPENING)}"
+    complete = turn(
+        "user", fill(chat.COMPLETION_TEMPLATE, query="query", instruction="instruction", verifier="picked")
+    )
+    completion_prompt = rendered(complete, reply=True)
+    return f"""
+WITH opener AS ({CTES["opener"]}), first_messages AS ({CTES["first_messages"]}),
+drawn AS (
+  SELECT d.instance_id, q.query
+  FROM (SELECT conv_id AS instance_id, {h("42", "conv_id")} % (SELECT count(*) FROM first_messages) AS idx
+        FROM (SELECT DISTINCT conv_id FROM conversations)) d
+  JOIN (SELECT *, row_number() OVER (ORDER BY {h("42", "conv_id")}, conv_id) - 1 AS idx FROM first_messages) q
+    ON q.idx = d.idx),
+instructed AS (SELECT *, {answer("42", "0", ask)} AS instruction FROM drawn),
+verified AS (
+  SELECT *, {lit(chat.VERIFIER_OPENING)} || {answer("42", "slot", verifier_prompt)} AS verifier
+  FROM instructed, range({GENERATED}) r(slot)),
+tested AS (
+  SELECT *, {lit(chat.TEST_CASE_OPENING)} || {answer("43", "slot", case_prompt)} AS testcase FROM verified),
+folded AS (
+  SELECT instance_id, any_value(query) AS query, any_value(instruction) AS instruction,
+         list(verifier ORDER BY slot) AS verifiers, list(testcase ORDER BY slot) AS testcases
+  FROM tested GROUP BY instance_id),
+completed AS (
+  SELECT *, {answer("42", "slot", completion_prompt)} AS completion
+  FROM (SELECT *, verifiers[{h("42", "instance_id", "slot")} % {GENERATED} + 1] AS picked
+        FROM folded, range({GENERATED}) r(slot)))
+SELECT instance_id, any_value(instruction) AS instruction,
+       md5(array_to_string(any_value(verifiers), '|')) AS verifiers_md5,
+       md5(array_to_string(any_value(testcases), '|')) AS testcases_md5,
+       string_agg(completion, '|' ORDER BY slot) AS completions
+FROM completed GROUP BY instance_id"""
+
+
 # query name -> (the CTEs it needs, in order; the final SELECT)
 _CASE_CTES = "opener instances verifiers instance_verifiers blocks cases"
 _KEPT_CTES = f"{_CASE_CTES} verdicts passes kept_cases rated kept_verifiers"
-_RATE_CTES = (
-    "opener instances verifiers instance_verifiers completions completion_codes rates"
-)
+_COMPLETED_CTES = "completions slots completed completion_codes"
+_RATE_CTES = f"opener instances verifiers instance_verifiers {_COMPLETED_CTES} rates"
 _PAIR_CTES = f"{_RATE_CTES} score_map pairs"
 _COUNTER_LIST = ", ".join(COUNTERS)
 
@@ -385,6 +439,11 @@ SELECT conv_id, query FROM (
 WHERE length(query) BETWEEN 5 AND 200""",
     ),
     "first_message_queries": ("opener first_messages", "SELECT conv_id, query FROM first_messages"),
+    "message_list_queries": (
+        "opener first_messages",
+        """SELECT conv_id, query FROM first_messages
+WHERE conv_id % 11 > 0 AND conv_id % 13 > 0 AND conv_id % 17 > 0""",
+    ),
     "sampled_queries": (
         "opener first_messages sampled", "SELECT instance_id, conv_id, query FROM sampled",
     ),
@@ -392,7 +451,8 @@ WHERE length(query) BETWEEN 5 AND 200""",
     "clean_instructions": (
         "",
         f"""
-SELECT page_id, count(*) AS pieces, sum(length(x))::BIGINT AS chars, min(x) AS least, max(x) AS greatest
+SELECT page_id, count(*) AS pieces, sum(length(x))::BIGINT AS chars, min(x) AS least, max(x) AS greatest,
+       sum({h("x")} % {1 << 40})::BIGINT AS checksum
 FROM (SELECT page_id, {_STRIPPED} AS x
       FROM (SELECT page_id, unnest(regexp_split_to_array(html, '[<>]')) AS piece FROM pages))
 WHERE x <> '' GROUP BY page_id""",
@@ -463,17 +523,18 @@ FROM (SELECT instance_id, {} || {} AS prompt FROM instances), range({}) r(sample
     "replayed_generations": (
         "",
         """
-SELECT prompt_id, array_to_string(list({cut} ORDER BY sample_idx), '|') AS texts
-FROM (SELECT conv_id || ':' || turn AS prompt_id, sample_idx,
+SELECT prompt_id, array_to_string(list(CASE WHEN lost THEN '<missing>' ELSE {cut} END ORDER BY sample_idx), '|') AS texts
+FROM (SELECT conv_id || ':' || turn AS prompt_id, sample_idx, {lost} % 7 = 0 AS lost,
              {idx} % (SELECT count(*) FROM benchmark) AS idx
       FROM (SELECT conv_id, turn, md5({prompt}) AS key FROM conversations), range({n}) r(sample_idx))
 JOIN (SELECT text, row_number() OVER (ORDER BY {order}, item_id) - 1 AS idx FROM benchmark) USING (idx)
 GROUP BY prompt_id""".format(
-            cut=_STOP_CUT, idx=h("'replay'", "key", "sample_idx"),
+            cut=_STOP_CUT, idx=h("'replay'", "key", "sample_idx"), lost=h("'lost'", "key", "sample_idx"),
             prompt=rendered(turn("user", "text"), reply=True), n=SAMPLES,
             order=h("'replay'", "item_id"),
         ),
     ),
+    "generated_dataset": ("", _generated()),
     "parsed_test_cases": (
         "opener instances blocks cases",
         "SELECT instance_id, case_pos::INT AS case_pos, response, result FROM cases",
@@ -502,6 +563,13 @@ SELECT i.instance_id, query, instruction,
   (SELECT string_agg(response || '=' || result::VARCHAR, '|' ORDER BY case_pos) FROM kept_cases k WHERE k.instance_id = i.instance_id) AS test_cases,
   verifiers_pass_80pct::INT AS verifiers_pass_80pct, total_passes::INT AS total_passes
 FROM instances i JOIN counters USING (instance_id) WHERE unique_instances = 1""",
+    ),
+    "stored_instances": (
+        f"{_KEPT_CTES} counters",
+        """
+SELECT instance_id, (row_number() OVER (PARTITION BY instance_id ORDER BY case_pos) - 1)::INT AS pos,
+       response, result, total_passes::INT AS total_passes
+FROM kept_cases JOIN counters USING (instance_id) WHERE unique_instances = 1""",
     ),
     "instance_counters": (
         f"{_KEPT_CTES} counters",
@@ -512,7 +580,7 @@ FROM instances i JOIN counters USING (instance_id) WHERE unique_instances = 1"""
         "SELECT " + ", ".join(f"sum({c})::BIGINT AS {c}" for c in COUNTERS) + " FROM counters",
     ),
     "completion_verdicts": (
-        "opener instances verifiers instance_verifiers completions completion_codes",
+        f"opener instances verifiers instance_verifiers {_COMPLETED_CTES}",
         """
 SELECT DISTINCT instance_id, verifier_pos, compiled,
        CASE WHEN compiled THEN slot::INT END AS input_pos,
@@ -536,6 +604,10 @@ SELECT instance_id, completion, score,
        (row_number() OVER (PARTITION BY instance_id ORDER BY first_slot) - 1)::INT AS pos
 FROM score_map""",
     ),
+    "stored_scores": (
+        f"{_RATE_CTES} score_map",
+        "SELECT instance_id, md5(completion) AS completion_md5, score FROM score_map",
+    ),
     "yield_report": (
         _RATE_CTES,
         """
@@ -561,10 +633,10 @@ FROM (SELECT instance_id,
     "bounded_pairs": (
         f"{_RATE_CTES} score_map",
         "SELECT instance_id, pair_idx, prompt, chosen, rejected FROM ("
-        + _pairs("score_map", "least(nc, nr)") + ")",
+        + _pairs("score_map", "least(greatest(nc, nr), 2 * least(nc, nr))") + ")",
     ),
     "self_consistent_pairs": (
-        f"{_KEPT_CTES} completions completion_codes kept_rates kept_score_map kept_pairs",
+        f"{_KEPT_CTES} {_COMPLETED_CTES} kept_rates kept_score_map kept_pairs",
         "SELECT instance_id, pair_idx, prompt, chosen, rejected FROM kept_pairs",
     ),
     "token_views": (

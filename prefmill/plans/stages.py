@@ -7,7 +7,7 @@ Generating stages are lazy; write their result before reading it twice.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prefmill.functions import chat
@@ -21,16 +21,20 @@ from prefmill.operators.sampling import draw_with_replacement, pick_per_slot, sl
 from prefmill.operators.scoring import judge_completions, score, scored_rows, yield_report
 from prefmill.operators.verification import Budget
 from prefmill.session import materialise
+from prefmill.sources.jsonl import COUNTERS
 
 # End marks of a generated text.
 TURN_ENDS = ("<|eot_id|>", "<|eom_id|>")
 
 
 def build_instructions(
-    queries: DataFrame, key: str, seeds: str, limit: int, backend: BackendFactory,
+    queries: DataFrame, key: str, seeds: str, limit: int | DataFrame, backend: BackendFactory,
     seed: int = 42, batch_size: int = 8, partitions: int | None = None,
 ) -> DataFrame:
-    """Draw queries and ask for one instruction each: (instance_id, query, instruction)."""
+    """Draw queries and ask for one instruction each: (instance_id, query, instruction).
+
+    ``limit`` is how many to draw, or a table whose ``instance_id`` names them.
+    """
     stops = ("\n", *TURN_ENDS)
     drawn = draw_with_replacement(queries.select(key, "query"), key, limit, seed)
     prompted = drawn.select(
@@ -81,7 +85,7 @@ def build_artifacts(
     )
     options = SamplingOptions(stop=TURN_ENDS, seed=seed + 1)
     return (
-        generate(second, backend, options, batch_size=batch_size)
+        generate(second, backend, options, batch_size=batch_size, partitions=partitions)
         .withColumn(
             "testcases",
             F.transform(
@@ -99,10 +103,15 @@ def filter_artifacts(
 ) -> tuple[DataFrame, DataFrame]:
     """(self-consistent instances, funnel totals).
 
-    Both read the verdicts; they are written once so the verifiers run once.
+    Both read the verdicts; they are written once so the verifiers run once, and only
+    what the two need.
     """
+    judged = judge_test_cases(artifacts, budget, allow_execution, partitions)
     weighed = materialise(
-        weigh(judge_test_cases(artifacts, budget, allow_execution, partitions)), "weighed"
+        weigh(judged).select(
+            "instance_id", "query", "instruction", "kept_verifiers", "kept_cases", "kept", *COUNTERS
+        ),
+        "weighed",
     )
     return filtered_instances(weighed), funnel(weighed)
 
@@ -136,16 +145,14 @@ def score_completions(
 ) -> tuple[DataFrame, DataFrame]:
     """(scored instances, yield report); the verifiers run once.
 
-    The inputs are counted on the way: counting ``completed`` by itself could mean
-    generating it again.
+    Instances over the time limit are written too, marked and empty, so the inputs can be counted
+    from what was written: counting ``completed`` by itself could mean generating it again.
     """
-    inputs = Observation()
-    counted = completed.observe(inputs, F.count(F.lit(1)).alias("n"))
-    scored = materialise(
-        scored_rows(score(judge_completions(counted, budget, allow_execution, partitions))),
-        "scored",
-    )
-    return scored, yield_report(scored, inputs.get["n"])
+    judged = judge_completions(completed, budget, allow_execution, partitions, keep_timed_out=True)
+    done = score(judged, ("chosen", "rejected", "scores"))
+    written = materialise(scored_rows(done, "verdicts.timed_out"), "scored")
+    scored = written.filter(~F.col("timed_out")).drop("timed_out")
+    return scored, yield_report(scored, written.count())
 
 
 def training_batches(

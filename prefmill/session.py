@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
@@ -20,37 +22,63 @@ DEFAULTS = {
 }
 
 
-def build_session(master: str | None = None, **conf: str) -> SparkSession:
-    """Session with the defaults above; shuffle partitions stay the cluster's choice."""
+#: Folder under the scratch root that the run in progress writes to.
+_run: ContextVar[str | None] = ContextVar("run", default=None)
+
+
+def build_session(
+    master: str | None = None, scratch: str | None = None, **conf: str
+) -> SparkSession:
+    """Session with the defaults above; shuffle partitions stay the cluster's choice.
+
+    ``scratch`` is a folder that driver and executors share. It can only be named before
+    the session starts.
+    """
     builder = SparkSession.builder.appName("prefmill")
     if master:
         builder = builder.master(master)
+    if scratch:
+        conf = {"spark.checkpoint.dir": scratch, **conf}
     for key, value in {**DEFAULTS, **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names in ``spark.checkpoint.dir``.
-
-    A temporary folder is made only where that is unset and the session is local.
-    """
+    """The shared folder the cluster names in ``spark.checkpoint.dir``."""
     try:
         root = spark.conf.get("spark.checkpoint.dir")
     except PySparkException:
         root = None
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    root = tempfile.mkdtemp(prefix="prefmill-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    if not root:
+        raise ValueError(
+            "no scratch folder: start the session with build_session(scratch=...) or with "
+            "spark.checkpoint.dir set to a folder all executors share, or pass a path"
+        )
+    return root.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path under the scratch folder that no other run uses."""
-    return f"{scratch_root(spark)}/prefmill/{name}-{uuid.uuid4().hex}"
+    folder = _run.get() or f"{scratch_root(spark)}/prefmill"
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def scratch_run(spark: SparkSession) -> Iterator[str]:
+    """What is written to scratch inside goes to one folder, removed at the end.
+
+    Write results that are still needed elsewhere before leaving: frames read from scratch
+    cannot be evaluated afterwards.
+    """
+    folder = f"{scratch_root(spark)}/prefmill/run-{uuid.uuid4().hex}"
+    token = _run.set(folder)
+    try:
+        yield folder
+    finally:
+        _run.reset(token)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialise(df: DataFrame, name: str, path: str | None = None) -> DataFrame:

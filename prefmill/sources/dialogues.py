@@ -87,12 +87,17 @@ def delimited_openings(turns: DataFrame) -> DataFrame:
 
 
 def load_queries(
-    spark: SparkSession, name: str, path: str, low: int = 5, high: int = 200
+    spark: SparkSession, name: str, path: str, low: int = 5, high: int = 200, lines: bool = False
 ) -> DataFrame:
-    """Query source by name: ``hh`` (delimited, JSON lines) or ``sharegpt`` (one JSON list)."""
+    """Query source by name: ``hh`` (delimited, JSON lines) or ``sharegpt`` (one JSON list).
+
+    A malformed line or list stops the job. One task parses a whole list; ``lines`` reads
+    ``sharegpt`` as JSON lines instead, which large files should be written as.
+    """
+    strict = spark.read.option("mode", "FAILFAST")
     if name == "hh":
-        return delimited_queries(spark.read.schema(DIALOGUE).json(path), low=low, high=high)
+        return delimited_queries(strict.schema(DIALOGUE).json(path), low=low, high=high)
     if name == "sharegpt":
-        raw = spark.read.schema(MESSAGES).json(path, multiLine=True)
+        raw = strict.schema(MESSAGES).json(path, multiLine=not lines)
         return message_queries(raw, low=low, high=high)
     raise ValueError(f"no query source is called {name!r}")

@@ -79,11 +79,12 @@ def write_jsonl(df: DataFrame, path: str) -> None:
         ),
         F.lit("]"),
     )
-    rest = F.to_json(
-        F.struct(*[c for c in df.columns if c != "test_cases"]), {"ignoreNullFields": "false"}
-    )
-    line = F.concat(F.lit('{"test_cases":'), F.coalesce(cases, F.lit("null")), F.lit(","),
-                    F.substr(rest, F.lit(2)))
+    others = [c for c in df.columns if c != "test_cases"]
+    end = F.lit("}")
+    if others:
+        rest = F.to_json(F.struct(*others), {"ignoreNullFields": "false"})
+        end = F.concat(F.lit(","), F.substr(rest, F.lit(2)))
+    line = F.concat(F.lit('{"test_cases":'), F.coalesce(cases, F.lit("null")), end)
     df.select(line.alias("value")).write.mode("overwrite").text(path)
 
 
@@ -93,12 +94,13 @@ def _json_string(text):
     return F.substr(listed, F.lit(2), F.length(listed) - 2)
 
 
-def merge_shards(spark: SparkSession, prefix: str, suffix: str = ".jsonl") -> str:
-    """Concatenate ``{prefix}-*{suffix}`` into ``{prefix}{suffix}``, line by line.
+def merge_shards(spark: SparkSession, prefix: str, suffix: str = ".jsonl", sign: str = "-") -> str:
+    """Concatenate ``{prefix}{sign}*{suffix}`` into ``{prefix}{suffix}``, line by line.
 
     Lines are split per file, so a shard without a final line break cannot fuse with
     the next one.
     """
     target = f"{prefix}{suffix}"
-    spark.read.text(f"{prefix}-*{suffix}").write.mode("overwrite").text(target)
+    shards = spark.read.text(f"{prefix}{sign}*{suffix}").select("value")
+    shards.write.mode("overwrite").text(target)
     return target

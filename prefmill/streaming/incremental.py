@@ -11,6 +11,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+RETAINED = "spark.sql.streaming.numRecentProgressUpdates"
+POLL_SECONDS = 0.5
+
 
 def run_incrementally(
     spark: SparkSession, source: str, schema: str, stage: Callable[[DataFrame], DataFrame],
@@ -20,21 +23,36 @@ def run_incrementally(
 
     ``target`` receives Parquet; ``checkpoint`` is a shared folder that belongs to this
     stage and target. Returns the number of input rows read by this run.
+
+    Spark keeps the reports of the last triggers only, so they are gathered while the run
+    goes on; a gap in their batch numbers is an error rather than a wrong count.
     """
+    kept = spark.conf.get(RETAINED)
+    spark.conf.set(RETAINED, max(1000, int(kept)))
     stream = (
         spark.readStream.schema(schema)
         .option("mode", "FAILFAST")
         .option("maxFilesPerTrigger", files_per_trigger)
         .json(source)
     )
-    query = (
-        stage(stream)
-        .writeStream.format("parquet")
-        .option("path", target)
-        .option("checkpointLocation", checkpoint)
-        .outputMode("append")
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
-    return sum(p["numInputRows"] for p in query.recentProgress)
+    try:
+        query = (
+            stage(stream)
+            .writeStream.format("parquet")
+            .option("path", target)
+            .option("checkpointLocation", checkpoint)
+            .outputMode("append")
+            .trigger(availableNow=True)
+            .start()
+        )
+        rows: dict[int, int] = {}
+        ended = False
+        while not ended:
+            ended = query.awaitTermination(POLL_SECONDS)
+            for report in query.recentProgress:
+                rows[report["batchId"]] = max(rows.get(report["batchId"], 0), report["numInputRows"])
+    finally:
+        spark.conf.set(RETAINED, kept)
+    if rows and len(rows) != max(rows) - min(rows) + 1:
+        raise RuntimeError("reports of some triggers were lost; the data is complete, its count is not")
+    return sum(rows.values())

@@ -8,6 +8,7 @@ from prefmill.functions import chat
 from prefmill.operators.generation import (
     SamplingOptions, generate, micro_batches, replay, template_backend,
 )
+from prefmill.operators.sampling import collect_samples
 
 
 def test_micro_batches_recut_any_stream():
@@ -109,3 +110,22 @@ def test_three_turn_prompt_quotes_the_verifier(spark):
 
 def test_training_prompt(spark):
     assert text_of(spark, chat.training_prompt(F.lit("q"), F.lit("i"))) == "q\ni"
+
+
+def test_replay_keeps_what_was_not_recorded(spark):
+    prompts = spark.createDataFrame([("p", i) for i in range(3)] + [("q", i) for i in range(3)], "prompt string, sample_idx int")
+    recorded = spark.createDataFrame([("p", 0, "a"), ("p", 2, "c")], "prompt string, sample_idx int, text string")
+    recorded = recorded.select(F.md5("prompt").alias("prompt_md5"), "sample_idx", "text")
+    with pytest.raises(Exception, match="not recorded"):
+        replay(prompts, recorded, "sample_idx").collect()
+    found = replay(prompts, recorded, "sample_idx", missing="null")
+    folded = collect_samples(found, "prompt", count=3)
+    assert {r["prompt"]: r["texts"] for r in folded.collect()} == {"p": ["a", None, "c"], "q": [None] * 3}
+    fewer = collect_samples(found.filter("text IS NOT NULL"), "prompt", count=3)
+    assert [r["texts"] for r in fewer.collect()] == [["a", None, "c"]]
+
+
+def test_no_hot_rows_allowed(spark):
+    prompts = spark.createDataFrame([("p", 0)], "prompt string, sample_idx int")
+    recorded = prompts.select(F.md5("prompt").alias("prompt_md5"), "sample_idx", F.lit("t").alias("text"))
+    assert replay(prompts, recorded, "sample_idx", hot_rows=0).first()["text"] == "t"

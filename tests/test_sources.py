@@ -1,9 +1,11 @@
 import json
+from pathlib import Path
 
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from prefmill.session import materialise, scratch_root, with_stable_row_id
+from prefmill.session import materialise, scratch_root, scratch_run, with_stable_row_id
 from prefmill.sources import dialogues, jsonl
 
 
@@ -135,3 +137,45 @@ def test_row_ids_are_unique_and_stable(spark):
     df = with_stable_row_id(spark.range(100).select(F.lit("same").alias("query")).repartition(5), "ids")
     one, two = (sorted(r["row_id"] for r in df.collect()) for _ in range(2))
     assert one == two and len(set(one)) == 100
+
+
+def test_malformed_dialogues_stop_the_job(spark, tmp_path):
+    write(tmp_path / "hh.jsonl", '{"chosen": "\\n\\nHuman: a question\\n\\nAssistant: x"}\n{"chosen": \n')
+    write(tmp_path / "cut.json", '[{"conversations": [{"from": "human", "value": "a question"}]}, {"conv')
+    for name, path in (("hh", "hh.jsonl"), ("sharegpt", "cut.json")):
+        with pytest.raises(Exception, match="(?i)malformed"):
+            dialogues.load_queries(spark, name, str(tmp_path / path)).collect()
+
+
+def test_message_lists_as_lines(spark, tmp_path):
+    lists = [{"conversations": [{"from": "human", "value": f"question {i}"}]} for i in range(3)]
+    write(tmp_path / "lines.json", "\n".join(map(json.dumps, lists)))
+    found = dialogues.load_queries(spark, "sharegpt", str(tmp_path / "lines.json"), lines=True)
+    assert sorted(r["query"] for r in found.collect()) == ["question 0", "question 1", "question 2"]
+
+
+def test_test_cases_alone_are_valid_json(spark, tmp_path):
+    df = spark.createDataFrame([([("a", True)],)], "test_cases array<struct<response:string,result:boolean>>")
+    path = str(tmp_path / "alone.jsonl")
+    jsonl.write_jsonl(df, path)
+    assert json.loads(spark.read.text(path).first()["value"]) == {"test_cases": [["a", True]]}
+
+
+def test_no_scratch_folder_is_made_up():
+    class Unset:
+        class conf:
+            @staticmethod
+            def get(name):
+                raise PySparkException("unset")
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch_root(Unset)
+
+
+def test_a_run_removes_its_scratch(spark):
+    with scratch_run(spark) as folder:
+        df = materialise(spark.range(5), "five")
+        assert folder in df.inputFiles()[0]
+        assert spark.read.parquet(f"{folder}/five-*").count() == 5
+    assert not Path(folder.removeprefix("file:")).exists()
+    assert folder not in materialise(spark.range(1), "one").inputFiles()[0]

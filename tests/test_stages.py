@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from prefmill.operators import filtering
 from prefmill.operators.verification import Budget
-from prefmill.plans import stages
+from prefmill.plans import catalog, stages
 from prefmill.session import with_stable_row_id
 from prefmill.sources import dialogues, jsonl
 from prefmill.streaming.incremental import run_incrementally
@@ -91,6 +91,42 @@ def test_incremental_run_resumes(spark, tmp_path):
     assert done.select(F.explode("test_cases.response")).distinct().count() == 1
 
 
+def test_every_trigger_is_counted(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for i in range(115):
+        (tmp_path / "in" / f"{i}.jsonl").write_text(json.dumps({"instance_id": i}))
+    paths = [str(tmp_path / n) for n in ("in", "out", "state")]
+    assert run_incrementally(
+        spark, paths[0], "instance_id BIGINT", lambda df: df, paths[1], paths[2], files_per_trigger=1
+    ) == 115
+    assert spark.read.parquet(paths[1]).count() == 115
+
+
+def test_both_rounds_use_the_generators_asked_for(spark):
+    instructions = spark.createDataFrame([(i, "q", "i") for i in range(40)], "instance_id int, query string, instruction string")
+    backend = scripted_backend()
+    artifacts = stages.build_artifacts(instructions, 2, backend, partitions=7)
+    assert artifacts.rdd.getNumPartitions() == 7
+
+
+def test_only_what_is_read_is_written_of_the_verdicts(spark):
+    rows = [(1, "q", "i", ["def evaluate(response):\n    return True\n"], ['{"response": "a", "result": true}'])]
+    kept, funnel = stages.filter_artifacts(spark.createDataFrame(rows, jsonl.ARTIFACTS), allow_execution=True)
+    written = spark.read.parquet(kept.inputFiles()[0].rpartition("/")[0])
+    assert written.columns == [
+        "instance_id", "query", "instruction", "kept_verifiers", "kept_cases", "kept", *jsonl.COUNTERS
+    ]
+    assert funnel.first()["unique_instances"] == 1
+
+
+def test_pairs_do_not_work_out_labels_twice(spark):
+    plan = catalog.pairs(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("struct(chosen, filter(") == 1  # relabelled from the scores, and not labelled before
+    batched = stages.shuffled_batches(catalog.pairs(spark, "/root/testdata/sf0.001"), 8)
+    plan = stages.pad_batches(stages.token_views(batched))._jdf.queryExecution().optimizedPlan().toString()
+    assert "attention_mask" not in plan[plan.index("Window"):]
+
+
 def test_instances_over_the_limit_count_as_input_only(spark):
     loop = "def evaluate(response):\n    while True:\n        pass\n"
     good = "def evaluate(response):\n    return response == 'a'\n"

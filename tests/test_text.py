@@ -108,3 +108,9 @@ def test_parse_drops_lone_surrogates_and_keeps_null(spark):
     got = column(spark, [['{"response": "\\ud800", "result": true}'], None, []],
                  text.parse_test_cases, "x array<string>")
     assert got == [[], None, []]
+
+
+def test_a_null_block_is_an_empty_one(spark):
+    df = spark.createDataFrame([(['{"response": "a", "result": true}', None],), (None,)], "b array<string>")
+    rows = [r[0] for r in df.select(text.parse_test_cases(F.col("b"))).collect()]
+    assert [tuple(c) for c in rows[0]] == [("a", True)] and rows[1] is None

@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -116,12 +118,24 @@ STATEFUL = [
     fn("json.loads.__globals__['x'] = 1; return True"),
     fn("return True", head="from re import *\n"),
     fn("return True", head="import random\nrandom.seed(1)\n"),
+    fn("return True", head="import collections\ncollections.UserDict.register(str)\n"),
+    fn("return True", head="import typing\ntyping.SupportsInt.register(str)\n"),
+    "import typing\ndef f(x: 'json.__setattr__(\"loads\", None)'): pass\ntyping.get_type_hints(f)\n"
+    + fn("return True"),
+    fn("return True", head="from typing import get_type_hints\n"),
+    fn("return True", head="from datetime import sys\nsys.marker = 1\n"),
+    fn("return True", head="class C: pass\n"),
+    fn("len = 1; return True"),
 ]
 PLAIN = [
     GOOD, fn("return json.loads(response)"), fn("return re.match('a', response)", "import re\n"),
     fn("return sqrt(4) == 2", "from math import sqrt\n"),
     fn("import string as s\n    return response[0] in s.ascii_letters"),
     fn("words = response.split()\n    return sorted(w.lower() for w in words) == words"),
+    "from typing import List\ndef evaluate(response: str) -> bool:\n    x: List[int] = [1]\n    return bool(x)\n",
+    fn("return collections.Counter(response).most_common(1)[0][1] > 1", "import collections\n"),
+    fn("try:\n        return int(response) > 3\n    except ValueError as e:\n        return False"),
+    fn("return not_defined_anywhere"),
 ]
 
 
@@ -132,9 +146,13 @@ def test_only_harmless_verifiers_share_the_process():
 
 def test_state_never_reaches_the_next_instance(judge):
     check = fn("return len(json.loads('[1]')) == 1")
+    types = fn(
+        "return isinstance('', collections.UserDict) or isinstance('', typing.SupportsInt)",
+        head="import collections, typing\n",
+    )
     for source in STATEFUL:
         judge([source], ["a"])
-        assert judge([check], ["a"]) == [(True, [YES])]
+        assert judge([check, types], ["a"]) == [(True, [YES]), (True, [NO])]
 
 
 def test_explicit_consent_is_needed(spark):
@@ -159,3 +177,22 @@ def test_verdict_rows_over_spark(spark):
         (7, 2, True, 0, False, True, False), (7, 2, True, 1, True, False, True),
     ]
     assert len(rows) == 40 * 5 + 1
+
+
+SLOW = fn("time.sleep(0.2)\n    return True", head="import time\n")
+
+
+@pytest.mark.parametrize("source,inputs", [(LOOP, 8), (SLOW, 200)])
+def test_an_instance_has_a_time_limit_of_its_own(source, inputs):
+    budget = {"seconds": 1.0, "instance_seconds": 1.5}
+    started = time.monotonic()
+    process = VerifierProcess(Budget(**budget, timeout_as_false=True))
+    got = process.judge([GOOD, source, GOOD], ["abcd"] * inputs)["matrix"]
+    process.close()
+    assert time.monotonic() - started < 20  # a limit, and the start of a process
+    assert got[0] == {"compiled": True, "codes": [YES] * inputs}
+    assert len(got[1]["codes"]) == inputs and got[1]["codes"][-1] == TIMEOUT
+    assert got[2] == {"compiled": False, "codes": None}
+    process = VerifierProcess(Budget(**budget))
+    assert process.judge([GOOD, source], ["abcd"] * inputs) == {"timed_out": True, "matrix": None}
+    process.close()
