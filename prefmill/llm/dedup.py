@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 import prefmill.shipping  # noqa: F401
-from prefmill.llm.common import BLANKS, text_of
+from prefmill.llm.common import BLANKS, small_batches, text_of
 from prefmill.session import materialise
 
 HEAD_CHARS = 32
@@ -198,7 +198,8 @@ def _sorted_runs(docs: DataFrame, key: str, text: str, payload: list[str]) -> Da
 
         yield from _runs(batches, to_arrow_schema(schema), whole)
 
-    return materialise(ordered.mapInArrow(runs, schema), "sorted-runs")
+    with small_batches(docs.sparkSession):
+        return materialise(ordered.mapInArrow(runs, schema), "sorted-runs")
 
 
 def _decided(runs: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ piece is then projected back through the alignment to bytes of the original.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cached_property
 from itertools import chain
 
@@ -28,7 +28,7 @@ from prefmill.llm.common import quoted, text_of
 MARK = "▁"  # stands for a space
 SEGMENT = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 #: Texts are encoded in groups of about this many characters, which bounds a worker's memory.
-GROUP_CHARS = 1 << 22
+GROUP_CHARS = 1 << 20
 
 
 class CharacterMap:
@@ -192,7 +192,7 @@ class PieceCoder:
         return self.decoder.decode(ids, num_threads=1) if ids else []
 
 
-def groups(texts: list[str | None], size: int = GROUP_CHARS) -> Iterator[list[str | None]]:
+def groups(texts: Iterable[str | None], size: int = GROUP_CHARS) -> Iterator[list[str | None]]:
     part, chars = [], 0
     for text in texts:
         part.append(text)
@@ -233,7 +233,7 @@ def encode_texts(
         target, coder = to_arrow_schema(schema), PieceCoder(model)
         for batch in batches:
             at = 0
-            for part in groups(batch.column(len(kept)).to_pylist()):
+            for part in groups(t.as_py() for t in batch.column(len(kept))):
                 found = coder.encode(part)
                 offsets = pa.array(np.cumsum([0, *[len(i) for i, _, _ in found]]), pa.int32())
                 lists = {

@@ -13,13 +13,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 import prefmill.shipping  # noqa: F401
-from prefmill.llm.common import crc_fold, text_of
+from prefmill.llm.common import crc_fold, first_by_hash, text_of
 
 FOLDS = 5
 THRESHOLD = 0.3
@@ -110,7 +110,7 @@ def labelled_sample(
     chosen = None
     for value in (0, 1):
         part = classes.filter(F.col("_class") == value)
-        part = part.orderBy(F.xxhash64("_key"), "_key").limit(per_class)
+        part = first_by_hash(part, F.xxhash64("_key"), per_class, counts.get(value, 0))
         chosen = part if chosen is None else chosen.unionByName(part)
     rows = (
         docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
@@ -163,10 +163,10 @@ def score(model: CompressionModel, text: str | Column = "text") -> Column:
     """Probability that a text is good; null counts as empty, which is scored as well."""
     good, bad, slope, offset = model.good, model.bad, model.slope, model.offset
 
-    @F.pandas_udf("double")
-    def probability(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def probability(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         measure = Measure(good, bad) if good else (lambda _: 0.0)
         for batch in batches:
-            yield pd.Series([logistic(slope * measure(t) + offset) for t in batch], dtype="float64")
+            yield pa.array([logistic(slope * measure(t.as_py()) + offset) for t in batch], pa.float64())
 
-    return probability(text_of(text))
+    probability.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(probability, returnType="double")(text_of(text))

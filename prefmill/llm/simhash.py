@@ -19,17 +19,15 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 import prefmill.shipping  # noqa: F401
-from prefmill.llm.common import text_of
+from prefmill.llm.common import small_batches, text_of
 from prefmill.operators.lookup import skew_safe_join
 from prefmill.session import materialise, with_stable_row_id
 
@@ -66,13 +64,13 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 def fingerprint_column(text: str | Column = "text", shingle: int = SHINGLE) -> Column:
     """The fingerprint as a long with the same 64 bits."""
 
-    @F.pandas_udf("bigint")
-    def column(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def column(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            prints = np.fromiter((fingerprint(t, shingle) for t in batch), np.uint64, len(batch))
-            yield pd.Series(prints.view(np.int64))
+            prints = (fingerprint(t.as_py(), shingle) for t in batch)
+            yield pa.array(np.fromiter(prints, np.uint64, len(batch)).view(np.int64))
 
-    return column(text_of(text))
+    column.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(column, returnType="bigint")(text_of(text))
 
 
 def hex_of(print_column: str) -> Column:
@@ -312,7 +310,10 @@ def near_duplicates(
     key belongs to its component but never names it; a component without any key has a
     null id. An empty table gives an empty result.
     """
-    hashed = materialise(docs.select(F.col(key).alias("_key"), fingerprint_column(text, shingle).alias("fp")), "fingerprints")
+    with small_batches(docs.sparkSession):
+        hashed = materialise(
+            docs.select(F.col(key).alias("_key"), fingerprint_column(text, shingle).alias("fp")), "fingerprints"
+        )
     prints = materialise(hashed.groupBy("fp").agg(F.min("_key").alias("low")), "distinct-fingerprints")
     roots = fingerprint_components(prints, distance)
     lowest = prints.join(roots, "fp").groupBy("root").agg(F.min("low").alias("component_id"))
@@ -334,7 +335,8 @@ def keep_representatives(
     columns = docs.columns
     renamed = docs.toDF(*[f"c{i}" for i in range(len(columns))])
     at = {c: f"c{i}" for i, c in enumerate(columns)}
-    rows = with_stable_row_id(renamed.withColumn("fp", fingerprint_column(at[text], shingle)), "fingerprinted")
+    with small_batches(docs.sparkSession):
+        rows = with_stable_row_id(renamed.withColumn("fp", fingerprint_column(at[text], shingle)), "fingerprinted")
     prints = materialise(rows.select("fp").distinct(), "distinct-fingerprints")
     roots = materialise(fingerprint_components(prints, distance), "components")
     first = F.min(F.struct(F.col(at[key]).isNull(), at[key], "row_id"))
