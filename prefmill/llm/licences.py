@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 import prefmill.shipping  # noqa: F401
-from prefmill.llm.common import quoted, text_of
+from prefmill.llm.common import first_by_hash, quoted, text_of
 
 # Customary notices of each licence family.
 TEMPLATES = {
@@ -248,9 +248,10 @@ class Scanner:
 def sample_paragraphs(docs: DataFrame, key: str, text: str) -> list[str]:
     """At most ``SAMPLE`` paragraphs: the first of the documents that come first in hash order."""
     first = F.substring_index(F.col(quoted(text)), "\n", 1)
-    rows = docs.select(F.xxhash64(F.lit("sample"), F.col(quoted(key))).alias("h"), first.alias("p"))
+    rows = docs.select(F.col(quoted(key)).alias("key"), first.alias("p"))
     rows = rows.filter(F.octet_length("p").between(1, SAMPLE_BYTES))
-    return [r[0] for r in rows.orderBy("h", "p").limit(SAMPLE).select("p").collect()]
+    chosen = first_by_hash(rows, F.xxhash64(F.lit("sample"), "key"), SAMPLE, docs.count())
+    return [r["p"] for r in chosen.collect()]
 
 
 def scan_licences(docs: DataFrame, key: str = "doc_id", text: str = "text", model: LicenceModel | None = None) -> DataFrame:

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 import prefmill.shipping  # noqa: F401
+from prefmill.llm.common import first_by_hash
 from prefmill.session import materialise
 
 
@@ -156,7 +157,7 @@ def first_graph(packed: DataFrame, n: int, settings: Settings) -> DataFrame:
     large; no vector is left out.
     """
     rng = np.random.default_rng(settings.seed)
-    sample = packed.orderBy(F.xxhash64("id"), "id").limit(settings.sample).collect()
+    sample = first_by_hash(packed, F.xxhash64("id"), settings.sample, n).collect()
     points = np.array([np.frombuffer(r["half"], np.float16) for r in sample], dtype=np.float32)
     bits = max(0, int(np.ceil(np.log2(max(1, n) / settings.block))))
     shape = (settings.trees, bits)
@@ -356,7 +357,8 @@ def search_graph(index: Index, starts: DataFrame, settings: Settings = Settings(
 
 def entry_points(index: Index, count: int = 64) -> list[int]:
     """Fixed nodes from which a query that is not in the index sets out."""
-    return [r[0] for r in index.packed.select("id").orderBy(F.xxhash64("id"), "id").limit(count).collect()]
+    nodes = index.packed.select("id")
+    return [r[0] for r in first_by_hash(nodes, F.xxhash64("id"), count, nodes.count()).collect()]
 
 
 def inner_product(a: str, b: str) -> Column:
