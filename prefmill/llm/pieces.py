@@ -224,7 +224,8 @@ def encode_texts(
     ]
     taken = {f.name for f in results}
     kept = [c for c in (df.columns if keep is None else keep) if c not in taken]
-    source = df.select(*[F.col(quoted(c)) for c in kept], text_of(quoted(text)).alias("_encoded_text"))
+    columns = [F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(kept)]  # whatever they are called
+    source = df.select(*columns, text_of(quoted(text)).alias("text"))
     schema = T.StructType([*[df.schema[c] for c in kept], *results])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
