@@ -8,7 +8,7 @@ neighbour's neighbour becomes a neighbour. A query expands the nodes of its beam
 not yet expanded by a join with the graph until its best nodes are all expanded.
 
 Equal vectors are one node; their smallest ids are attached to results. Vectors travel as half precision
-numbers while the graph is built and searched; the best nodes of each query are scored again in
+numbers, each with a power of two, while the graph is built and searched; the best nodes of each query are scored again in
 double precision on the original vectors.
 """
 
@@ -78,11 +78,22 @@ def valid_vectors(df: DataFrame, key: str, vector: str) -> DataFrame:
     return rows.filter(F.size("vec") == usual).groupBy("id").agg(F.min("vec").alias("vec"))
 
 
-def _halves(column: pa.Array) -> np.ndarray:
-    """Fixed-size binary values as rows of half precision numbers."""
+def _halves(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Packed vectors as rows of mantissas and the power of two of each row."""
+    if not len(column):
+        return np.zeros((0, 1), np.float32), np.zeros(0, np.int64)
     offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
     data = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
-    return data.view(np.float16).reshape(len(column), -1).astype(np.float32)
+    rows = data.view(np.int16).reshape(len(column), -1)
+    return np.ascontiguousarray(rows[:, :-1]).view(np.float16).astype(np.float32), rows[:, -1].astype(np.int64)
+
+
+def _scaled(products: np.ndarray, powers: np.ndarray) -> np.ndarray:
+    """Products of mantissas times powers of two, in double precision and finite."""
+    with np.errstate(over="ignore"):
+        found = np.ldexp(products.astype(np.float64), powers)
+    limit = np.finfo(np.float64).max
+    return np.clip(found, -limit, limit)
 
 
 def _lists(values: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
@@ -97,14 +108,20 @@ def _split(column: pa.ListArray) -> list[np.ndarray]:
     return np.split(flat, np.cumsum(lengths)[:-1]) if len(lengths) else []
 
 
-def pack_vectors(vectors: DataFrame, scale: float) -> DataFrame:
-    """(id, half): vectors divided by ``scale``, in half precision."""
+def pack_vectors(vectors: DataFrame) -> DataFrame:
+    """(id, half): each vector as half precision mantissas and, last, one power of two in 16 bits.
+
+    The power is the vector's own, so that a large vector takes nothing from the others.
+    """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
             flat = batch.column("vec").flatten().to_numpy(zero_copy_only=False)
-            rows = (flat.astype(np.float64) / scale).astype(np.float16).reshape(n, -1)
+            rows = flat.astype(np.float64).reshape(n, -1) if n else np.zeros((0, 1))
+            powers = np.frexp(np.abs(rows).max(axis=1))[1]
+            mantissas = np.ldexp(rows, -powers[:, None]).astype(np.float16)
+            rows = np.hstack([mantissas.view(np.int16), powers.astype(np.int16)[:, None]])
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), pa.array([r.tobytes() for r in rows], pa.binary())], ["id", "half"]
             )
@@ -112,6 +129,17 @@ def pack_vectors(vectors: DataFrame, scale: float) -> DataFrame:
     return vectors.select("id", "vec").mapInArrow(pack, "id bigint, half binary")
 
 
+def _exact(rows: np.ndarray, powers: np.ndarray) -> np.ndarray:
+    return _scaled(rows, powers[:, None])
+
+
+def _directions(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Normals of planes between points, their largest component below one."""
+    planes = a / 2 - b / 2
+    largest = np.abs(planes).max(axis=-1, keepdims=True)
+    return (planes / np.where(largest > 0, largest, 1)).astype(np.float32)
+
+
 def _nearest(ids: np.ndarray, sims: np.ndarray, old: int, count: int) -> tuple[np.ndarray, ...]:
     """The best ``count`` distinct ids, nearest first, and which come after the first ``old``."""
     _, first = np.unique(ids, return_index=True)  # an id met twice has the same nearness
@@ -119,7 +147,7 @@ def _nearest(ids: np.ndarray, sims: np.ndarray, old: int, count: int) -> tuple[n
     return ids[order], sims[order], order >= old
 
 
-GRAPH = "id bigint, nodes array<bigint>, sims array<float>, fresh array<boolean>"
+GRAPH = "id bigint, nodes array<bigint>, sims array<double>, fresh array<boolean>"
 
 
 def _merged(lists: DataFrame, count: int) -> DataFrame:
@@ -143,7 +171,7 @@ def _merged(lists: DataFrame, count: int) -> DataFrame:
             ]
             columns = [list(c) for c in zip(*found)] if found else [[], [], []]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), _lists(columns[0], pa.int64()), _lists(columns[1], pa.float32()), _lists(columns[2], pa.bool_())],
+                [batch.column("id"), _lists(columns[0], pa.int64()), _lists(columns[1], pa.float64()), _lists(columns[2], pa.bool_())],
                 ["id", "nodes", "sims", "fresh"],
             )
 
@@ -158,17 +186,19 @@ def first_graph(packed: DataFrame, n: int, settings: Settings) -> DataFrame:
     """
     rng = np.random.default_rng(settings.seed)
     sample = first_by_hash(packed, F.xxhash64("id"), settings.sample, n).collect()
-    points = np.array([np.frombuffer(r["half"], np.float16) for r in sample], dtype=np.float32)
+    points = _exact(*_halves(pa.array([bytes(r["half"]) for r in sample], pa.binary())))
     bits = max(0, int(np.ceil(np.log2(max(1, n) / settings.block))))
     shape = (settings.trees, bits)
     ends = rng.integers(0, len(points), (2, *shape))
-    planes = points[ends[0]] - points[ends[1]]  # trees, bits, dimension
+    planes = _directions(points[ends[0]], points[ends[1]])  # trees, bits, dimension
     middles = np.median(np.einsum("tbd,nd->tbn", planes, points), axis=2) if bits else np.zeros(shape)
 
     def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = _halves(batch.column("half")) if batch.num_rows else np.zeros((0, points.shape[1]), np.float32)
-            side = np.einsum("nd,tbd->ntb", rows, planes, optimize=True) > middles
+            rows, powers = _halves(batch.column("half"))
+            if not batch.num_rows:
+                rows = np.zeros((0, points.shape[1]), np.float32)
+            side = _scaled(np.einsum("nd,tbd->ntb", rows, planes, optimize=True), powers[:, None, None]) > middles
             code = (side.astype(np.int64) << np.arange(bits)).sum(axis=2)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, _lists(list(code), pa.int64())], ["id", "half", "codes"]
@@ -188,19 +218,22 @@ def first_graph(packed: DataFrame, n: int, settings: Settings) -> DataFrame:
 
     def compare(block: pa.Table) -> pa.Table:
         ids = block.column("id").to_numpy()
-        rows = _halves(block.column("half").combine_chunks())
+        rows, powers = _halves(block.column("half").combine_chunks())
+        # what is nearest to a row does not depend on its own power
+        top = powers.max()
+        factor = np.exp2((powers - top).astype(np.float32 if powers.min() > top - 60 else np.float64))
         near, sims = [], []
         for at in range(0, len(ids), 512):
-            some = rows[at : at + 512] @ rows.T
+            some = (rows[at : at + 512] @ rows.T) * factor
             some[np.arange(len(some)), at + np.arange(len(some))] = -np.inf
             k = min(count, len(ids) - 1)
             best = np.argpartition(-some, k - 1, axis=1)[:, :k] if k else np.zeros((len(some), 0), np.int64)
             near += list(ids[best])
-            sims += list(np.take_along_axis(some, best, axis=1))
-        return pa.table({"id": ids, "nodes": _lists(near, pa.int64()), "sims": _lists(sims, pa.float32())})
+            sims += list(_scaled(np.take_along_axis(some, best, axis=1), powers[at : at + 512, None] + top))
+        return pa.table({"id": ids, "nodes": _lists(near, pa.int64()), "sims": _lists(sims, pa.float64())})
 
     found = blocks.groupBy("tree", "code", "cut").applyInArrow(
-        compare, "id bigint, nodes array<bigint>, sims array<float>"
+        compare, "id bigint, nodes array<bigint>, sims array<double>"
     )
     merged = _merged(found.withColumn("kept", F.lit(False)), settings.neighbours)
     return materialise(merged, "graph")
@@ -230,7 +263,7 @@ def descend(graph: DataFrame, packed: DataFrame, settings: Settings, turn: int)
     )
     # A list that is not full yet takes whatever comes.
     farthest = F.when(F.size("sims") < settings.neighbours, float("-inf")).otherwise(F.array_min("sims"))
-    points = packed.join(graph.select("id", farthest.cast("float").alias("kth")), "id")
+    points = packed.join(graph.select("id", farthest.cast("double").alias("kth")), "id")
     gathered = (
         groups.join(points, "id")
         .groupBy("hub")
@@ -244,7 +277,7 @@ def descend(graph: DataFrame, packed: DataFrame, settings: Settings, turn: int)
             ids, fresh, kth, half = group.flatten().flatten()
             ids, kth = ids.to_numpy(), kth.to_numpy()
             fresh = fresh.to_numpy(zero_copy_only=False).astype(bool)
-            rows = _halves(half) if len(ids) else np.zeros((0, 1), np.float32)
+            rows, powers = _halves(half)
             ends = np.cumsum(group.value_lengths().to_numpy(zero_copy_only=False))
             to, near, sims, start = [], [], [], 0
             for end in ends:
@@ -252,7 +285,7 @@ def descend(graph: DataFrame, packed: DataFrame, settings: Settings, turn: int)
                 order = np.lexsort((~fresh[start:end], ids[start:end])) + start
                 order = order[np.r_[True, ids[order][1:] != ids[order][:-1]]]
                 own = ids[order]
-                s = rows[order] @ rows[order].T
+                s = _scaled(rows[order] @ rows[order].T, powers[order][:, None] + powers[order])
                 new = fresh[order]
                 better = (s > kth[order][:, None]) & (new[:, None] | new[None, :])
                 np.fill_diagonal(better, False)
@@ -265,11 +298,11 @@ def descend(graph: DataFrame, packed: DataFrame, settings: Settings, turn: int)
                     sims += np.split(s[a, b], np.cumsum(counts[told])[:-1])
                 start = end
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(to) if to else np.zeros(0, np.int64)), _lists(near, pa.int64()), _lists(sims, pa.float32())],
+                [pa.array(np.concatenate(to) if to else np.zeros(0, np.int64)), _lists(near, pa.int64()), _lists(sims, pa.float64())],
                 ["id", "nodes", "sims"],
             )
 
-    found = gathered.mapInArrow(compare, "id bigint, nodes array<bigint>, sims array<float>")
+    found = gathered.mapInArrow(compare, "id bigint, nodes array<bigint>, sims array<double>")
     lists = found.withColumn("kept", F.lit(False)).unionByName(
         graph.select("id", "nodes", "sims", F.lit(True).alias("kept"))
     )
@@ -282,18 +315,17 @@ def build_index(df: DataFrame, key: str = "vec_id", vector: str = "embedding", s
     nodes = rows.groupBy("vec").agg(F.min("id").alias("node"))
     members = materialise(rows.join(nodes, "vec").select("node", "id"), "members")
     vectors = materialise(nodes.select(F.col("node").alias("id"), "vec"), "distinct-vectors")
-    largest = F.array_max(F.transform("vec", lambda x: F.abs(x.cast("double"))))
-    n, scale = vectors.agg(F.count(F.lit(1)), F.max(largest)).first()
+    n = vectors.count()
     if not n:
         return None
-    packed = materialise(pack_vectors(vectors, scale), "packed-vectors")
+    packed = materialise(pack_vectors(vectors), "packed-vectors")
     graph = first_graph(packed, n, settings)
     for turn in range(settings.rounds):
         graph = descend(graph, packed, settings, turn)
     return Index(vectors, packed, members, graph)
 
 
-STATE = "q bigint, half binary, nodes array<bigint>, sims array<float>, expanded array<bigint>, frontier array<bigint>"
+STATE = "q bigint, half binary, nodes array<bigint>, sims array<double>, expanded array<bigint>, frontier array<bigint>"
 
 
 def search_graph(index: Index, starts: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -303,7 +335,7 @@ def search_graph(index: Index, starts: DataFrame, settings: Settings = Settings(
     """
     none = F.array().cast("array<bigint>")
     state = starts.select(
-        "q", "half", none.alias("nodes"), F.array().cast("array<float>").alias("sims"),
+        "q", "half", none.alias("nodes"), F.array().cast("array<double>").alias("sims"),
         none.alias("expanded"), F.col("start").alias("frontier"),
     )
     edges = index.graph.select(F.col("id").alias("f"), F.col("nodes").alias("near"))
@@ -326,16 +358,18 @@ def search_graph(index: Index, starts: DataFrame, settings: Settings = Settings(
 
         def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                halves = _halves(batch.column("half")) if batch.num_rows else np.zeros((0, 1), np.float32)
+                halves, powers = _halves(batch.column("half"))
                 old = [_split(batch.column(c)) for c in ("nodes", "sims", "expanded", "frontier")]
                 group = batch.column("m")
                 ids, other = group.flatten().flatten()
-                ids, rows = ids.to_numpy(), _halves(other) if len(other) else np.zeros((0, halves.shape[1]), np.float32)
+                ids, (rows, others) = ids.to_numpy(), _halves(other)
+                if not len(ids):
+                    rows = np.zeros((0, halves.shape[1]), np.float32)
                 ends = np.cumsum(group.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
                 out, start = [[], [], [], []], 0
                 for i, end in enumerate(ends):
                     nodes = np.concatenate([old[0][i], ids[start:end]])
-                    sims = np.concatenate([old[1][i], rows[start:end] @ halves[i]]).astype(np.float32)
+                    sims = np.concatenate([old[1][i], _scaled(rows[start:end] @ halves[i], others[start:end] + powers[i])])
                     order = np.lexsort((nodes, -sims))
                     nodes, sims = nodes[order], sims[order]
                     expanded = np.concatenate([old[2][i], old[3][i]])
@@ -343,7 +377,7 @@ def search_graph(index: Index, starts: DataFrame, settings: Settings = Settings(
                     for part, value in zip(out, (nodes, sims, expanded, best[~np.isin(best, expanded)])):
                         part.append(value)
                     start = end
-                kinds = (pa.int64(), pa.float32(), pa.int64(), pa.int64())
+                kinds = (pa.int64(), pa.float64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("q"), batch.column("half"), *[_lists(p, k) for p, k in zip(out, kinds)]],
                     ["q", "half", "nodes", "sims", "expanded", "frontier"],

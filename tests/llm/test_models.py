@@ -243,6 +243,31 @@ def test_few_vectors(spark):
     assert neighbours.nearest_members(alone, asked).collect() == []
 
 
+def recall_of(points, index, asked, settings=neighbours.Settings(), count=10):
+    """Share of the nearest by all pairs that are found."""
+    spark = index.packed.sparkSession
+    queries = spark.createDataFrame([(int(i),) for i in asked], "query_id bigint")
+    found = defaultdict(set)
+    for r in neighbours.nearest_members(index, queries, count, settings).collect():
+        found[r["query_id"]].add(r["vec_id"])
+    sims = points[asked].astype(np.float64) @ points.T.astype(np.float64)
+    sims[np.arange(len(asked)), asked] = -np.inf
+    best = np.argsort(-sims, axis=1)[:, :count]
+    return np.mean([len(found[i] & set(b.tolist())) / count for i, b in zip(asked.tolist(), best)])
+
+
+def vector_frame(spark, points):
+    return spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "vec_id bigint, embedding array<float>")
+
+
+def test_one_very_large_vector_spoils_no_other(spark):
+    rng = np.random.default_rng(1)
+    points = rng.normal(size=(6000, 8)).astype(np.float32)
+    points[77, 3] = 1e30
+    index = neighbours.build_index(vector_frame(spark, points))
+    assert recall_of(points, index, np.arange(0, 6000, 40)) >= 0.9
+
+
 # -- licences ----------------------------------------------------------------------------
 
 LINES = {
