@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -29,17 +30,22 @@ from prefmill.session import materialise
 
 @dataclass(frozen=True)
 class Settings:
-    """``sample`` bounds the vectors that hyperplanes are drawn from; all are indexed."""
+    """``sample`` bounds the vectors that hyperplanes are drawn from; all are indexed.
+
+    Descent goes on until at most the share ``settled`` of all links changed in a round, the search until no
+    query has anything left to expand; ``rounds`` and ``search_rounds`` can end them earlier.
+    """
 
     neighbours: int = 40
     trees: int = 18
     block: int = 2048
     per_block: int = 24
     fan: int = 24
-    rounds: int = 2
+    rounds: int | None = None
+    settled: float = 0.001
     sample: int = 4096
     beam: int = 32
-    search_rounds: int = 6
+    search_rounds: int | None = None
     rescored: int = 48
     seed: int = 7
 
@@ -309,6 +315,12 @@ def descend(graph: DataFrame, packed: DataFrame, settings: Settings, turn: int)
     return materialise(_merged(lists, settings.neighbours), "graph")
 
 
+def changed_share(graph: DataFrame) -> float:
+    """The share of all links that came in with the last round. Lists only get better, so it falls to zero."""
+    fresh, links = graph.agg(F.sum(F.size(F.filter("fresh", lambda x: x))), F.sum(F.size("nodes"))).first()
+    return fresh / links if links else 0.0
+
+
 def build_index(df: DataFrame, key: str = "vec_id", vector: str = "embedding", settings: Settings = Settings()) -> Index | None:
     """Index every usable row; None if there is none."""
     rows = materialise(valid_vectors(df, key, vector), "vectors")
@@ -320,8 +332,10 @@ def build_index(df: DataFrame, key: str = "vec_id", vector: str = "embedding", s
         return None
     packed = materialise(pack_vectors(vectors), "packed-vectors")
     graph = first_graph(packed, n, settings)
-    for turn in range(settings.rounds):
+    for turn in count() if settings.rounds is None else range(settings.rounds):
         graph = descend(graph, packed, settings, turn)
+        if changed_share(graph) <= settings.settled:
+            break
     return Index(vectors, packed, members, graph)
 
 
@@ -339,7 +353,7 @@ def search_graph(index: Index, starts: DataFrame, settings: Settings = Settings(
         none.alias("expanded"), F.col("start").alias("frontier"),
     )
     edges = index.graph.select(F.col("id").alias("f"), F.col("nodes").alias("near"))
-    for turn in range(settings.search_rounds):
+    for _ in count() if settings.search_rounds is None else range(settings.search_rounds):
         reached = (
             state.select("q", F.explode("frontier").alias("f"))
             .join(edges, "f", "left")

@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -268,6 +269,18 @@ def test_one_very_large_vector_spoils_no_other(spark):
     assert recall_of(points, index, np.arange(0, 6000, 40)) >= 0.9
 
 
+def test_descent_goes_on_until_links_settle(spark):
+    """Blocks cover half a percent of the pairs, as in a table of millions of vectors."""
+    rng = np.random.default_rng(2)
+    points = rng.normal(size=(8000, 12)).astype(np.float32)
+    points /= np.linalg.norm(points, axis=1, keepdims=True)
+    sparse = replace(neighbours.Settings(), trees=2, block=16, per_block=4, fan=8, neighbours=20)
+    index = neighbours.build_index(vector_frame(spark, points), settings=sparse)
+    changed = index.graph.select(F.explode("fresh").alias("x")).agg(F.avg(F.col("x").cast("int"))).first()[0]
+    assert changed <= 0.001
+    assert recall_of(points, index, np.arange(0, 8000, 40), sparse) >= 0.9
+
+
 # -- licences ----------------------------------------------------------------------------
 
 LINES = {
