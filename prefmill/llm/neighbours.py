@@ -7,8 +7,8 @@ both directions, are brought together and each pair that is new to each other is
 neighbour's neighbour becomes a neighbour. A query expands the nodes of its beam that are
 not yet expanded by a join with the graph until its best nodes are all expanded.
 
-Equal vectors are one node; their smallest ids are attached to results. Vectors travel as half precision
-numbers, each with a power of two, while the graph is built and searched; the best nodes of each query are scored again in
+Equal vectors are one node; their smallest ids are attached to results. Vectors travel as single precision
+numbers, each vector with a power of two, while the graph is built and searched; the best nodes of each query are scored again in
 double precision on the original vectors.
 """
 
@@ -84,14 +84,14 @@ def valid_vectors(df: DataFrame, key: str, vector: str) -> DataFrame:
     return rows.filter(F.size("vec") == usual).groupBy("id").agg(F.min("vec").alias("vec"))
 
 
-def _halves(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def _unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Packed vectors as rows of mantissas and the power of two of each row."""
     if not len(column):
         return np.zeros((0, 1), np.float32), np.zeros(0, np.int64)
     offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
     data = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
-    rows = data.view(np.int16).reshape(len(column), -1)
-    return np.ascontiguousarray(rows[:, :-1]).view(np.float16).astype(np.float32), rows[:, -1].astype(np.int64)
+    rows = data.view(np.int32).reshape(len(column), -1)
+    return np.ascontiguousarray(rows[:, :-1]).view(np.float32), rows[:, -1].astype(np.int64)
 
 
 def _scaled(products: np.ndarray, powers: np.ndarray) -> np.ndarray:
@@ -115,9 +115,10 @@ def _split(column: pa.ListArray) -> list[np.ndarray]:
 
 
 def pack_vectors(vectors: DataFrame) -> DataFrame:
-    """(id, half): each vector as half precision mantissas and, last, one power of two in 16 bits.
+    """(id, half): each vector as single precision mantissas and, last, one power of two in 32 bits.
 
-    The power is the vector's own, so that a large vector takes nothing from the others.
+    The power is the vector's own, so that a large vector takes nothing from the others. Half precision would not
+    tell the members of a tight cluster apart.
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,8 +127,8 @@ def pack_vectors(vectors: DataFrame) -> DataFrame:
             flat = batch.column("vec").flatten().to_numpy(zero_copy_only=False)
             rows = flat.astype(np.float64).reshape(n, -1) if n else np.zeros((0, 1))
             powers = np.frexp(np.abs(rows).max(axis=1))[1]
-            mantissas = np.ldexp(rows, -powers[:, None]).astype(np.float16)
-            rows = np.hstack([mantissas.view(np.int16), powers.astype(np.int16)[:, None]])
+            mantissas = np.ldexp(rows, -powers[:, None]).astype(np.float32)
+            rows = np.hstack([mantissas.view(np.int32), powers.astype(np.int32)[:, None]])
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), pa.array([r.tobytes() for r in rows], pa.binary())], ["id", "half"]
             )
@@ -184,15 +185,88 @@ def _merged(lists: DataFrame, count: int) -> DataFrame:
     return flat.mapInArrow(best, GRAPH)
 
 
+BLOCK = ("tree", "code", "cut")
+#: Planes that a crowded block is cut by at a time, members that they are drawn from, and the last ``cut`` to be cut again.
+CUT_PLANES, CUT_SAMPLE, LAST_CUT = 3, 256, 1 << 56
+
+
+def _uncrowded(blocks: DataFrame, dimension: int, settings: Settings) -> DataFrame:
+    """Blocks (id, half, tree, code, cut, piece) with the crowded ones cut by planes drawn from their own members.
+
+    ``cut`` numbers the parts of a block like a heap, from 1, so that parts of different rounds differ. Rounds go on until no part is
+    crowded. Members that are all alike in single precision, which no plane divides, are cut by a hash into pieces.
+    """
+
+    def crowded(rows: DataFrame) -> DataFrame:
+        counts = rows.groupBy(*BLOCK).agg(F.count(F.lit(1)).alias("n"))
+        return materialise(counts.filter(F.col("n") > 2 * settings.block), "crowded-blocks")
+
+    def draw(key: tuple, members: pa.Table) -> pa.Table:
+        members = members.sort_by("id")
+        rows, powers = _unpacked(members.column("half").combine_chunks())
+        points, (tree, code, cut) = _exact(rows, powers), (k.as_py() for k in key)
+        kinds = np.unique(points, axis=0)
+        rng = np.random.default_rng([settings.seed, tree, code, cut])
+        wanted = min(CUT_PLANES, int(np.ceil(np.log2(members.column("n")[0].as_py() / settings.block))))
+        planes, middles = np.zeros((CUT_PLANES, dimension), np.float32), np.full(CUT_PLANES, np.inf)
+        drawn = 0
+        for _ in range(8 * CUT_PLANES if len(kinds) > 1 else 0):
+            one, other = rng.choice(len(kinds), 2, replace=False)
+            plane = _directions(kinds[one], kinds[other])
+            along = _scaled(rows @ plane, powers)
+            middle = np.median(along)
+            if not (along > middle).any():  # most are equal: the others come apart from them
+                if not (along < middle).any():
+                    continue
+                middle = along[along < middle].max()
+            planes[drawn], middles[drawn] = plane, middle
+            drawn += 1
+            if drawn == wanted:
+                break
+        found = {"tree": [tree], "code": [code], "cut": [cut], "planes": [planes.tobytes()], "middles": [middles.tolist()]}
+        return pa.table({k: v if drawn else [] for k, v in found.items()}, schema=drawing)
+
+    drawing = pa.schema({"tree": pa.int32(), "code": pa.int64(), "cut": pa.int64(), "planes": pa.binary(), "middles": pa.list_(pa.float64())})
+
+    def divide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, powers = _unpacked(batch.column("half"))
+            if not len(rows):
+                continue
+            planes = np.frombuffer(b"".join(batch.column("planes").to_pylist()), np.float32)
+            along = _scaled(np.einsum("nd,nbd->nb", rows, planes.reshape(len(rows), CUT_PLANES, -1)), powers[:, None])
+            middles = batch.column("middles").flatten().to_numpy().reshape(along.shape)
+            side = ((along > middles).astype(np.int64) << np.arange(CUT_PLANES)).sum(axis=1)
+            cut = (batch.column("cut").to_numpy() << CUT_PLANES) + side
+            columns = [*(batch.column(c) for c in ("id", "half", "tree", "code")), pa.array(cut)]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "half", "tree", "code", "cut"])
+
+    over, done = crowded(blocks), []
+    while over.limit(1).count():
+        done.append(blocks.join(over, [*BLOCK], "left_anti"))
+        hot = blocks.join(over, [*BLOCK]).drop("piece")
+        sample = hot.filter(F.pmod(F.xxhash64(F.lit("planes"), "id", "tree"), "n") < CUT_SAMPLE).filter(F.col("cut") <= LAST_CUT)
+        drawn = sample.groupBy(*BLOCK).applyInArrow(draw, "tree int, code bigint, cut bigint, planes binary, middles array<double>")
+        drawn = materialise(drawn, "block-planes")
+        alike = F.pmod(F.xxhash64("id", "tree"), F.ceil(F.col("n") / settings.block)).cast("int").alias("piece")
+        done.append(hot.join(drawn, [*BLOCK], "left_anti").select("id", "half", *BLOCK, alike))
+        parts = hot.join(drawn, [*BLOCK]).mapInArrow(divide, "id bigint, half binary, tree int, code bigint, cut bigint")
+        blocks = materialise(parts, "block-parts").withColumn("piece", F.lit(0))
+        over = crowded(blocks)
+    for part in done:
+        blocks = blocks.unionByName(part)
+    return blocks
+
+
 def first_graph(packed: DataFrame, n: int, settings: Settings) -> DataFrame:
     """Neighbours within blocks on the same side of hyperplanes, for several sets of planes.
 
-    A block that more vectors fall into than twice the aim is cut by a hash, so none is
+    A block that more vectors fall into than twice the aim is cut by further planes, see ``_uncrowded``, so none is
     large; no vector is left out.
     """
     rng = np.random.default_rng(settings.seed)
     sample = first_by_hash(packed, F.xxhash64("id"), settings.sample, n).collect()
-    points = _exact(*_halves(pa.array([bytes(r["half"]) for r in sample], pa.binary())))
+    points = _exact(*_unpacked(pa.array([bytes(r["half"]) for r in sample], pa.binary())))
     bits = max(0, int(np.ceil(np.log2(max(1, n) / settings.block))))
     shape = (settings.trees, bits)
     ends = rng.integers(0, len(points), (2, *shape))
@@ -201,7 +275,7 @@ def first_graph(packed: DataFrame, n: int, settings: Settings) -> DataFrame:
 
     def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, powers = _halves(batch.column("half"))
+            rows, powers = _unpacked(batch.column("half"))
             if not batch.num_rows:
                 rows = np.zeros((0, points.shape[1]), np.float32)
             side = _scaled(np.einsum("nd,tbd->ntb", rows, planes, optimize=True), powers[:, None, None]) > middles
@@ -210,21 +284,16 @@ def first_graph(packed: DataFrame, n: int, settings: Settings) -> DataFrame:
                 [*batch.columns, _lists(list(code), pa.int64())], ["id", "half", "codes"]
             )
 
-    coded = packed.mapInArrow(codes, "id bigint, half binary, codes array<bigint>")
-    blocks = coded.select("id", "half", F.posexplode("codes").alias("tree", "code"))
-    crowded = (
-        coded.select(F.posexplode("codes").alias("tree", "code"))
-        .groupBy("tree", "code")
-        .agg(F.ceil(F.count(F.lit(1)) / settings.block).cast("int").alias("cuts"))
-        .filter("cuts > 2")
+    coded = materialise(packed.mapInArrow(codes, "id bigint, half binary, codes array<bigint>"), "coded-vectors")
+    blocks = coded.select(
+        "id", "half", F.posexplode("codes").alias("tree", "code"), F.lit(1).cast("bigint").alias("cut"), F.lit(0).alias("piece")
     )
-    cut = F.pmod(F.xxhash64("id", "tree"), F.coalesce("cuts", F.lit(1))).cast("int")
-    blocks = blocks.join(crowded, ["tree", "code"], "left").withColumn("cut", cut)
+    blocks = _uncrowded(blocks, points.shape[1], settings)
     count = settings.per_block
 
     def compare(block: pa.Table) -> pa.Table:
         ids = block.column("id").to_numpy()
-        rows, powers = _halves(block.column("half").combine_chunks())
+        rows, powers = _unpacked(block.column("half").combine_chunks())
         # what is nearest to a row does not depend on its own power
         top = powers.max()
         factor = np.exp2((powers - top).astype(np.float32 if powers.min() > top - 60 else np.float64))
@@ -238,7 +307,7 @@ def first_graph(packed: DataFrame, n: int, settings: Settings) -> DataFrame:
             sims += list(_scaled(np.take_along_axis(some, best, axis=1), powers[at : at + 512, None] + top))
         return pa.table({"id": ids, "nodes": _lists(near, pa.int64()), "sims": _lists(sims, pa.float64())})
 
-    found = blocks.groupBy("tree", "code", "cut").applyInArrow(
+    found = blocks.groupBy(*BLOCK, "piece").applyInArrow(
         compare, "id bigint, nodes array<bigint>, sims array<double>"
     )
     merged = _merged(found.withColumn("kept", F.lit(False)), settings.neighbours)
@@ -283,7 +352,7 @@ def descend(graph: DataFrame, packed: DataFrame, settings: Settings, turn: int)
             ids, fresh, kth, half = group.flatten().flatten()
             ids, kth = ids.to_numpy(), kth.to_numpy()
             fresh = fresh.to_numpy(zero_copy_only=False).astype(bool)
-            rows, powers = _halves(half)
+            rows, powers = _unpacked(half)
             ends = np.cumsum(group.value_lengths().to_numpy(zero_copy_only=False))
             to, near, sims, start = [], [], [], 0
             for end in ends:
@@ -372,11 +441,11 @@ def search_graph(index: Index, starts: DataFrame, settings: Settings = Settings(
 
         def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                halves, powers = _halves(batch.column("half"))
+                halves, powers = _unpacked(batch.column("half"))
                 old = [_split(batch.column(c)) for c in ("nodes", "sims", "expanded", "frontier")]
                 group = batch.column("m")
                 ids, other = group.flatten().flatten()
-                ids, (rows, others) = ids.to_numpy(), _halves(other)
+                ids, (rows, others) = ids.to_numpy(), _unpacked(other)
                 if not len(ids):
                     rows = np.zeros((0, halves.shape[1]), np.float32)
                 ends = np.cumsum(group.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))

@@ -281,6 +281,30 @@ def test_descent_goes_on_until_links_settle(spark):
     assert recall_of(points, index, np.arange(0, 8000, 40), sparse) >= 0.9
 
 
+def test_crowded_blocks_are_cut_by_planes_of_their_own(spark):
+    """A third of all vectors lie in one tight cluster."""
+    rng = np.random.default_rng(3)
+    points = rng.normal(size=(9000, 12))
+    points[:3000] = rng.normal(size=12) + 0.01 * points[:3000]
+    points = (points / np.linalg.norm(points, axis=1, keepdims=True)).astype(np.float32)
+    frame = vector_frame(spark, points)
+    blocks = replace(neighbours.Settings(), trees=6, block=64, rounds=0)
+    index = neighbours.build_index(frame, settings=blocks)
+    graph = {r["id"]: set(r["nodes"]) for r in index.graph.collect()}
+    assert len(graph) == 9000
+    sims = points[:3000:30].astype(np.float64) @ points[:3000].T.astype(np.float64)
+    sims[np.arange(100), np.arange(0, 3000, 30)] = -9
+    best = np.argsort(-sims, axis=1)[:, :10]
+    assert np.mean([len(graph[30 * i] & set(b.tolist())) / 10 for i, b in enumerate(best)]) >= 0.5
+
+
+def test_crowded_block_of_vectors_alike_in_single_precision(spark):
+    points = np.ones((1000, 2)) + np.arange(1000)[:, None] * [1e-9, 0]
+    frame = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "vec_id bigint, embedding array<double>")
+    index = neighbours.build_index(frame, settings=replace(neighbours.Settings(), trees=2, block=64, rounds=1))
+    assert index.graph.filter(F.size("nodes") > 0).count() == 1000
+
+
 # -- licences ----------------------------------------------------------------------------
 
 LINES = {
