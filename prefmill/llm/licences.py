@@ -5,13 +5,15 @@ an unknown class apart. It is trained on variants of the notices below (words le
 around them, changes of case) against a bounded sample of ordinary paragraphs of the corpus
 and shuffled notices. A temperature fitted on variants that training has not
 seen calibrates its probabilities, that of the unknown class included. A predicted family is
-reported only if the paragraph also covers most of the n-grams of one of the family's templates.
+reported only if a stretch of words, which may span lines, also covers most of the n-grams of one of the family's
+templates; a template covered whole needs no classifier.
 """
 
 from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -211,6 +213,10 @@ class Scanner:
 
     def __init__(self, model: LicenceModel, coverage: float = COVERAGE):
         self.model, self.coverage = model, coverage
+        self.notices = [
+            (number, words, _template_grams(words))
+            for number, notices in enumerate(TEMPLATES.values(), 1) for words in map(words_of, notices)
+        ]
         self.templates = [
             (number, [model.grams[g] for g in _template_grams(words_of(t))])
             for number, notices in enumerate(TEMPLATES.values(), 1) for t in notices
@@ -232,18 +238,93 @@ class Scanner:
         family = int(p.argmax())
         return (family, float(p[family]), covered[family]) if family in covered else None
 
-    def scan(self, text: str) -> tuple[int, list[tuple[int, int, float, float]]]:
-        """Number of paragraphs that are not blank, and (paragraph, family, probability, coverage)."""
-        count, hits = 0, []
-        for paragraph in text.split("\n"):
-            if not paragraph.strip():
+    def windows(self, words: list[str]) -> list[tuple[int, int, int, float]]:
+        """(start, end, family number, coverage) of bounded stretches of words that cover a template.
+
+        A stretch is at most twice as long as the template's words, and eight more.
+        """
+        known = grams_of(words, self.model.grams)
+        places: dict[int, dict[str, list[int]]] = {}
+        found = []
+        for (number, own, grams), (_, numbers) in zip(self.notices, self.templates):
+            need = self.coverage * len(grams)
+            if sum(g in known for g in numbers) < need:
+                continue
+            n = min(LONGEST_GRAM, len(own))
+            if n not in places:
+                places[n] = {}
+                for i in range(len(words) - n + 1):
+                    places[n].setdefault(" ".join(words[i : i + n]), []).append(i)
+            met = sorted((i, g) for g in grams for i in places[n].get(g, ()))
+            longest, left, right, held = 2 * len(own) + 8, 0, 0, Counter()
+            while right < len(met):
+                held[met[right][1]] += 1
+                right += 1
+                while met[right - 1][0] + n - met[left][0] > longest or held[met[left][1]] > 1:
+                    held[met[left][1]] -= 1
+                    held += Counter()
+                    left += 1
+                if len(held) < need:
+                    continue
+                while right < len(met) and met[right][1] not in held and met[right][0] + n - met[left][0] <= longest:
+                    held[met[right][1]] += 1
+                    right += 1
+                found.append((met[left][0], met[right - 1][0] + n, number, len(held) / len(grams)))
+                left, held = right, Counter()
+        return found
+
+    def stretch(self, words: list[str]) -> list[tuple[int, int, int, float, float]]:
+        """(start, end, family number, probability, coverage) of all notices, those that overlap counting once.
+
+        The classifier may overrule templates that are not covered whole.
+        """
+        judged = []
+        for start, end, number, share in self.windows(words):
+            p = self.model.probabilities(list(grams_of(words[start:end], self.model.grams)))
+            if share == 1 or p.argmax() == number:
+                judged.append((start, end, number, float(p[number]), share))
+        hits: list[tuple[int, int, int, float, float]] = []
+        for hit in sorted(judged, key=lambda h: (-h[4], -h[3], h[0] - h[1], h[0])):
+            over = [i for i, h in enumerate(hits) if h[0] < hit[1] and hit[0] < h[1]]
+            if not over:
+                hits.append(hit)
+            elif all(hits[i][2] == hit[2] for i in over):  # one notice by several templates
+                same = [hit, *(hits[i] for i in over)]
+                best = max(same, key=lambda h: (h[4], h[3]))
+                hits = [h for i, h in enumerate(hits) if i not in over]
+                hits.append((min(h[0] for h in same), max(h[1] for h in same), *best[2:]))
+        return sorted(hits)
+
+    def scan(self, text: str) -> tuple[int, list[tuple[int, int, float, float, int]]]:
+        """Number of lines that are not blank, and (first line, family, probability, coverage, last line).
+
+        Notices are looked for in runs of lines without a blank one between them, as they may be wrapped.
+        """
+        count, hits, run = 0, [], []
+        for line in [*text.split("\n"), ""]:
+            if line.strip():
+                run.append(line)
                 continue
-            hit = self.paragraph(paragraph)
-            if hit:
-                hits.append((count, *hit))
-            count += 1
+            if run:
+                hits += self._run(run, count)
+                count += len(run)
+                run = []
         return count, hits
 
+    def _run(self, lines: list[str], first: int) -> list[tuple[int, int, float, float, int]]:
+        split = [words_of(line) for line in lines]
+        words = [w for own in split for w in own]
+        found = grams_of(words, self.model.grams)
+        if not any(sum(g in found for g in grams) >= self.coverage * len(grams) for _, grams in self.templates):
+            return []
+        line_of = [i for i, own in enumerate(split) for _ in own]
+        hits = [(line_of[s], f, p, c, line_of[e - 1]) for s, e, f, p, c in self.stretch(words)]
+        for i, line in enumerate(lines):  # a notice with much text put in between
+            hit = self.paragraph(line)
+            if hit and not any(h[0] <= i <= h[4] and h[1] == hit[0] for h in hits):
+                hits.append((i, *hit, i))
+        return [(first + a, f, p, c, first + z) for a, f, p, c, z in sorted(hits, key=lambda h: h[0])]
+
 
 def sample_paragraphs(docs: DataFrame, key: str, text: str) -> list[str]:
     """At most ``SAMPLE`` paragraphs: the first of the documents that come first in hash order."""
@@ -257,7 +338,7 @@ def sample_paragraphs(docs: DataFrame, key: str, text: str) -> list[str]:
 def scan_licences(docs: DataFrame, key: str = "doc_id", text: str = "text", model: LicenceModel | None = None) -> DataFrame:
     """One row per row: key, ``n_paragraphs``, ``hits``.
 
-    Paragraphs are lines that are not blank, counted from 0. A null text has none. Every whole text is
+    Paragraphs are lines that are not blank, counted from 0; a hit tells the first and the last of its notice. A null text has none. Every whole text is
     scanned; only training uses a sample. Rows may repeat or lack a key.
     """
     model = model or train(sample_paragraphs(docs, key, text))
@@ -265,6 +346,7 @@ def scan_licences(docs: DataFrame, key: str = "doc_id", text: str = "text", mode
     hit_type = T.StructType([
         T.StructField("paragraph", T.IntegerType()), T.StructField("family", T.StringType()),
         T.StructField("probability", T.DoubleType()), T.StructField("coverage", T.DoubleType()),
+        T.StructField("last", T.IntegerType()),
     ])
     schema = T.StructType([
         source.schema[0], T.StructField("n_paragraphs", T.IntegerType()), T.StructField("hits", T.ArrayType(hit_type)),
@@ -280,7 +362,7 @@ def scan_licences(docs: DataFrame, key: str = "doc_id", text: str = "text", mode
                 count, found = scanner.scan(body)
                 counts.append(count)
                 hits.append([
-                    {"paragraph": p, "family": FAMILIES[f], "probability": q, "coverage": c} for p, f, q, c in found
+                    {"paragraph": p, "family": FAMILIES[f], "probability": q, "coverage": c, "last": z} for p, f, q, c, z in found
                 ])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(counts, pa.int32()), pa.array(hits, target.field("hits").type)], schema=target

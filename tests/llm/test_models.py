@@ -364,6 +364,19 @@ def test_licence_odd_rows(spark):
     assert licences.scan_licences(frame.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("family, notice", [
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the"),
+    ("BSD", "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:"),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\n"
+     "the Free Software Foundation, either version 3 of the License, or\n(at your option) any later version."),
+])
+def test_wrapped_notices(scanner, family, notice):
+    count, hits = scanner.scan("A file.\n\n" + notice + "\n\nMore.")
+    lines = notice.count("\n") + 1
+    assert count == lines + 2
+    assert [(h[0], licences.FAMILIES[h[1]]) for h in hits] == [(1, family)] and 1 < hits[0][4] <= lines
+
+
 # -- token counts ------------------------------------------------------------------------
 
 
