@@ -377,6 +377,15 @@ def test_wrapped_notices(scanner, family, notice):
     assert [(h[0], licences.FAMILIES[h[1]]) for h in hits] == [(1, family)] and 1 < hits[0][4] <= lines
 
 
+def test_several_notices_in_a_line(scanner):
+    both = "Released under the MIT License. Licensed under the Apache License, Version 2.0."
+    assert [licences.FAMILIES[h[1]] for h in scanner.scan(both)[1]] == ["MIT", "Apache-2.0"]
+    rng = random.Random(5)
+    prose = " ".join(rng.choices("the of this work is under version free you may use license public general".split(), k=4000))
+    found = scanner.scan(f"{prose} {LINES['GPL-3.0']} {prose} {both} {prose}")[1]
+    assert [licences.FAMILIES[h[1]] for h in found] == ["GPL-3.0", "MIT", "Apache-2.0"]
+
+
 # -- token counts ------------------------------------------------------------------------
 
 
