@@ -7,7 +7,8 @@ clockwise whose shard has room, and on past full shards. Capacity is the mean lo
 
 Loads are gathered per cell, at most 65,536 rows whatever the input. A cell with more than 1/256 of
 all (there are fewer than 256) may hold one large group of copies: it is cut into 1,024 parts by a hash of the row key,
-which take their places on the ring one by one. That bounds what the driver places and the
+which take their places on the ring one by one. Rows with one key and text that still hold more than 1/2048 of all
+are dealt over the parts row by row. That bounds what the driver places and the
 broadcast map: 65,536 + 256 * 1,024 rows.
 """
 
@@ -20,9 +21,12 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from prefmill.session import materialise
+
 CELL_BITS = 16
 HEAVY_SHARE = 256
 PARTS = 1024
+SAME_SHARE = 2048
 VIRTUAL_NODES = 128
 SLACK = 0.005
 
@@ -77,6 +81,18 @@ def place_cells(
     return placed
 
 
+def _cut(rows: DataFrame, key: str, total: int) -> DataFrame:
+    """Rows of heavy cells with ``_part``; written, as the numbers of equal rows hold for one reading only."""
+    many = rows.groupBy(F.col(key).alias("_same_key"), F.col(PLACE).alias("_same_place")).agg(F.sum(LOAD).alias("_same"))
+    many = many.filter(F.col("_same") * SAME_SHARE > total)
+    alike = F.col(key).eqNullSafe(F.col("_same_key")) & (F.col(PLACE) == F.col("_same_place"))
+    number = F.monotonically_increasing_id()
+    cut = F.when(F.col("_same").isNull(), F.xxhash64(F.lit("cut"), F.col(key)))
+    cut = cut.otherwise(F.xxhash64(F.lit("cut"), F.col(key), number))
+    found = rows.join(F.broadcast(many), alike, "left").withColumn("_part", F.pmod(cut, F.lit(PARTS)).cast("int"))
+    return materialise(found.drop("_same_key", "_same_place", "_same"), "ring-heavy")
+
+
 def ring_shards(
     rows: DataFrame, shards: int = 8, key: str = "doc_id", slack: float = SLACK,
     virtual_nodes: int = VIRTUAL_NODES,
@@ -85,7 +101,7 @@ def ring_shards(
 
     ``rows`` is read three times: pass a written table. Slots number the rows of a shard
     from 0 without gaps, by cell, part, key and place; equal rows are interchangeable. Rows with the same key
-    and place stay together, as do those without key in a cell. An empty table gives an empty result.
+    and place stay together unless they are many. An empty table gives an empty result.
     """
     spark = rows.sparkSession
     rows = rows.withColumn("_cell", F.shiftrightunsigned(PLACE, 64 - CELL_BITS).cast("int"))
@@ -93,10 +109,12 @@ def ring_shards(
     cells = [tuple(r) for r in rows.groupBy("_cell").agg(*measure).collect()]
     total = sum(load for _, load, _ in cells)
     heavy = [cell for cell, load, _ in cells if load * HEAVY_SHARE > total]
-    part = F.pmod(F.xxhash64(F.lit("cut"), F.col(key)), F.lit(PARTS)).cast("int")
-    rows = rows.withColumn(
-        "_part", F.when(F.col("_cell").isin(heavy), part).otherwise(0) if heavy else F.lit(0)
-    )
+    if heavy:
+        rows = rows.filter(~F.col("_cell").isin(heavy)).withColumn("_part", F.lit(0)).unionByName(
+            _cut(rows.filter(F.col("_cell").isin(heavy)), key, total)
+        )
+    else:
+        rows = rows.withColumn("_part", F.lit(0))
     units = [(cell, 0, load, n) for cell, load, n in cells if cell not in set(heavy)]
     if heavy:
         cut = rows.filter(F.col("_cell").isin(heavy)).groupBy("_cell", "_part").agg(*measure)

@@ -1,6 +1,7 @@
 """Edge cases and brute-force versions of the operators on small frames."""
 
 import random
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -154,6 +155,20 @@ def test_ring_splits_one_large_group(spark):
     assert all(sorted(s) == list(range(len(s))) for s in slots)
 
 
+@pytest.mark.parametrize("same", [None, 7])
+def test_ring_splits_copies_under_one_key(spark, same):
+    rows = [(same, "copy " * 20)] * 2000 + [(100 + i, f"text {i} " * 12) for i in range(4000)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = sharding.ring_shards(sharding.shard_rows(frame).cache()).collect()
+    sums, slots = Counter(), defaultdict(list)
+    for r in found:
+        sums[r["shard"]] += r["size"]
+        slots[r["shard"]].append(r["slot"])
+    assert len(found) == 6000 and len(sums) == 8
+    assert max(sums.values()) <= 1.02 * sum(sums.values()) / 8
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
 def test_ring_odd_rows(spark):
     found = sharding.ring_shards(sharding.shard_rows(docs(spark, ODD))).collect()
     assert len(found) == len(ODD)
