@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from prefmill.functions.derive import settle
 from prefmill.llm import (
-    dedup, licences, lm, mixing, neighbours, pieces, quality, sharding, simhash, token_counts,
+    dedup, licences, lm, mixing, neighbours, pieces, quality, runs, sharding, simhash, token_counts,
 )
-from prefmill.llm.common import crc_fold, table
+from prefmill.llm.common import WORD, crc_fold, table, text_of
 from prefmill.session import materialise
 
 
@@ -112,6 +113,43 @@ def op10_line_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def with_periods(docs: DataFrame) -> DataFrame:
+    """``doc_id`` and ``text``; in a tenth of the texts the words from some place on repeat a few of them."""
+    hashed = docs.select(
+        "doc_id", "text", F.crc32(text_of(F.col("doc_id").cast("string"))).alias("h"), F.floor(F.col("h") / 10).alias("g")
+    )
+    words = F.when(F.col("h") % 10 == 0, F.regexp_extract_all(text_of("text"), F.lit(WORD), F.lit(0)))
+    chosen = settle(hashed, {"words": words})
+    placed = settle(chosen, {"a": F.expr("CASE WHEN size(words) > 0 THEN g % size(words) END")})
+    sized = settle(placed, {"p": F.expr("1 + (size(words) - a) div (3 + g % 8)")})
+    changed = F.array_join(
+        F.transform("words", lambda w, i: F.when(i < F.col("a"), w).otherwise(
+            F.get("words", (F.col("a") + (i - F.col("a")) % F.col("p")).cast("int"))
+        )),
+        " ",
+    )
+    return sized.select("doc_id", F.when(F.col("p").isNull(), F.col("text")).otherwise(changed).alias("text"))
+
+
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.find_runs(with_periods(table(spark, sf_dir, "documents")), keep=["doc_id"])
+    longest = F.get(F.array_sort(F.transform(
+        "runs", lambda r: F.struct(-r["length"], r["start"].alias("start"), r["period"].alias("period"))
+    )), 0)
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    best = settle(found.select("*", longest.alias("best")), {"length": -F.col("best.col1")})
+    return best.select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        "best.start",
+        "length",
+        "best.period",
+        F.expr("1000 * length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_pieces": op2_pieces,
@@ -123,4 +161,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_content_sort": op8_content_sort,
     "op9_elias_fano": op9_elias_fano,
     "op10_line_tokens": op10_line_tokens,
+    "op13_runs": op13_runs,
 }
