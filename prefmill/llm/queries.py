@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prefmill.functions.derive import settle
 from prefmill.llm import (
-    dedup, licences, lm, mixing, neighbours, pieces, quality, runs, sharding, simhash, token_counts,
+    alignment, dedup, licences, lm, mixing, neighbours, pieces, quality, runs, sharding, simhash, token_counts,
 )
 from prefmill.llm.common import WORD, crc_fold, table, text_of
 from prefmill.session import materialise
@@ -113,6 +113,31 @@ def op10_line_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents")
+    files = alignment.Tokenizers.read(
+        tokenizer("byte_bpe_50k.json"), public_tokenizers.PATTERN, tokenizer("piece_bpe_32k.model")
+    )
+    found = alignment.align_documents(docs, alignment.count_pairs(docs, files), keep=["doc_id"])
+
+    def ids(side: Column) -> Column:
+        return F.array_join(side.cast("array<string>"), ",")
+
+    spelled = F.array_join(F.transform("groups", lambda g: F.concat(ids(g["left"]), F.lit("|"), ids(g["right"]))), ";")
+    return found.select(
+        "doc_id",
+        F.col("n_left").alias("n_a"),
+        F.col("n_right").alias("n_b"),
+        F.size("groups").cast("bigint").alias("n_groups"),
+        "n_links",
+        "n_best",
+        "count_sum",
+        F.when(F.size("groups") > 0, F.sha2(spelled, 256)).otherwise("").alias("groups_sha256"),
+    )
+
+
 def with_periods(docs: DataFrame) -> DataFrame:
     """``doc_id`` and ``text``; in a tenth of the texts the words from some place on repeat a few of them."""
     hashed = docs.select(
@@ -161,5 +186,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_content_sort": op8_content_sort,
     "op9_elias_fano": op9_elias_fano,
     "op10_line_tokens": op10_line_tokens,
+    "op11_alignment": op11_alignment,
     "op13_runs": op13_runs,
 }
