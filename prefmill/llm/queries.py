@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from prefmill.functions.derive import settle
 from prefmill.llm import (
-    alignment, dedup, licences, lm, mixing, neighbours, pieces, quality, runs, sharding, simhash, token_counts,
+    alignment, dedup, disclosure, licences, lm, mixing, neighbours, pieces, quality, runs, sharding, simhash,
+    token_counts,
 )
 from prefmill.llm.common import WORD, crc_fold, table, text_of
 from prefmill.session import materialise
@@ -138,6 +139,24 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = disclosure.sanitise(docs, disclosure.fit(docs), keep=["doc_id"], rewritten=False)
+
+    def joined(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def number(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id",
+        *map(number, disclosure.KINDS),
+        F.sha2(joined(F.filter("spans", lambda s: s["kind"] != disclosure.TERM)), 256).alias("base_sha256"),
+        joined(F.col("spans")).alias("spans"),
+    )
+
+
 def with_periods(docs: DataFrame) -> DataFrame:
     """``doc_id`` and ``text``; in a tenth of the texts the words from some place on repeat a few of them."""
     hashed = docs.select(
@@ -187,5 +206,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_elias_fano": op9_elias_fano,
     "op10_line_tokens": op10_line_tokens,
     "op11_alignment": op11_alignment,
+    "op12_disclosure": op12_disclosure,
     "op13_runs": op13_runs,
 }
