@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable, Iterator
+from typing import Any
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from prefmill import shipping  # noqa: F401
+
 INSTRUCTIONS = "instance_id BIGINT, query STRING, instruction STRING"
 ARTIFACTS = f"{INSTRUCTIONS}, verifiers ARRAY<STRING>, testcases ARRAY<STRING>"
 # The counters of the filter stage, in the order of its steps.
@@ -25,13 +32,100 @@ SCORED = (
 )
 
 
+# Spark's own reader takes strings of any length when told so, but no field name above 50,000
+# characters, and there is no option for that.
+LONGEST_STRING = (1 << 31) - 1
+
+
+def has_maps(kind: T.DataType) -> bool:
+    """Whether an object's field names are data."""
+    if isinstance(kind, T.StructType):
+        return any(has_maps(f.dataType) for f in kind)
+    return isinstance(kind, T.MapType) or isinstance(kind, T.ArrayType) and has_maps(kind.elementType)
+
+
+def _text(value: Any) -> str:
+    """Text as it is, any other value as JSON; half a surrogate pair has no place in a Spark string."""
+    text = value if isinstance(value, str) else json.dumps(value, ensure_ascii=False, separators=(",", ":"))
+    try:
+        text.encode()
+    except UnicodeEncodeError:
+        text = text.encode("utf-16-le", "surrogatepass").decode("utf-16-le", "replace")
+    return text
+
+
+def value_reader(kind: T.DataType) -> Callable[[Any], Any]:
+    """A function from parsed JSON to a value of the type; a value of another type is an error."""
+    exact = {
+        T.StringType: ((object,), _text), T.BooleanType: ((bool,), bool), T.LongType: ((int,), int),
+        T.IntegerType: ((int,), int), T.DoubleType: ((int, float), float),
+    }
+    if type(kind) in exact:
+        allowed, make = exact[type(kind)]
+    elif isinstance(kind, T.ArrayType):
+        item, allowed = value_reader(kind.elementType), (list,)
+        make = lambda value: [item(v) for v in value]
+    elif isinstance(kind, T.MapType) and isinstance(kind.keyType, T.StringType):
+        item, allowed = value_reader(kind.valueType), (dict,)
+        # The first of equal names has the place and the last the value.
+        make = lambda value: [(_text(k), item(v)) for k, v in value.items()]
+    elif isinstance(kind, T.StructType):
+        fields, allowed = [(f.name, value_reader(f.dataType)) for f in kind], (dict,)
+        make = lambda value: {name: read(value.get(name)) for name, read in fields}
+    else:
+        raise TypeError(f"no JSON reader for {kind.simpleString()}")
+
+    def read(value: Any) -> Any:
+        if value is None:
+            return None
+        if not isinstance(value, allowed) or isinstance(value, bool) and bool not in allowed and object not in allowed:
+            raise ValueError(f"{str(value)[:80]!r} is no {kind.simpleString()}")
+        return make(value)
+
+    return read
+
+
+def parse_lines(lines: DataFrame, schema: str | T.StructType) -> DataFrame:
+    """Rows of ``schema`` from the column ``value``, one JSON object each, whatever the lengths of names and values.
+
+    Objects read as maps keep the order of their names. Blank lines have no row; a line that
+    is no object of the schema stops the job.
+    """
+    schema = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        target, read = to_arrow_schema(schema), value_reader(schema)
+        for batch in batches:
+            rows = []
+            for line in batch.column(0):
+                line = line.as_py()
+                if line is None or not line.strip():
+                    continue
+                try:
+                    rows.append(read(json.loads(line)) or {})
+                except ValueError as error:
+                    raise ValueError(f"malformed line {line[:200]!r}: {error}") from None
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r.get(f.name) for r in rows], f.type) for f in target], schema=target
+            )
+
+    return lines.select("value").mapInArrow(run, schema)
+
+
 def read_jsonl(spark: SparkSession, path, schema: str | T.StructType) -> DataFrame:
     """One JSON object per line; a malformed line stops the job.
 
     Schemas are never inferred: inference costs a pass over the data and turns the
-    score object into one column per distinct completion.
+    score object into one column per distinct completion. Where field names are data,
+    as in that object, lines are split by Spark and parsed in Arrow batches.
     """
-    df = spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    schema = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
+    if has_maps(schema):
+        df = parse_lines(spark.read.text(path), schema)
+    else:
+        df = spark.read.schema(schema).options(mode="FAILFAST", maxStringLen=LONGEST_STRING).json(path)
     if "test_cases" in df.columns:
         df = df.withColumn(
             "test_cases",

@@ -10,6 +10,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+
+from prefmill.sources.jsonl import LONGEST_STRING, has_maps, parse_lines
 
 RETAINED = "spark.sql.streaming.numRecentProgressUpdates"
 POLL_SECONDS = 0.5
@@ -29,12 +32,11 @@ def run_incrementally(
     """
     kept = spark.conf.get(RETAINED)
     spark.conf.set(RETAINED, max(1000, int(kept)))
-    stream = (
-        spark.readStream.schema(schema)
-        .option("mode", "FAILFAST")
-        .option("maxFilesPerTrigger", files_per_trigger)
-        .json(source)
-    )
+    reader = spark.readStream.option("maxFilesPerTrigger", files_per_trigger)
+    if has_maps(T.StructType.fromDDL(schema)):
+        stream = parse_lines(reader.text(source), schema)
+    else:
+        stream = reader.schema(schema).options(mode="FAILFAST", maxStringLen=LONGEST_STRING).json(source)
     try:
         query = (
             stage(stream)

@@ -179,3 +179,55 @@ def test_a_run_removes_its_scratch(spark):
         assert spark.read.parquet(f"{folder}/five-*").count() == 5
     assert not Path(folder.removeprefix("file:")).exists()
     assert folder not in materialise(spark.range(1), "one").inputFiles()[0]
+
+
+@pytest.mark.parametrize("length", [60_000, 5_000_000, 25_000_000])
+def test_completions_of_any_length_round_trip(spark, tmp_path, length):
+    """They are names in the score object, and values in the label lists and test cases."""
+    long = F.concat(F.lit('"\\\n '), F.repeat(F.lit("é"), length))
+    scored = spark.range(1).select(
+        F.col("id").alias("instance_id"), F.lit("q").alias("query"), F.lit("i").alias("instruction"),
+        F.array(F.lit("v")).alias("verifiers"), F.array(long).alias("chosen"), F.array(F.lit("b")).alias("rejected"),
+        F.array(F.struct(long.alias("completion"), F.lit(1.0).alias("score")),
+                F.struct(F.lit("b").alias("completion"), F.lit(0.0).alias("score"))).alias("scores"),
+    )
+    jsonl.write_jsonl(scored, str(tmp_path / "scored"))
+    back = jsonl.read_jsonl(spark, str(tmp_path / "scored"), jsonl.SCORED)
+    assert back.filter(F.size("scores") == 2).exceptAll(scored).count() == 0 and back.count() == 1
+    filtered = scored.select(
+        "instance_id", "query", "instruction", "verifiers",
+        F.array(F.struct(long.alias("response"), F.lit(True).alias("result"))).alias("test_cases"),
+        *[F.lit(1).alias(c) for c in jsonl.COUNTERS],
+    )
+    jsonl.write_jsonl(filtered, str(tmp_path / "filtered"))
+    back = jsonl.read_jsonl(spark, str(tmp_path / "filtered"), jsonl.FILTERED)
+    assert back.filter(F.get("test_cases", 0)["response"] == long).count() == 1
+
+
+GOOD = '{"instance_id":1,"query":"q","verifiers":["v"],"scores":{"b":1,"a":0.5,"b":0.25},"other":[1]}'
+
+
+@pytest.mark.parametrize("line", [
+    '{"instance_id":1,"scores":{"a":1.0}', '{"instance_id":"one"}', '{"instance_id":true}', '{"scores":{"a":"x"}}', '[1]', "7",
+    '{"scores":[1]}', '{"verifiers":"v"}', "{'instance_id':1}", '{"instance_id":1} trailing',
+])
+def test_a_broken_scored_line_stops_the_scan(spark, tmp_path, line):
+    path = write(tmp_path / "scored.jsonl", f"{GOOD}\n{line}\n")
+    with pytest.raises(PySparkException, match="malformed line"):
+        jsonl.read_jsonl(spark, path, jsonl.SCORED).collect()
+
+
+def test_scored_lines_keep_order_and_tolerate_blanks(spark, tmp_path):
+    lines = [GOOD, "", "   ", "{}", '{"query":{"a":1},"scores":{"\\ud800x":1}}', "null"]
+    rows = jsonl.read_jsonl(spark, write(tmp_path / "scored.jsonl", "\n".join(lines)), jsonl.SCORED).collect()
+    assert [(s["completion"], s["score"]) for s in rows[0]["scores"]] == [("b", 0.25), ("a", 0.5)]
+    assert rows[1]["scores"] is None and rows[1]["instance_id"] is None
+    assert rows[2]["query"] == '{"a":1}' and rows[2]["scores"][0]["completion"] == "�x"
+    assert len(rows) == 4
+
+
+def test_types_without_a_reader_are_refused():
+    with pytest.raises(TypeError):
+        jsonl.value_reader(jsonl.T.MapType(jsonl.T.LongType(), jsonl.T.LongType()))
+    with pytest.raises(TypeError):
+        jsonl.value_reader(jsonl.T.StructType.fromDDL("d DATE"))
