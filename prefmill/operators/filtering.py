@@ -10,17 +10,17 @@ from pyspark.sql import functions as F
 
 from prefmill.functions.derive import settle
 from prefmill.functions.text import parse_test_cases
-from prefmill.operators.verification import EQ_FALSE, EQ_TRUE, Budget, run_verifiers
+from prefmill.operators.verification import EQ_FALSE, EQ_TRUE, Budget, Clock, run_verifiers
 from prefmill.sources.jsonl import COUNTERS
 
 
 def judge_test_cases(
     df: DataFrame, budget: Budget = Budget(), allow_execution: bool = False,
-    partitions: int | None = None,
+    partitions: int | None = None, keep_timed_out: bool = False, clock: Clock | None = None,
 ) -> DataFrame:
     """Parse the test case blocks and run all verifiers over them.
 
-    Adds ``cases`` and ``verdicts``; instances over the time limit are gone. ``partitions``
+    Adds ``cases`` and ``verdicts``; instances over the time limit are gone, unless they are to be kept. ``partitions``
     spreads the blocks before they are parsed, so both are spread and only raw text moves.
     """
     if partitions:
@@ -28,7 +28,7 @@ def judge_test_cases(
     parsed = df.withColumn("cases", parse_test_cases(F.col("testcases")))
     return run_verifiers(
         parsed, F.col("verifiers"), F.col("cases.response"), budget=budget,
-        allow_execution=allow_execution,
+        allow_execution=allow_execution, keep_timed_out=keep_timed_out, clock=clock,
     )
 
 
@@ -110,6 +110,11 @@ def filtered_instances(weighed: DataFrame) -> DataFrame:
     )
 
 
+def funnel_totals() -> dict[str, Column]:
+    """Totals of the counters, for all finished instances, kept or not."""
+    return {c: F.coalesce(F.sum(c), F.lit(0)) for c in COUNTERS}
+
+
 def funnel(weighed: DataFrame) -> DataFrame:
-    """Totals of the counters over all finished instances, kept or not."""
-    return weighed.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in COUNTERS])
+    """One row with the totals of the counters."""
+    return weighed.agg(*[total.alias(c) for c, total in funnel_totals().items()])

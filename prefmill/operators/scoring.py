@@ -2,21 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prefmill.functions.derive import settle
-from prefmill.operators.verification import TRUTHY, Budget, run_verifiers
+from prefmill.operators.verification import TRUTHY, Budget, Clock, run_verifiers
 
 
 def judge_completions(
     df: DataFrame, budget: Budget = Budget(), allow_execution: bool = False,
-    partitions: int | None = None, keep_timed_out: bool = False,
+    partitions: int | None = None, keep_timed_out: bool = False, clock: Clock | None = None,
 ) -> DataFrame:
     """Run all verifiers of an instance over its completions; adds ``verdicts``."""
     return run_verifiers(
         df, F.col("verifiers"), F.col("completions"), budget=budget,
         allow_execution=allow_execution, partitions=partitions, keep_timed_out=keep_timed_out,
+        clock=clock,
     )
 
 
@@ -105,26 +106,30 @@ def scored_rows(scored: DataFrame, *more: str) -> DataFrame:
     )
 
 
-def yield_report(scored: DataFrame, instances: int | None = None) -> DataFrame:
+def yield_totals() -> dict[str, Column]:
     """Totals over scored instances.
 
     Pairs, completions and prompts count instances with both labels only;
-    ``unique_completions`` counts list entries, repeats included. ``instances`` may
-    give the number of inputs where time-outs removed some.
+    ``unique_completions`` counts list entries, repeats included. An instance without label lists counts nothing.
     """
     chosen, rejected = F.size("chosen"), F.size("rejected")
     both = F.least(chosen, rejected) > 0
 
-    def total(value, when=None):
-        value = value if when is None else F.when(when, value).otherwise(0)
-        return F.coalesce(F.sum(value), F.lit(0))
+    def total(value, when):
+        return F.coalesce(F.sum(F.when(when, value).otherwise(0)), F.lit(0))
+
+    return {
+        "pairs": total(F.greatest(chosen, rejected), both),
+        "unique_completions": total(chosen + rejected, both),
+        "unique_prompts": total(F.lit(1), both),
+        "chosen_completions": total(chosen, chosen > 0),
+        "rejected_completions": total(rejected, rejected > 0),
+    }
 
+
+def yield_report(scored: DataFrame, instances: int | None = None) -> DataFrame:
+    """One row with the totals. ``instances`` may give the number of inputs where time-outs removed some."""
     counted = F.count(F.lit(1)) if instances is None else F.lit(instances).cast("bigint")
     return scored.agg(
-        counted.alias("instances"),
-        total(F.greatest(chosen, rejected), both).alias("pairs"),
-        total(chosen + rejected, both).alias("unique_completions"),
-        total(F.lit(1), both).alias("unique_prompts"),
-        total(chosen).alias("chosen_completions"),
-        total(rejected).alias("rejected_completions"),
+        counted.alias("instances"), *[total.alias(name) for name, total in yield_totals().items()]
     )

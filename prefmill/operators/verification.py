@@ -30,6 +30,7 @@ from prefmill.operators import verifier_child as child
 
 EQ_TRUE, EQ_FALSE, TRUTHY = child.EQ_TRUE, child.EQ_FALSE, child.TRUTHY
 ERROR, TIMEOUT = child.ERROR, child.TIMEOUT
+FINISHED, OVER_OWN_LIMIT, OVER_STAGE_LIMIT = "finished", "timed_out", "unfinished"
 PIPE_BYTES = 1 << 20
 # The child runs from its source text, so that it needs no package on the executor.
 CHILD_SOURCE = inspect.getsource(child)
@@ -37,6 +38,7 @@ CHILD_SOURCE = inspect.getsource(child)
 VERDICTS = T.StructType(
     [
         T.StructField("timed_out", T.BooleanType()),
+        T.StructField("late", T.BooleanType()),
         T.StructField(
             "matrix",
             T.ArrayType(
@@ -53,6 +55,7 @@ VERDICTS = T.StructType(
 _ARROW_VERDICTS = pa.struct(
     [
         ("timed_out", pa.bool_()),
+        ("late", pa.bool_()),
         (
             "matrix",
             pa.list_(pa.struct([("compiled", pa.bool_()), ("codes", pa.list_(pa.int32()))])),
@@ -72,14 +75,31 @@ class Budget:
     calls, while verifiers not reached by then count as not compiled; otherwise the instance is marked
     ``timed_out`` at once and its remaining calls are skipped, so an endless loop costs
     one limit per instance.
+
+    ``stage_seconds`` bounds a whole stage (``operators.staging.run_stage``): the instances finished by then count,
+    the others are dropped and told apart as unfinished.
     """
 
     seconds: float = 10.0
     instance_seconds: float | None = 60.0
+    stage_seconds: float | None = None
     memory_bytes: int = 1 << 30
     timeout_as_false: bool = False
 
 
+@dataclass(frozen=True)
+class Clock:
+    """When a round of a stage ends, in seconds since 1970, the same for all its tasks, and
+    how long one instance may hold up the others before it is put off."""
+
+    deadline: float
+    patience: float = float("inf")
+
+    def until(self) -> float:
+        """When the next instance has to be done, on the monotonic clock."""
+        return time.monotonic() + min(self.patience, self.deadline - time.time())
+
+
 class VerifierProcess:
     """The child process of one task, restarted after a time-out or its death."""
 
@@ -146,8 +166,13 @@ class VerifierProcess:
             if self._poll.poll(left * 1000):
                 return os.read(self._process.stdout.fileno(), 65536)
 
-    def judge(self, sources: list[str], inputs: list[str]) -> dict:
-        """Verdicts of all sources over all inputs, in order."""
+    def judge(self, sources: list[str], inputs: list[str], until: float | None = None) -> dict:
+        """Verdicts of all sources over all inputs, in order.
+
+        ``until`` is when the stage's time is up, on the monotonic clock. An instance not finished by then
+        is late, whatever it waits for: nothing is known of it, and its child is stopped.
+        """
+        late = {"timed_out": False, "late": True, "matrix": None}
         limit = self._budget.seconds
         matrix: list[dict] = []
         call = -1  # -1: the compile step of the next verifier
@@ -159,10 +184,13 @@ class VerifierProcess:
         deadline = None if whole is None else time.monotonic() + whole + 5
         careful = False
         while unfinished():
+            if until is not None and time.monotonic() >= until:
+                self.close()
+                return late
             if deadline is not None and time.monotonic() >= deadline:
                 self.close()
                 if not self._budget.timeout_as_false:
-                    return {"timed_out": True, "matrix": None}
+                    return {"timed_out": True, "late": False, "matrix": None}
                 while call >= 0:
                     call = self._advance(matrix, inputs, call, TIMEOUT)
                 missing = len(sources) - len(matrix)
@@ -173,8 +201,9 @@ class VerifierProcess:
             allowed = limit + 5  # the first reply also waits for the start of the process
             ended = timed_out = False
             while not ended and not timed_out:
-                if deadline is not None:
-                    allowed = min(allowed, max(0.0, deadline - time.monotonic()))
+                for end in (deadline, until):
+                    if end is not None:
+                        allowed = min(allowed, max(0.0, end - time.monotonic()))
                 reply = self._receive(allowed)
                 allowed = limit + child.FLUSH_SECONDS
                 timed_out, ended = reply is None, reply == b""
@@ -185,15 +214,17 @@ class VerifierProcess:
                         call = self._advance(matrix, inputs, call, code)
                 if not reply:
                     self.close()
+            if until is not None and time.monotonic() >= until and unfinished():
+                continue  # the stage's time is up, not that of a call
             if timed_out and not self._budget.timeout_as_false:
-                return {"timed_out": True, "matrix": None}
+                return {"timed_out": True, "late": False, "matrix": None}
             if unfinished() and (deadline is None or time.monotonic() < deadline):
                 # Stopped early. Replies may still have been held back then, so the
                 # step at fault is only known in careful mode: go on in that mode.
                 if careful:
                     call = self._advance(matrix, inputs, call, TIMEOUT if timed_out else ERROR)
                 careful = True
-        return {"timed_out": False, "matrix": matrix}
+        return {"timed_out": False, "late": False, "matrix": matrix}
 
     @staticmethod
     def _advance(matrix: list[dict], inputs: list[str], call: int, code: int) -> int:
@@ -206,10 +237,10 @@ class VerifierProcess:
         return call + 1 if call + 1 < len(inputs) else -1
 
 
-def verdicts(sources: Column, inputs: Column, budget: Budget = Budget()) -> Column:
-    """Struct (timed_out, matrix[verifier].(compiled, codes[input])) for one row.
+def verdicts(sources: Column, inputs: Column, budget: Budget = Budget(), clock: Clock | None = None) -> Column:
+    """Struct (timed_out, late, matrix[verifier].(compiled, codes[input])) for one row.
 
-    A code is a bit set: 1 result == True, 2 result == False, 4 result is truthy,
+    Rows that ``clock`` does not let finish are late. A code is a bit set: 1 result == True, 2 result == False, 4 result is truthy,
     8 error, 16 over the time limit. A verifier that did not compile has NULL codes.
     """
 
@@ -218,7 +249,7 @@ def verdicts(sources: Column, inputs: Column, budget: Budget = Budget()) -> Colu
         try:
             for source_lists, input_lists in batches:
                 rows = [
-                    process.judge(source_list.as_py() or [], input_list.as_py() or [])
+                    process.judge(source_list.as_py() or [], input_list.as_py() or [], clock and clock.until())
                     for source_list, input_list in zip(source_lists, input_lists)
                 ]
                 yield pa.array(rows, type=_ARROW_VERDICTS)
@@ -235,10 +266,11 @@ def verdicts(sources: Column, inputs: Column, budget: Budget = Budget()) -> Colu
 def run_verifiers(
     df: DataFrame, sources: Column, inputs: Column, out: str = "verdicts",
     budget: Budget = Budget(), allow_execution: bool = False, partitions: int | None = None,
-    keep_timed_out: bool = False,
+    keep_timed_out: bool = False, clock: Clock | None = None,
 ) -> DataFrame:
-    """Add the verdict struct; instances over the time limit are dropped, unless they are
-    to be kept, with ``timed_out`` set and no matrix.
+    """Add the verdict struct; instances over a time limit are dropped, unless they are
+    to be kept, with ``timed_out`` or ``late`` set and no matrix. A column ``{out}_state`` then tells the
+    three kinds apart, so that later steps need not look into the struct.
 
     The sources are generated code. ``allow_execution=True`` confirms that the
     executors are sandboxed. The work is CPU-bound: where input splits are too few or
@@ -250,8 +282,12 @@ def run_verifiers(
         )
     if partitions:
         df = df.repartition(partitions)
-    df = df.withColumn(out, verdicts(sources, inputs, budget))
-    return df if keep_timed_out else df.filter(~F.col(f"{out}.timed_out"))
+    df = df.withColumn(out, verdicts(sources, inputs, budget, clock))
+    timed_out, late = F.col(f"{out}.timed_out"), F.col(f"{out}.late")
+    if not keep_timed_out:
+        return df.filter(~timed_out & ~late)
+    state = F.when(late, OVER_STAGE_LIMIT).when(timed_out, OVER_OWN_LIMIT).otherwise(FINISHED)
+    return df.withColumn(f"{out}_state", state)
 
 
 def verdict_rows(df: DataFrame, key: str, verdict: str = "verdicts") -> DataFrame:

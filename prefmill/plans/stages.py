@@ -7,19 +7,20 @@ Generating stages are lazy; write their result before reading it twice.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prefmill.functions import chat
 from prefmill.functions.text import cut_at_stops, not_empty, strip
 from prefmill.functions.tokens import Tokenizer
 from prefmill.operators.batching import pad_batches, shuffled_batches, token_views
-from prefmill.operators.filtering import filtered_instances, funnel, judge_test_cases, weigh
+from prefmill.operators.filtering import filtered_instances, funnel_totals, judge_test_cases, weigh
 from prefmill.operators.generation import BackendFactory, SamplingOptions, generate
 from prefmill.operators.pairing import preference_pairs
 from prefmill.operators.sampling import draw_with_replacement, pick_per_slot, slots
-from prefmill.operators.scoring import judge_completions, score, scored_rows, yield_report
-from prefmill.operators.verification import Budget
+from prefmill.operators.scoring import judge_completions, score, yield_totals
+from prefmill.operators.staging import StageRun, run_stage
+from prefmill.operators.verification import Budget, Clock
 from prefmill.session import materialise
 from prefmill.sources.jsonl import COUNTERS
 
@@ -97,23 +98,36 @@ def build_artifacts(
     )
 
 
+def run_filter(
+    artifacts: DataFrame, budget: Budget = Budget(), allow_execution: bool = False,
+    partitions: int | None = None,
+) -> StageRun:
+    """Judge the test cases and write what the verdicts say of each instance, with the funnel's totals.
+
+    ``budget.stage_seconds`` bounds the whole stage; what is not finished by then is in no counter but ``unfinished``.
+    """
+
+    def judge(df: DataFrame, clock: Clock | None) -> DataFrame:
+        return weigh(judge_test_cases(df, budget, allow_execution, partitions, True, clock))
+
+    outputs = ["instance_id", "query", "instruction", "kept_verifiers", "kept_cases", "kept", *COUNTERS]
+    return run_stage(artifacts, judge, outputs, funnel_totals(), budget, "weighed")
+
+
+def one_row(spark: SparkSession, totals: dict[str, int]) -> DataFrame:
+    return spark.createDataFrame([tuple(totals.values())], ", ".join(f"{k} BIGINT" for k in totals))
+
+
 def filter_artifacts(
     artifacts: DataFrame, budget: Budget = Budget(), allow_execution: bool = False,
     partitions: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(self-consistent instances, funnel totals).
 
-    Both read the verdicts; they are written once so the verifiers run once, and only
-    what the two need.
+    One job runs the verifiers, writes what the instances need, and counts.
     """
-    judged = judge_test_cases(artifacts, budget, allow_execution, partitions)
-    weighed = materialise(
-        weigh(judged).select(
-            "instance_id", "query", "instruction", "kept_verifiers", "kept_cases", "kept", *COUNTERS
-        ),
-        "weighed",
-    )
-    return filtered_instances(weighed), funnel(weighed)
+    run = run_filter(artifacts, budget, allow_execution, partitions)
+    return filtered_instances(run.rows), one_row(artifacts.sparkSession, {c: run.totals[c] for c in COUNTERS})
 
 
 def build_completions(
@@ -139,20 +153,32 @@ def build_completions(
     ).drop("texts")
 
 
+def run_scoring(
+    completed: DataFrame, budget: Budget = Budget(), allow_execution: bool = False,
+    partitions: int | None = None,
+) -> StageRun:
+    """Judge the completions and write the scored instances, with the totals of the yield."""
+
+    def judge(df: DataFrame, clock: Clock | None) -> DataFrame:
+        judged = judge_completions(df, budget, allow_execution, partitions, True, clock)
+        return score(judged, ("chosen", "rejected", "scores"))
+
+    outputs = ["instance_id", "query", "instruction", "verifiers", "chosen", "rejected", "scores"]
+    return run_stage(completed, judge, outputs, yield_totals(), budget, "scored")
+
+
 def score_completions(
     completed: DataFrame, budget: Budget = Budget(), allow_execution: bool = False,
     partitions: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """(scored instances, yield report); the verifiers run once.
+    """(scored instances, yield report); one job runs the verifiers, writes and counts.
 
-    Instances over the time limit are written too, marked and empty, so the inputs can be counted
-    from what was written: counting ``completed`` by itself could mean generating it again.
+    Instances over a time limit are counted as input and appear nowhere else.
     """
-    judged = judge_completions(completed, budget, allow_execution, partitions, keep_timed_out=True)
-    done = score(judged, ("chosen", "rejected", "scores"))
-    written = materialise(scored_rows(done, "verdicts.timed_out"), "scored")
-    scored = written.filter(~F.col("timed_out")).drop("timed_out")
-    return scored, yield_report(scored, written.count())
+    run = run_scoring(completed, budget, allow_execution, partitions)
+    inputs = sum(run.totals[k] for k in ("finished", "timed_out", "unfinished"))
+    report = {"instances": inputs} | {k: run.totals[k] for k in yield_totals()}
+    return run.rows, one_row(completed.sparkSession, report)
 
 
 def training_batches(

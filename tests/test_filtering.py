@@ -56,14 +56,14 @@ def plain_filter(verifiers, cases, matrix):
     return (good, [cases[i] for i in kept]), stats
 
 
-VERDICTS = "struct<timed_out:boolean,matrix:array<struct<compiled:boolean,codes:array<int>>>>"
+VERDICTS = "struct<timed_out:boolean,late:boolean,matrix:array<struct<compiled:boolean,codes:array<int>>>>"
 
 
 @pytest.fixture(scope="module")
 def filter_case(spark):
     data = list(random_instances(400, 3))
     df = spark.createDataFrame(
-        [(i, f"q{i}", "ins", v, ["b", "b"], c, (False, m)) for i, v, c, m in data],
+        [(i, f"q{i}", "ins", v, ["b", "b"], c, (False, False, m)) for i, v, c, m in data],
         "instance_id int, query string, instruction string, verifiers array<string>, "
         "testcases array<string>, cases array<struct<response:string,result:boolean>>, "
         f"verdicts {VERDICTS}",
@@ -136,7 +136,7 @@ def plain_score(verifiers, completions, matrix):
 def score_case(spark):
     data = list(random_instances(400, 5, "completions"))
     df = spark.createDataFrame(
-        [(i, "q", "ins", v, c, (False, m)) for i, v, c, m in data],
+        [(i, "q", "ins", v, c, (False, False, m)) for i, v, c, m in data],
         "instance_id int, query string, instruction string, verifiers array<string>, "
         f"completions array<string>, verdicts {VERDICTS}",
     )
