@@ -18,21 +18,21 @@ import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import sentencepiece
+import pyarrow.compute as pc
 import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from sentencepiece import sentencepiece_model_pb2 as proto
 from tokenizers import Tokenizer
 
 import prefmill.shipping  # noqa: F401
 from prefmill.llm.common import quoted, text_of
-from prefmill.llm.pieces import MARK, groups
+from prefmill.llm.pieces import MARK, PieceCoder, groups
 from prefmill.session import materialise, with_stable_row_id
 
 SHARD_PAIRS = 1 << 16
@@ -41,6 +41,8 @@ MAX_PAIRS = 1 << 23
 #: Distinct pairs that a task gathers before it hands them on.
 HELD_PAIRS = 1 << 20
 FAN_IN = 32
+#: Texts are aligned in groups of about this many characters: the more, the more words repeat.
+GROUP_CHARS = 1 << 21
 LEVELS = 40
 #: The fast encoder's pattern runs out of stack over some 10^6 blanks in a row; the slow one takes any number.
 MANY_BLANKS = 1 << 16
@@ -79,12 +81,18 @@ class ByteTokens:
         for token, i in ranks.items():
             self.spelled[i] = token
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return [
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of a space and each text in a row, tokens a text, and whether they spell it."""
+        ids = [
             self._slowly(" " + t) if len(t) >= MANY_BLANKS and self.blanks.search(t)
             else self.coder.encode_ordinary(" " + t)
             for t in texts
         ]
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        spelled = [
+            b"".join(map(self.spelled.__getitem__, own)) == b" " + t.encode("utf-8", "replace") for own, t in zip(ids, texts)
+        ]
+        return np.fromiter(chain.from_iterable(ids), np.int64, int(size.sum())), size, np.array(spelled, dtype=bool)
 
     def _slowly(self, text: str) -> list[int]:
         if self.slow is None:
@@ -94,18 +102,50 @@ class ByteTokens:
 
 
 class PieceTokens:
-    """Ids and byte lengths of a sentencepiece model that puts a space in front."""
+    """Ids and byte lengths of a sentencepiece model that puts a space in front.
+
+    No piece reaches over the start of a word, so each distinct word of some texts is encoded once.
+    """
 
     def __init__(self, model: bytes):
-        self.coder = sentencepiece.SentencePieceProcessor(model_proto=model)
+        self.coder = PieceCoder(model)
+        if self.coder.map is not None or self.coder.squeeze or not self.coder.prefix or not self.coder.splits:
+            raise ValueError("only models that keep the text as it is are supported")
         self.spelled = [
-            bytes([int(p.piece[3:5], 16)]) if p.type == proto.ModelProto.SentencePiece.BYTE
-            else p.piece.replace(MARK, " ").encode()
-            for p in proto.ModelProto.FromString(model).pieces
+            bytes([int(piece[3:5], 16)]) if byte else piece.replace(MARK, " ").encode() for piece, byte in self.coder.pieces
         ]
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return self.coder.encode(texts, num_threads=1) if texts else []
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of each text in a row, tokens a text, and whether they spell it with a space in front."""
+        if not texts:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, dtype=bool)
+        known = [t.encode("utf-8", "replace").decode() for t in texts]
+        # A word begins at each space that follows something else. Nearly always that is every space.
+        plain = [not (t.startswith(" ") or "  " in t or MARK in t) for t in known]
+        split = pc.split_pattern(pa.array([t if p else "" for t, p in zip(known, plain)], pa.large_string()), " ")
+        if all(plain):
+            values, count = split.flatten(), np.diff(split.offsets.to_numpy())
+        else:
+            own = split.to_pylist()
+            for i in np.flatnonzero(~np.array(plain)):
+                own[i] = [w[len(MARK) :] for w in self.coder.segments(MARK + known[i].replace(" ", MARK))]
+            values, count = pa.array(chain.from_iterable(own), pa.large_string()), np.fromiter(map(len, own), np.int64, len(own))
+        coded = values.dictionary_encode()
+        words, codes = [MARK + w for w in coded.dictionary.to_pylist()], coded.indices.to_numpy()
+        ids = self.coder.merger.encode(words, num_threads=1)
+        right = np.array([
+            b"".join(map(self.spelled.__getitem__, own)) == word.replace(MARK, " ").encode() for word, own in zip(words, ids)
+        ])
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.fromiter(chain.from_iterable(ids), np.int64, int(lengths.sum()))
+        begins, wanted = np.cumsum(lengths) - lengths, lengths[codes]
+        ends = np.cumsum(wanted)
+        joined = flat[np.repeat(begins[codes] - (ends - wanted), wanted) + np.arange(int(wanted.sum()))]
+        edges = np.cumsum(count)
+        size = np.diff(np.concatenate([[0], ends])[np.concatenate([[0], edges])])
+        wrong = np.concatenate([[0], np.cumsum(~right[codes])])
+        spelled = np.diff(wrong[np.concatenate([[0], edges])]) == 0
+        return joined, size, spelled & np.array([MARK not in t for t in known])
 
 
 @dataclass
@@ -127,18 +167,11 @@ class Aligner:
     def align(self, texts: list[str]) -> Aligned:
         """Texts that either side cannot spell, and empty ones, have no tokens."""
         coded = [side.encode(texts) for side in self.sides]
-        kept = [
-            bool(text) and all(
-                b"".join(map(side.spelled.__getitem__, ids[i])) == b" " + text.encode("utf-8", "replace")
-                for side, ids in zip(self.sides, coded)
-            )
-            for i, text in enumerate(texts)
-        ]
+        kept = np.array([bool(t) for t in texts], dtype=bool) & coded[0][2] & coded[1][2]
         flat, sizes, ends = [], [], []
-        for ids, lengths in zip(coded, self.lengths):
-            size = np.array([len(own) if keep else 0 for own, keep in zip(ids, kept)], dtype=np.int64)
-            joined = np.fromiter((t for own, keep in zip(ids, kept) if keep for t in own), np.int64, int(size.sum()))
-            flat.append(joined), sizes.append(size), ends.append(np.cumsum(lengths[joined]))
+        for (ids, size, _), lengths in zip(coded, self.lengths):
+            joined = ids if kept.all() else ids[np.repeat(kept, size)]
+            flat.append(joined), sizes.append(np.where(kept, size, 0)), ends.append(np.cumsum(lengths[joined]))
         place = np.searchsorted(ends[1], ends[0])
         hit = ends[1][place] == ends[0] if len(place) else np.zeros(0, dtype=bool)
         last = (np.flatnonzero(hit), place[hit])
@@ -268,7 +301,7 @@ def tally(df: DataFrame, tokenizers: Tokenizers, text: str) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], names=["key", "count"])
 
         for batch in batches:
-            for part in groups(t.as_py() for t in batch.column(0)):
+            for part in groups((t.as_py() for t in batch.column(0)), GROUP_CHARS):
                 held.append(np.unique(aligner.keys(aligner.align(part)), return_counts=True))
                 size += len(held[-1][0])
                 if size > 2 * HELD_PAIRS:
@@ -434,15 +467,33 @@ def best_counts(counts: PairCounts, width: int) -> np.ndarray:
 
 
 TOKENS = T.ArrayType(T.IntegerType())
-RESULTS = [
-    T.StructField("n_left", T.LongType()), T.StructField("n_right", T.LongType()),
-    T.StructField("groups", T.ArrayType(T.StructType([T.StructField("left", TOKENS), T.StructField("right", TOKENS)]))),
-    T.StructField("n_links", T.LongType()), T.StructField("n_best", T.LongType()), T.StructField("count_sum", T.LongType()),
-]
+GROUPS = T.ArrayType(T.StructType([T.StructField("left", TOKENS), T.StructField("right", TOKENS)]))
+
+
+def results(written: bool) -> list[T.StructField]:
+    numbers = ("n_left", "n_right", "n_groups", "n_links", "n_best", "count_sum")
+    return [*[T.StructField(n, T.LongType()) for n in numbers], T.StructField("groups", T.StringType() if written else GROUPS)]
+
+
+def group_lists(aligned: Aligned) -> list[pa.ListArray]:
+    """The ids of each group, left and right."""
+    return [
+        pa.ListArray.from_arrays(pa.array(np.concatenate([[0], last + 1]), pa.int32()), pa.array(ids.astype(np.int32)))
+        for ids, last in zip(aligned.ids, aligned.last)
+    ]
+
+
+def group_texts(sides: list[pa.ListArray], edges: np.ndarray) -> pa.Array:
+    """The groups of each text as ``1,2|3;4|5,6``: left ids, right ids."""
+    spelled = [
+        pc.binary_join(pa.ListArray.from_arrays(side.offsets, side.values.cast(pa.string())), ",") for side in sides
+    ]
+    groups_ = pc.binary_join_element_wise(*spelled, "|")
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(edges, pa.int32()), groups_), ";")
 
 
 def _part_rows(
-    df: DataFrame, counts: PairCounts, text: str, kept: list[str], part: tuple[int, int], best,
+    df: DataFrame, counts: PairCounts, text: str, kept: list[str], part: tuple[int, int], best, written: bool,
 ) -> DataFrame:
     spark = df.sparkSession
     shards = counts.table.filter(F.col("shard").between(part[0], part[1] - 1))
@@ -451,7 +502,7 @@ def _part_rows(
     )
     tokenizers, number = counts.tokenizers, counts.shards
     columns = [F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(kept)]  # whatever they are called
-    schema = T.StructType([*[df.schema[c] for c in kept], *RESULTS])
+    schema = T.StructType([*[df.schema[c] for c in kept], *results(written)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -460,7 +511,7 @@ def _part_rows(
         lookup, highest = Lookup(number, sent.value), best.value
         for batch in batches:
             at = 0
-            for part in groups(t.as_py() for t in batch.column(len(kept))):
+            for part in groups((t.as_py() for t in batch.column(len(kept))), GROUP_CHARS):
                 found = aligner.align(part)
                 keys, place = np.unique(aligner.keys(found), return_inverse=True)
                 count = lookup.counts(keys)
@@ -468,19 +519,18 @@ def _part_rows(
                 edges = np.concatenate([[0], np.cumsum(found.links)])
                 running = np.concatenate([[0], np.cumsum(count[place])])
                 tops = np.concatenate([[0], np.cumsum(top[place])])
-                lists = [
-                    pa.ListArray.from_arrays(
-                        pa.array(np.concatenate([[0], last + 1]), pa.int32()), pa.array(ids.astype(np.int32))
-                    )
-                    for ids, last in zip(found.ids, found.last)
-                ]
-                nested = pa.StructArray.from_arrays(lists, ["left", "right"])
+                sides = group_lists(found)
+                if written:
+                    spelled = group_texts(sides, edges)
+                else:
+                    nested = pa.StructArray.from_arrays(sides, ["left", "right"])
+                    spelled = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), nested)
                 own = [
                     *[pa.array(s) for s in found.sizes],
-                    pa.ListArray.from_arrays(pa.array(edges, pa.int32()), nested),
-                    pa.array(found.links),
+                    *[pa.array(found.links)] * 2,
                     pa.array(tops[edges[1:]] - tops[edges[:-1]]),
                     pa.array(running[edges[1:]] - running[edges[:-1]]),
+                    spelled,
                 ]
                 rows = batch.slice(at, len(part))
                 values = [*[rows.column(i) for i in range(len(kept))], *own]
@@ -492,10 +542,12 @@ def _part_rows(
 
 def align_documents(
     df: DataFrame, counts: PairCounts, text: str = "text", keep: list[str] | None = None, max_pairs: int = MAX_PAIRS,
+    written: bool = False,
 ) -> DataFrame:
-    """The second pass: columns ``keep`` (all by default), ``n_left`` and ``n_right`` (tokens), ``groups`` (the
-    ids of both sides in each), ``n_links``, ``n_best`` (links whose pair is the most frequent of its right
-    id) and ``count_sum`` (of the links' counts).
+    """The second pass: columns ``keep`` (all by default), ``n_left`` and ``n_right`` (tokens), ``n_groups``, ``n_links``
+    (one a group: the tokens that end it), ``n_best`` (links whose pair is the most frequent of its right
+    id), ``count_sum`` (of the links' counts) and ``groups`` (the ids of both sides in each; ``written`` makes it
+    one text, as in ``1,2|3;4|5,6``).
 
     A text that is null, empty or not spelled alike by both tokenizers has zeros and no groups. Rows of
     one key stay apart, and a null key is carried along; an input column that bears a result's name is
@@ -503,26 +555,26 @@ def align_documents(
     they have a lasting name, and every further part is another pass over them.
     """
     spark = df.sparkSession
-    taken = {f.name for f in RESULTS}
+    taken = {f.name for f in results(written)}
     kept = [c for c in (df.columns if keep is None else keep) if c not in taken]
     best = spark.sparkContext.broadcast(best_counts(counts, len(PieceTokens(counts.tokenizers.right).spelled)))
     parts = counts.parts(max_pairs)
     if len(parts) == 1:
-        return _part_rows(df, counts, text, kept, parts[0], best)
+        return _part_rows(df, counts, text, kept, parts[0], best, written)
     names = [f"c{i}" for i in range(len(kept))]
     plain = df.select(*[F.col(quoted(c)).alias(n) for n, c in zip(names, kept)], text_of(quoted(text)).alias("text"))
     named = with_stable_row_id(plain, "link-rows").withColumnRenamed("row_id", ROW)
     first, more = None, None
     for part in parts:
         if first is None:
-            first = _part_rows(named, counts, "text", [*names, ROW], part, best)
+            first = _part_rows(named, counts, "text", [*names, ROW], part, best, written)
             sums = first.select(ROW, "n_best", "count_sum")
         else:
-            sums = _part_rows(named, counts, "text", [ROW], part, best).select(ROW, "n_best", "count_sum")
+            sums = _part_rows(named, counts, "text", [ROW], part, best, written).select(ROW, "n_best", "count_sum")
         sums = materialise(sums, "link-sums")
         more = sums if more is None else more.unionByName(sums)
     total = more.groupBy(ROW).agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
     whole = first.drop("n_best", "count_sum").join(total, ROW)
     return whole.select(
-        *[F.col(n).alias(c) for n, c in zip(names, kept)], *[f.name for f in RESULTS]
+        *[F.col(n).alias(c) for n, c in zip(names, kept)], *[f.name for f in results(written)]
     )

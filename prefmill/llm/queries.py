@@ -121,21 +121,16 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = alignment.Tokenizers.read(
         tokenizer("byte_bpe_50k.json"), public_tokenizers.PATTERN, tokenizer("piece_bpe_32k.model")
     )
-    found = alignment.align_documents(docs, alignment.count_pairs(docs, files), keep=["doc_id"])
-
-    def ids(side: Column) -> Column:
-        return F.array_join(side.cast("array<string>"), ",")
-
-    spelled = F.array_join(F.transform("groups", lambda g: F.concat(ids(g["left"]), F.lit("|"), ids(g["right"]))), ";")
+    found = alignment.align_documents(docs, alignment.count_pairs(docs, files), keep=["doc_id"], written=True)
     return found.select(
         "doc_id",
         F.col("n_left").alias("n_a"),
         F.col("n_right").alias("n_b"),
-        F.size("groups").cast("bigint").alias("n_groups"),
+        "n_groups",
         "n_links",
         "n_best",
         "count_sum",
-        F.when(F.size("groups") > 0, F.sha2(spelled, 256)).otherwise("").alias("groups_sha256"),
+        F.when(F.col("n_groups") > 0, F.sha2("groups", 256)).otherwise("").alias("groups_sha256"),
     )
 
 
