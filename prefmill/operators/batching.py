@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prefmill.functions.chat import ChatStyle, message, render_chat
-from prefmill.functions.keys import dense_index
+from prefmill.functions.derive import settle
+from prefmill.functions.keys import dense_index, row_count
+from prefmill.functions.permute import permuted
 from prefmill.functions.tokens import Tokenizer, hashed_tokenizer
 
 # The three token views of a pair.
@@ -35,6 +37,26 @@ def shuffled_batches(
     )
 
 
+def epoch_batches(
+    rows: DataFrame, batch_size: int, epochs: int, key: tuple[str, ...] = ("instance_id", "pair_idx"), seed=42,
+    bits: int = 16,
+) -> DataFrame:
+    """Every row once an epoch, with ``epoch``, ``batch_id`` and ``batch_pos``.
+
+    The rows are numbered once. The order of an epoch is a keyed permutation of these numbers, so where a row stands
+    in any epoch follows from its number alone and no epoch sorts anew. Epochs hold the same rows in
+    other batches; all batches but an epoch's last are full. ``key`` must be unique, and ``rows`` a written table.
+    """
+    keyed = rows.withColumn("_key", F.to_json(F.struct(*key), {"ignoreNullFields": "false"}))
+    indexed = dense_index(keyed, "_key", str(seed), out="_idx", bits=bits)
+    repeated = settle(indexed, {"_n": row_count(rows)}).withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
+    placed = settle(repeated, {"_at": permuted(F.col("_idx"), F.col("_n"), seed, F.col("epoch"))})
+    return placed.select(
+        *rows.columns, "epoch", F.expr(f"_at div {int(batch_size)}").alias("batch_id"),
+        F.pmod("_at", F.lit(batch_size)).cast("int").alias("batch_pos"),
+    )
+
+
 def token_views(
     pairs: DataFrame, tokenizer: Tokenizer | None = None, style: ChatStyle = ChatStyle()
 ) -> DataFrame:

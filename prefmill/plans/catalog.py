@@ -17,10 +17,14 @@ from prefmill.functions.keys import dense_index, md5_int, row_count
 from prefmill.functions.text import cut_at_stops, not_empty, strip
 from prefmill.functions.tokens import split_tokens
 from prefmill.operators import batching, filtering, metrics, pairing, scorecards, scoring, shift
-from prefmill.operators.generation import SamplingOptions, generate, replay, template_backend
+from prefmill.operators.generation import (
+    Patience, SamplingOptions, flaky, generate, generate_in_flight, replay, template_backend,
+)
 from prefmill.operators.sampling import (
     collect_samples, draw_with_replacement, expand_samples, pick_per_slot,
 )
+from prefmill.operators.cells import run_balanced
+from prefmill.operators.verdict_table import VerdictTable
 from prefmill.operators.verification import verdict_rows
 from prefmill.plans import fixtures, stages
 from prefmill.plans.fixtures import completed_instances, instances, table
@@ -29,6 +33,8 @@ from prefmill.sources import dialogues, jsonl
 
 BATCH_SIZE = 8
 SAMPLES = 3
+EPOCHS = 3
+SMALL_CELL = 1 << 14
 GENERATED = 2  # verifiers, and completions, of each instance of ``generated_dataset``
 
 
@@ -151,6 +157,18 @@ def generated_texts(spark: SparkSession, sf: str) -> DataFrame:
     return made.select("instance_id", F.posexplode("texts").alias("sample_idx", "text"))
 
 
+def retried_generations(spark: SparkSession, sf: str) -> DataFrame:
+    """Many requests in flight to a backend that fails at first for every third instance."""
+    prompt = chat.verifier_prompt(F.col("query"), F.col("instruction"))
+    other = chat.completion_prompt(F.col("query"), F.col("instruction"), F.get("verifiers", 0))
+    asked = instances(spark, sf).select("instance_id", F.array(prompt, other, prompt).alias("prompts"))
+    backend = flaky(template_backend("Use at least {n} words."), lambda request: request.key % 3 == 0)
+    made = generate_in_flight(
+        asked, backend, SamplingOptions(seed=42), patience=Patience(attempts=2, wait=0.0), retries="retries"
+    )
+    return made.select("instance_id", "retries", F.posexplode("texts").alias("sample_idx", "text"))
+
+
 def replayed_generations(spark: SparkSession, sf: str) -> DataFrame:
     """Recorded generations looked up by prompt, cut at stops, folded back per instance."""
     texts = table(spark, sf, "benchmark")
@@ -258,9 +276,58 @@ def filter_funnel(spark: SparkSession, sf: str) -> DataFrame:
     return filtering.funnel(weighed(spark, sf))
 
 
+def stage_totals(spark: SparkSession, sf: str) -> DataFrame:
+    """The funnel as the job that writes the instances counts it, and how many it wrote."""
+    run = stages.run_filter(instances(spark, sf, spread_out=True), allow_execution=True)
+    totals = [F.lit(run.totals[c]).cast("bigint").alias(c) for c in (*jsonl.COUNTERS, "finished", "timed_out", "unfinished")]
+    return run.rows.agg(F.count(F.lit(1)).alias("written"), F.count_if("kept").alias("kept")).select(*totals, "written", "kept")
+
+
+def verdict_reuse(spark: SparkSession, sf: str) -> DataFrame:
+    """The test cases judged twice with one table: what each run finds known."""
+    known = VerdictTable(spark, scratch_path(spark, "verdicts"))
+    cases = instances(spark, sf).select("instance_id", "verifiers", filtering.parse_test_cases(F.col("testcases")).alias("cases"))
+    rows = []
+    for run in range(2):
+        _, reuse = known.judge(
+            cases, F.col("verifiers"), F.col("cases.response"), allow_execution=True, partitions=shuffle_partitions(spark)
+        )
+        rows.append((run, reuse.cells, reuse.distinct, reuse.judged, known.rows().filter("text_key <> ''").count()))
+    return spark.createDataFrame(rows, "run int, cells bigint, distinct_pairs bigint, judged bigint, known bigint")
+
+
 # Scoring and pairs
 
 
+def shuffle_partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def completion_flags(judged: DataFrame) -> DataFrame:
+    rows = verdict_rows(judged, "instance_id")
+    return rows.select("instance_id", "verifier_pos", "compiled", "input_pos", "truthy", "error")
+
+
+def balanced_verdicts(spark: SparkSession, sf: str) -> DataFrame:
+    """Completions judged in cells of a few texts, dealt out by cost."""
+    completed = completed_instances(spark, sf)
+    return completion_flags(run_balanced(
+        completed, F.col("verifiers"), F.col("completions"), shuffle_partitions(spark), allow_execution=True, cell_cost=SMALL_CELL
+    ))
+
+
+def table_verdicts(spark: SparkSession, sf: str) -> DataFrame:
+    """Completions judged by way of a verdict table that knows the verdicts on the test cases."""
+    known = VerdictTable(spark, scratch_path(spark, "verdicts"))
+    cases = instances(spark, sf).select("verifiers", filtering.parse_test_cases(F.col("testcases")).alias("cases"))
+    partitions = shuffle_partitions(spark)
+    known.judge(cases, F.col("verifiers"), F.col("cases.response"), allow_execution=True, partitions=partitions)
+    judged, _ = known.judge(
+        completed_instances(spark, sf), F.col("verifiers"), F.col("completions"), allow_execution=True, partitions=partitions
+    )
+    return completion_flags(judged)
+
+
 def judged_completions(spark: SparkSession, sf: str) -> DataFrame:
     return scoring.judge_completions(completed_instances(spark, sf), allow_execution=True)
 
@@ -270,8 +337,7 @@ def scored(spark: SparkSession, sf: str, *outputs: str) -> DataFrame:
 
 
 def completion_verdicts(spark: SparkSession, sf: str) -> DataFrame:
-    rows = verdict_rows(judged_completions(spark, sf), "instance_id")
-    return rows.select("instance_id", "verifier_pos", "compiled", "input_pos", "truthy", "error")
+    return completion_flags(judged_completions(spark, sf))
 
 
 def completion_scores(spark: SparkSession, sf: str) -> DataFrame:
@@ -370,6 +436,12 @@ def padded_batches(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def epoch_batches(spark: SparkSession, sf: str) -> DataFrame:
+    """Three epochs of the preference pairs."""
+    written = materialise(pairs(spark, sf).select("instance_id", "pair_idx"), "pair-keys")
+    return batching.epoch_batches(written, BATCH_SIZE, EPOCHS)
+
+
 def logprobs(spark: SparkSession, sf: str) -> DataFrame:
     """Stand-in log-probabilities: the four quarters of each vector."""
     vector, quarter = F.col("embedding").cast("array<double>"), F.expr("size(embedding) div 4").cast("int")
@@ -485,6 +557,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "testcase_prompts": testcase_prompts,
     "completion_prompts": completion_prompts,
     "generated_texts": generated_texts,
+    "retried_generations": retried_generations,
     "replayed_generations": replayed_generations,
     "generated_dataset": generated_dataset,
     "parsed_test_cases": parsed_test_cases,
@@ -495,7 +568,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stored_instances": stored_instances,
     "instance_counters": instance_counters,
     "filter_funnel": filter_funnel,
+    "stage_totals": stage_totals,
+    "verdict_reuse": verdict_reuse,
     "completion_verdicts": completion_verdicts,
+    "balanced_verdicts": balanced_verdicts,
+    "table_verdicts": table_verdicts,
     "completion_scores": completion_scores,
     "labelled_completions": labelled_completions,
     "score_map": score_map,
@@ -507,6 +584,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "self_consistent_pairs": self_consistent_pairs,
     "token_views": token_views,
     "padded_batches": padded_batches,
+    "epoch_batches": epoch_batches,
     "dpo_metrics": dpo_metrics,
     "dpo_metrics_nll": dpo_metrics_nll,
     "token_shift_scores": token_shift_scores,

@@ -9,7 +9,8 @@ from __future__ import annotations
 from prefmill.functions import chat
 from prefmill.functions.tokens import HASHED_VOCABULARY, TOKEN_PATTERN
 from prefmill.plans import fixtures
-from prefmill.plans.catalog import BATCH_SIZE, GENERATED, SAMPLES
+from prefmill.functions.permute import ROUNDS
+from prefmill.plans.catalog import BATCH_SIZE, EPOCHS, GENERATED, SAMPLES
 from prefmill.plans.fixtures import TEMPLATES
 from prefmill.sources.jsonl import COUNTERS
 
@@ -288,6 +289,26 @@ CTES["batched"] = f"""
   FROM (SELECT *, row_number() OVER (ORDER BY {h("'42:0'", "key")}, key) - 1 AS idx
         FROM (SELECT *, '{{"instance_id":' || instance_id || ',"pair_idx":' || pair_idx || '}}' AS key FROM views))"""
 
+CTES["epochs"] = f"""
+  SELECT instance_id, pair_idx, epoch, n, ceil(sqrt(n))::BIGINT AS a, ceil(n / ceil(sqrt(n)))::BIGINT AS b,
+         row_number() OVER (PARTITION BY epoch ORDER BY {h("'42'", "key")}, key) - 1 AS x
+  FROM (SELECT *, '{{"instance_id":' || instance_id || ',"pair_idx":' || pair_idx || '}}' AS key,
+               (SELECT count(*) FROM pairs) AS n FROM pairs), range({EPOCHS}) e(epoch)"""
+
+
+def _network(source: str) -> str:
+    """One application of the network to x, a sub-select for each round."""
+    kept = "instance_id, pair_idx, epoch, n, a, b"
+    inner = f"SELECT {kept}, x % a AS l, x // a AS r FROM {source}"
+    for i in range(ROUNDS):
+        added = h("42", "epoch", f"{i}", "r" if i % 2 == 0 else "l")
+        halves = f"(l + {added} % a) % a AS l, r" if i % 2 == 0 else f"l, (r + {added} % b) % b AS r"
+        inner = f"SELECT {kept}, {halves} FROM ({inner})"
+    return f"SELECT {kept}, r * a + l AS x FROM ({inner})"
+
+
+CTES["walk"] = f"{_network('epochs')} UNION ALL {_network('walk WHERE x >= n')}"
+
 CTES["longest"] = """
   SELECT *, max(len(chosen)) OVER b AS max_chosen, max(len(rejected)) OVER b AS max_rejected,
          max(len(context)) OVER b AS max_context
@@ -520,6 +541,28 @@ FROM (SELECT instance_id, {} || {} AS prompt FROM instances), range({}) r(sample
             lit(chat.CODE_FENCE + chat.VERIFIER_OPENING), SAMPLES,
         ),
     ),
+    "retried_generations": (
+        "opener instances verifiers",
+        """
+SELECT instance_id, CASE WHEN instance_id % 3 = 0 THEN 2 ELSE 0 END::INT AS retries, sample_idx::INT AS sample_idx,
+       'Use at least ' || ({} % 90 + 10) || ' words.' AS text
+FROM (SELECT instance_id, sample_idx, CASE sample_idx WHEN 1 THEN {} ELSE {} || {} END AS prompt
+      FROM instances JOIN verifiers USING (template), range(3) r(sample_idx) WHERE verifier_pos = 0)""".format(
+            h("42", "instance_id", "sample_idx", "prompt"),
+            rendered(
+                turn(
+                    "user",
+                    fill(chat.COMPLETION_TEMPLATE, query="query", instruction="instruction", verifier="source"),
+                ),
+                reply=True,
+            ),
+            rendered(
+                turn("user", fill(chat.VERIFIER_TEMPLATE, query="query", instruction="instruction")),
+                reply=True,
+            ),
+            lit(chat.CODE_FENCE + chat.VERIFIER_OPENING),
+        ),
+    ),
     "replayed_generations": (
         "",
         """
@@ -588,6 +631,20 @@ SELECT DISTINCT instance_id, verifier_pos, compiled,
        CASE WHEN compiled THEN (code & 8) <> 0 END AS error
 FROM completion_codes""",
     ),
+    "stage_totals": (
+        f"{_KEPT_CTES} counters",
+        "SELECT " + ", ".join(f"sum({c})::BIGINT AS {c}" for c in COUNTERS) + """,
+       count(*) AS finished, 0::BIGINT AS timed_out, 0::BIGINT AS unfinished, count(*) AS written,
+       sum(unique_instances)::BIGINT AS kept FROM counters""",
+    ),
+    "verdict_reuse": (
+        _CASE_CTES,
+        """
+SELECT run::INT AS run, cells, distinct_pairs, CASE WHEN run = 0 THEN texts ELSE 0 END AS judged, texts AS known
+FROM (SELECT count(*) AS cells, count(DISTINCT (source, response)) AS distinct_pairs,
+             count(DISTINCT (source, response)) FILTER (response IS NOT NULL) AS texts
+      FROM instance_verifiers v LEFT JOIN cases c USING (instance_id)), range(2) r(run)""",
+    ),
     "completion_scores": (_RATE_CTES, "SELECT instance_id, slot::INT AS slot, rate FROM rates"),
     "labelled_completions": (
         _RATE_CTES,
@@ -651,6 +708,12 @@ FROM (SELECT instance_id,
         f"SELECT instance_id, pair_idx, batch_id, batch_pos, {_PAD_IDS}, {_PAD_MASKS}, "
         + _view_columns(lambda v: f"max_{v}::INT AS padded_{v}") + " FROM longest",
     ),
+    "epoch_batches": (
+        f"{_PAIR_CTES} epochs walk",
+        f"""
+SELECT instance_id, pair_idx, epoch::INT AS epoch, x // {BATCH_SIZE} AS batch_id, (x % {BATCH_SIZE})::INT AS batch_pos
+FROM walk WHERE x < n""",
+    ),
     "dpo_metrics": (
         "sums metrics",
         "SELECT batch_id, " + _rounded("dpo_loss", "pi_margin", "ref_margin", "dpo_accuracy")
@@ -704,5 +767,8 @@ def oracle_sql() -> dict[str, str]:
     out = {}
     for name, (needed, select) in _STATEMENTS.items():
         ctes = ",\n".join(f"{c} AS ({CTES[c]})" for c in needed.split())
-        out[name] = f"WITH {ctes}\n{select}" if ctes else select.strip()
+        recursive = "RECURSIVE " if "walk" in needed.split() else ""
+        out[name] = f"WITH {recursive}{ctes}\n{select}" if ctes else select.strip()
+    for way in ("balanced_verdicts", "table_verdicts"):
+        out[way] = out["completion_verdicts"]
     return out

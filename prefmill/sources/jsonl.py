@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -188,13 +189,56 @@ def _json_string(text):
     return F.substr(listed, F.lit(2), F.length(listed) - 2)
 
 
+def shard_files(fs, spark: SparkSession, pattern: str) -> list:
+    """Statuses of the files that a pattern names, in order; a folder stands for the data files in it."""
+    found = []
+    for entry in sorted(fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(pattern)) or [], key=lambda s: s.getPath().toString()):
+        inside = fs.listStatus(entry.getPath()) if entry.isDirectory() else [entry]
+        files = [s for s in inside if s.isFile() and s.getPath().getName()[0] not in "._" or s is entry]
+        found += sorted(files, key=lambda s: s.getPath().toString())
+    return found
+
+
 def merge_shards(spark: SparkSession, prefix: str, suffix: str = ".jsonl", sign: str = "-") -> str:
-    """Concatenate ``{prefix}{sign}*{suffix}`` into ``{prefix}{suffix}``, line by line.
+    """Concatenate the shards ``{prefix}{sign}*{suffix}``, in order of name, into one file ``{prefix}{suffix}``.
 
-    Lines are split per file, so a shard without a final line break cannot fuse with
-    the next one.
+    A shard is a file or a folder of part files. Bytes are copied as they are, by the file system's own streams; a
+    shard that does not end its last line gets a line break, so no record fuses with the next one. The file is written
+    under another name and takes the place of an older target only when it is whole. One file means one writer: to
+    read many large shards, read the pattern.
     """
-    target = f"{prefix}{suffix}"
-    shards = spark.read.text(f"{prefix}{sign}*{suffix}").select("value")
-    shards.write.mode("overwrite").text(target)
-    return target
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path
+    target = path(f"{prefix}{suffix}")
+    fs = target.getFileSystem(conf)
+    whole, fresh = fs.makeQualified(target), path(target.getParent(), f".{target.getName()}.{uuid.uuid4().hex}")
+    shards = [s for s in shard_files(fs, spark, f"{prefix}{sign}*{suffix}") if s.getPath() != whole]
+    if not shards:
+        raise FileNotFoundError(f"no shards {prefix}{sign}*{suffix}")
+    try:
+        out = fs.create(fresh, False)
+        try:
+            for shard in shards:
+                if not shard.getLen():
+                    continue
+                source = fs.open(shard.getPath())
+                try:
+                    jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, out, 1 << 20, False)
+                    source.seek(shard.getLen() - 1)
+                    if source.read() != ord("\n"):
+                        out.write(ord("\n"))
+                finally:
+                    source.close()
+        finally:
+            out.close()
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), conf)
+        if fs.exists(target) and fs.getFileStatus(target).isDirectory():
+            raise FileExistsError(f"{target} is a folder")
+        rename = jvm.org.apache.hadoop.fs.Options.Rename
+        options = spark.sparkContext._gateway.new_array(rename, 1)
+        options[0] = rename.OVERWRITE
+        context.rename(fs.makeQualified(fresh), whole, options)
+    finally:
+        if fs.exists(fresh):
+            fs.delete(fresh, False)
+    return target.toString()

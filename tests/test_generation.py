@@ -1,4 +1,5 @@
 import hashlib
+import time
 
 import pyarrow as pa
 import pytest
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 
 from prefmill.functions import chat
 from prefmill.operators.generation import (
-    SamplingOptions, generate, micro_batches, replay, template_backend,
+    Patience, SamplingOptions, flaky, generate, generate_in_flight, micro_batches, replay, template_backend,
 )
 from prefmill.operators.sampling import collect_samples
 
@@ -129,3 +130,64 @@ def test_no_hot_rows_allowed(spark):
     prompts = spark.createDataFrame([("p", 0)], "prompt string, sample_idx int")
     recorded = prompts.select(F.md5("prompt").alias("prompt_md5"), "sample_idx", F.lit("t").alias("text"))
     assert replay(prompts, recorded, "sample_idx", hot_rows=0).first()["text"] == "t"
+
+
+def answering(wait=0.0, fails=lambda request: False):
+    def factory(options):
+        return lambda requests: [f"{k}/{i}/{p}" for k, i, p in requests]
+
+    return flaky(factory, fails, wait)
+
+
+def asked(spark, n):
+    return spark.range(n).coalesce(1).select(
+        F.col("id").alias("instance_id"),
+        F.when(F.col("id") % 7 > 0, F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.concat(F.lit("p"), (i % 2).cast("string")))).alias("prompts"),
+        F.struct("id").alias("kept"),
+    )
+
+
+def test_requests_in_flight_give_the_same_rows_faster(spark):
+    df = asked(spark, 60)
+    seen = {}
+    for in_flight in (1, 16):
+        made = generate_in_flight(df, answering(0.02, lambda r: r.key % 5 == 0), in_flight=in_flight, retries="retries",
+                                  patience=Patience(attempts=2, wait=0.0))
+        started = time.time()
+        rows = made.collect()
+        seen[in_flight] = rows, time.time() - started
+    (slow, slow_time), (fast, fast_time) = seen[1], seen[16]
+    assert slow == fast and [r["instance_id"] for r in fast] == list(range(60))  # in order
+    assert fast_time < slow_time / 2
+    for r in fast:
+        k = r["instance_id"]
+        assert r["texts"] == ([f"{k}/{i}/p{i % 2}" for i in range(4)] if k % 7 else [])
+        assert r["retries"] == (2 if k % 5 == 0 and k % 7 else 0) and r["kept"]["id"] == k
+
+
+def test_one_request_holds_all_samples_of_a_prompt(spark):
+    def factory(options):
+        return lambda request: [f"{len(request.samples)}"] * len(request.samples)
+
+    rows = generate_in_flight(asked(spark, 3), factory).collect()
+    assert [r["texts"] for r in rows] == [[], ["2"] * 4, ["2"] * 4]
+
+
+def test_requests_that_keep_failing(spark):
+    def broken(options):
+        def answer(request):
+            if request.key == 2 and request.prompt == "p1":
+                raise ConnectionError("gone")
+            return [request.prompt] * len(request.samples)
+        return answer
+
+    patience = Patience(attempts=2, wait=0.0)
+    with pytest.raises(Exception, match="gone"):
+        generate_in_flight(asked(spark, 4), broken, patience=patience).collect()
+    rows = generate_in_flight(asked(spark, 4), broken, patience=patience, missing="null", retries="n").collect()
+    assert rows[2]["texts"] == ["p0", None, "p0", None] and rows[2]["n"] == 2 and rows[3]["n"] == 0
+    short = lambda options: lambda request: []
+    with pytest.raises(Exception, match="0 texts for 2 samples"):
+        generate_in_flight(asked(spark, 2), short, patience=patience).collect()
+    with pytest.raises(ValueError):
+        generate_in_flight(asked(spark, 2), short, missing="skip")
