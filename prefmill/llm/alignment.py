@@ -46,6 +46,7 @@ GROUP_CHARS = 1 << 21
 LEVELS = 40
 #: The fast encoder's pattern runs out of stack over some 10^6 blanks in a row; the slow one takes any number.
 MANY_BLANKS = 1 << 16
+HELD_WORDS = 1 << 19
 ROW = "_row"
 
 
@@ -89,10 +90,8 @@ class ByteTokens:
             for t in texts
         ]
         size = np.fromiter(map(len, ids), np.int64, len(ids))
-        spelled = [
-            b"".join(map(self.spelled.__getitem__, own)) == b" " + t.encode("utf-8", "replace") for own, t in zip(ids, texts)
-        ]
-        return np.fromiter(chain.from_iterable(ids), np.int64, int(size.sum())), size, np.array(spelled, dtype=bool)
+        # Merges of bytes never lose one: what the tokens spell is the text.
+        return np.fromiter(chain.from_iterable(ids), np.int64, int(size.sum())), size, np.ones(len(ids), dtype=bool)
 
     def _slowly(self, text: str) -> list[int]:
         if self.slow is None:
@@ -104,7 +103,8 @@ class ByteTokens:
 class PieceTokens:
     """Ids and byte lengths of a sentencepiece model that puts a space in front.
 
-    No piece reaches over the start of a word, so each distinct word of some texts is encoded once.
+    No piece reaches over the start of a word, so each distinct word of some texts is encoded once, and
+    up to ``HELD_WORDS`` are kept for the next.
     """
 
     def __init__(self, model: bytes):
@@ -114,6 +114,17 @@ class PieceTokens:
         self.spelled = [
             bytes([int(piece[3:5], 16)]) if byte else piece.replace(MARK, " ").encode() for piece, byte in self.coder.pieces
         ]
+        self.held: dict[str, tuple[list[int], bool]] = {}
+
+    def _words(self, words: list[str]) -> list[tuple[list[int], bool]]:
+        """The ids of each word with a space in front, and whether they spell it."""
+        held = self.held
+        if len(held) > HELD_WORDS:
+            held.clear()
+        new = [MARK + w for w in words if w not in held]
+        for word, ids in zip(new, self.coder.merger.encode(new, num_threads=1) if new else []):
+            held[word[len(MARK) :]] = ids, b"".join(map(self.spelled.__getitem__, ids)) == word.replace(MARK, " ").encode()
+        return [held[w] for w in words]
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of each text in a row, tokens a text, and whether they spell it with a space in front."""
@@ -131,11 +142,9 @@ class PieceTokens:
                 own[i] = [w[len(MARK) :] for w in self.coder.segments(MARK + known[i].replace(" ", MARK))]
             values, count = pa.array(chain.from_iterable(own), pa.large_string()), np.fromiter(map(len, own), np.int64, len(own))
         coded = values.dictionary_encode()
-        words, codes = [MARK + w for w in coded.dictionary.to_pylist()], coded.indices.to_numpy()
-        ids = self.coder.merger.encode(words, num_threads=1)
-        right = np.array([
-            b"".join(map(self.spelled.__getitem__, own)) == word.replace(MARK, " ").encode() for word, own in zip(words, ids)
-        ])
+        codes = coded.indices.to_numpy()
+        ids, right = zip(*self._words(coded.dictionary.to_pylist()))
+        right = np.array(right)
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
         flat = np.fromiter(chain.from_iterable(ids), np.int64, int(lengths.sum()))
         begins, wanted = np.cumsum(lengths) - lengths, lengths[codes]
@@ -172,11 +181,14 @@ class Aligner:
         for (ids, size, _), lengths in zip(coded, self.lengths):
             joined = ids if kept.all() else ids[np.repeat(kept, size)]
             flat.append(joined), sizes.append(np.where(kept, size, 0)), ends.append(np.cumsum(lengths[joined]))
-        place = np.searchsorted(ends[1], ends[0])
-        hit = ends[1][place] == ends[0] if len(place) else np.zeros(0, dtype=bool)
-        last = (np.flatnonzero(hit), place[hit])
-        owner = np.repeat(np.arange(len(texts)), sizes[0])[last[0]]
-        return Aligned(tuple(flat), tuple(sizes), last, np.bincount(owner, minlength=len(texts)))
+        last, hits = [], []
+        for own, other in ((0, 1), (1, 0)):
+            marked = np.zeros(int(ends[0][-1]) + 1 if len(ends[0]) else 1, dtype=bool)
+            marked[ends[other]] = True
+            hits.append(marked[ends[own]])
+            last.append(np.flatnonzero(hits[-1]))
+        upto = np.concatenate([[0], np.cumsum(hits[0])])
+        return Aligned(tuple(flat), tuple(sizes), tuple(last), np.diff(upto[np.cumsum([0, *sizes[0]])]))
 
     def keys(self, aligned: Aligned) -> np.ndarray:
         """The pair of ids of each link as one number."""
@@ -483,13 +495,31 @@ def group_lists(aligned: Aligned) -> list[pa.ListArray]:
     ]
 
 
-def group_texts(sides: list[pa.ListArray], edges: np.ndarray) -> pa.Array:
-    """The groups of each text as ``1,2|3;4|5,6``: left ids, right ids."""
-    spelled = [
-        pc.binary_join(pa.ListArray.from_arrays(side.offsets, side.values.cast(pa.string())), ",") for side in sides
-    ]
-    groups_ = pc.binary_join_element_wise(*spelled, "|")
-    return pc.binary_join(pa.ListArray.from_arrays(pa.array(edges, pa.int32()), groups_), ";")
+class GroupWriter:
+    """Writes the groups of a text as ``1,2|3;4|5,6``: left ids, right ids."""
+
+    def __init__(self, left: int, right: int):
+        signs = [("," , "|"), (",", ";")]
+        self.behind = 2 * left  # where the right side's begin
+        self.table = pa.array(
+            [f"{i}{sign}" for width, pair in zip((left, right), signs) for i in range(width) for sign in pair], pa.large_string()
+        )
+
+    def write(self, aligned: Aligned) -> list[str]:
+        """Every token is its id and a sign, which tells the last of a group; all in a row, then cut into texts."""
+        (a, b), (last_a, last_b) = aligned.ids, aligned.last
+        ends = [np.concatenate([[0], last + 1]) for last in aligned.last]
+        codes = [2 * a, self.behind + 2 * b]
+        codes[0][last_a] += 1
+        codes[1][last_b] += 1
+        row = np.empty(len(a) + len(b), dtype=np.int64)
+        row[np.arange(len(a)) + np.repeat(ends[1][:-1], np.diff(ends[0]))] = codes[0]
+        row[np.arange(len(b)) + np.repeat(ends[0][1:], np.diff(ends[1]))] = codes[1]
+        spelled = self.table.take(pa.array(row))
+        offsets = np.frombuffer(spelled.buffers()[1], np.int64)[: len(row) + 1]
+        data = memoryview(spelled.buffers()[2]) if len(row) else b""
+        edges = offsets[np.cumsum([0, *(aligned.sizes[0] + aligned.sizes[1])])]
+        return [bytes(data[s : e - 1]).decode() if e > s else "" for s, e in zip(edges[:-1].tolist(), edges[1:].tolist())]
 
 
 def _part_rows(
@@ -509,6 +539,7 @@ def _part_rows(
 
         target, aligner = to_arrow_schema(schema), tokenizers.aligner()
         lookup, highest = Lookup(number, sent.value), best.value
+        writer = GroupWriter(*map(len, aligner.lengths)) if written else None
         for batch in batches:
             at = 0
             for part in groups((t.as_py() for t in batch.column(len(kept))), GROUP_CHARS):
@@ -519,11 +550,10 @@ def _part_rows(
                 edges = np.concatenate([[0], np.cumsum(found.links)])
                 running = np.concatenate([[0], np.cumsum(count[place])])
                 tops = np.concatenate([[0], np.cumsum(top[place])])
-                sides = group_lists(found)
                 if written:
-                    spelled = group_texts(sides, edges)
+                    spelled = pa.array(writer.write(found), pa.string())
                 else:
-                    nested = pa.StructArray.from_arrays(sides, ["left", "right"])
+                    nested = pa.StructArray.from_arrays(group_lists(found), ["left", "right"])
                     spelled = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), nested)
                 own = [
                     *[pa.array(s) for s in found.sizes],
