@@ -6,11 +6,12 @@ import json
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from prefmill import shipping  # noqa: F401
+from prefmill.functions.derive import settle
 
 # Characters that end a line for str.splitlines, and the extra
 # control characters that str.strip counts as blank.
@@ -94,3 +95,56 @@ def parse_test_cases(blocks: Column) -> Column:
     strings, trailing text and single quotes pass) and differ on repeated keys.
     """
     return _parse_lines(split_test_lines(blocks))
+
+
+# JSON blanks, and the escapes of half a surrogate pair.
+JSON_OBJECT = r"(?s)\A[ \t\r\n]*\{.*\}[ \t\r\n]*\z"
+HALF_PAIR = r"\\u[dD][89a-fA-F]"
+
+
+def _parsed(line: Column) -> Column:
+    """The line as a VARIANT followed by its md5, NULL where it is no JSON in Spark's eyes.
+
+    Spark ignores what follows a value. Inside a list, and in front of a text that the line cannot
+    hold, nothing but a single value leaves the list whole.
+    """
+    return F.try_parse_json(F.concat(F.lit("["), line, F.lit(',"'), F.md5(line), F.lit('"]')))
+
+
+def _strict(parsed: Column) -> Column:
+    """``case`` where Spark can tell, ``again`` (the line) where only Python can.
+
+    Repeated names, NaN, and names, numbers or nesting beyond Spark's limits are NULL as a VARIANT; half a
+    surrogate pair would come out as a question mark. All these are objects in form; other lines are no test cases.
+    """
+    line, value = parsed["line"], parsed["value"]
+
+    def kind(name: str) -> Column:
+        return F.schema_of_variant(F.try_variant_get(value, f"$[0].{name}", "variant"))
+
+    whole = F.coalesce(F.try_variant_get(value, "$[1]", "string") == F.md5(line), F.lit(False))
+    doubtful = line.rlike(JSON_OBJECT) & (~whole | line.rlike(HALF_PAIR))
+    right = whole & ~doubtful & (kind("response") == "STRING") & (kind("result") == "BOOLEAN")
+    case = F.struct(
+        F.try_variant_get(value, "$[0].response", "string").alias("response"),
+        F.try_variant_get(value, "$[0].result", "boolean").alias("result"),
+    )
+    return F.struct(F.when(right, case).alias("case"), F.when(doubtful, line).alias("again"))
+
+
+@F.arrow_udf(T.ArrayType(TEST_CASE))
+def _parse_again(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    kind = pa.list_(pa.struct([("response", pa.string()), ("result", pa.bool_())]))
+    for batch in batches:
+        yield pa.array([[line and _parse_line(line) for line in lines or []] for lines in batch.to_pylist()], type=kind)
+
+
+def with_test_cases(df: DataFrame, blocks: Column, out: str = "cases") -> DataFrame:
+    """Add the strict test cases of ``parse_test_cases``, parsed by Spark but for the lines that only Python can tell."""
+    parsed = F.transform(split_test_lines(blocks), lambda x: F.struct(x.alias("line"), _parsed(x).alias("value")))
+    told = settle(df, {"_told": F.transform(parsed, _strict)})
+    some = F.exists("_told", lambda t: t["again"].isNotNull())
+    asked = F.when(some, F.transform("_told", lambda t: t["again"])).otherwise(F.array().cast("array<string>"))
+    known = told.withColumn("_again", _parse_again(asked))
+    merged = F.transform("_told", lambda t, i: F.coalesce(t["case"], F.get("_again", i)))
+    return settle(known, {out: F.filter(merged, lambda c: c.isNotNull())}).drop("_told", "_again")

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import base64
+import re
 from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,3 +50,52 @@ def python_tokenizer(factory: Callable[[], Callable[[list[str]], list[list[int]]
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(run, returnType=T.ArrayType(T.IntegerType()))
+
+
+#: Longer runs of blanks are encoded in pieces: over some 10^6 of them the encoder's pattern runs out of stack.
+MANY_BLANKS = 1 << 16
+
+
+class Vocabulary:
+    """A byte-level vocabulary: a file of ranks, the pattern that splits text, and marks that are one token each.
+
+    The file is read where this is made, and travels with the tasks. Every token has an id of its own, and
+    any text comes back from its ids. Marks get the ids behind the ranks, in the order given.
+    """
+
+    def __init__(self, path: str, pattern: str, marks: tuple[str, ...] = ()):
+        with open(path, "rb") as file:
+            self.ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
+        behind = max(self.ranks.values()) + 1
+        self.pattern, self.marks = pattern, {mark: behind + i for i, mark in enumerate(marks)}
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "coder"}  # each task makes its own
+
+    @cached_property
+    def coder(self) -> tiktoken.Encoding:
+        return tiktoken.Encoding("vocabulary", pat_str=self.pattern, mergeable_ranks=self.ranks, special_tokens=self.marks)
+
+    def __len__(self) -> int:
+        return len(self.ranks) + len(self.marks)
+
+    def encode(self, text: str) -> list[int]:
+        parts = [text] if len(text) <= MANY_BLANKS else re.split(r"(\s{%d})" % MANY_BLANKS, text)
+        return [i for part in parts for i in self.coder.encode(part, allowed_special="all")]
+
+    def decode(self, ids: list[int]) -> str:
+        return self.coder.decode(ids)
+
+    def tokenizer(self) -> Tokenizer:
+        """A column of ids; a null text has null ids."""
+        return python_tokenizer(lambda: lambda texts: [None if t is None else self.encode(t) for t in texts])
+
+    def text(self, ids: Column) -> Column:
+        """The text that a column of ids spells."""
+
+        def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            for batch in batches:
+                yield pa.array([None if own is None else self.decode(own) for own in batch.to_pylist()], pa.string())
+
+        run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+        return F.arrow_udf(run, returnType=T.StringType())(ids)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prefmill.functions.derive import settle
-from prefmill.functions.text import parse_test_cases
+from prefmill.functions.text import with_test_cases
 from prefmill.operators.verification import EQ_FALSE, EQ_TRUE, Budget, Clock, run_verifiers
 from prefmill.sources.jsonl import COUNTERS
 
@@ -25,7 +25,7 @@ def judge_test_cases(
     """
     if partitions:
         df = df.repartition(partitions)
-    parsed = df.withColumn("cases", parse_test_cases(F.col("testcases")))
+    parsed = with_test_cases(df, F.col("testcases"))
     return run_verifiers(
         parsed, F.col("verifiers"), F.col("cases.response"), budget=budget,
         allow_execution=allow_execution, keep_timed_out=keep_timed_out, clock=clock,

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from prefmill.functions import chat
 from prefmill.functions.derive import settle
 from prefmill.functions.keys import dense_index, md5_int, row_count
-from prefmill.functions.text import cut_at_stops, not_empty, strip
-from prefmill.functions.tokens import split_tokens
+from prefmill.functions.text import cut_at_stops, not_empty, strip, with_test_cases
+from prefmill.functions.tokens import Vocabulary, split_tokens
 from prefmill.operators import batching, filtering, metrics, pairing, scorecards, scoring, shift
 from prefmill.operators.generation import (
     Patience, SamplingOptions, flaky, generate, generate_in_flight, replay, template_backend,
@@ -209,10 +209,9 @@ def generated_dataset(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def parsed_test_cases(spark: SparkSession, sf: str) -> DataFrame:
-    cases = filtering.parse_test_cases(F.col("testcases"))
     return (
-        instances(spark, sf)
-        .select("instance_id", F.posexplode(cases).alias("case_pos", "c"))
+        with_test_cases(instances(spark, sf), F.col("testcases"))
+        .select("instance_id", F.posexplode("cases").alias("case_pos", "c"))
         .select("instance_id", "case_pos", "c.response", "c.result")
     )
 
@@ -286,7 +285,7 @@ def stage_totals(spark: SparkSession, sf: str) -> DataFrame:
 def verdict_reuse(spark: SparkSession, sf: str) -> DataFrame:
     """The test cases judged twice with one table: what each run finds known."""
     known = VerdictTable(spark, scratch_path(spark, "verdicts"))
-    cases = instances(spark, sf).select("instance_id", "verifiers", filtering.parse_test_cases(F.col("testcases")).alias("cases"))
+    cases = with_test_cases(instances(spark, sf), F.col("testcases"))
     rows = []
     for run in range(2):
         _, reuse = known.judge(
@@ -319,7 +318,7 @@ def balanced_verdicts(spark: SparkSession, sf: str) -> DataFrame:
 def table_verdicts(spark: SparkSession, sf: str) -> DataFrame:
     """Completions judged by way of a verdict table that knows the verdicts on the test cases."""
     known = VerdictTable(spark, scratch_path(spark, "verdicts"))
-    cases = instances(spark, sf).select("verifiers", filtering.parse_test_cases(F.col("testcases")).alias("cases"))
+    cases = with_test_cases(instances(spark, sf), F.col("testcases"))
     partitions = shuffle_partitions(spark)
     known.judge(cases, F.col("verifiers"), F.col("cases.response"), allow_execution=True, partitions=partitions)
     judged, _ = known.judge(
@@ -423,6 +422,22 @@ def token_views(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def vocabulary_views(spark: SparkSession, sf: str) -> DataFrame:
+    """Token views with a public vocabulary, and the texts that the ids spell."""
+    import public_tokenizers
+
+    style = chat.ChatStyle()
+    marks = (style.begin, style.role_open, style.role_close.rstrip("\n"), style.turn_end)
+    vocabulary = Vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, marks)
+    views = batching.token_views(pairs(spark, sf), vocabulary.tokenizer(), style)
+    return views.select(
+        "instance_id", "pair_idx",
+        *[F.md5(vocabulary.text(F.col(f"input_ids_{v}"))).alias(f"text_md5_{v}") for v in batching.VIEWS],
+        *[(F.size(F.filter(f"input_ids_{v}", lambda i: i == vocabulary.marks[style.turn_end]))).alias(f"turns_{v}") for v in batching.VIEWS],
+        *[(F.array_max(f"input_ids_{v}") < len(vocabulary)).alias(f"known_{v}") for v in batching.VIEWS],
+    )
+
+
 def padded_batches(spark: SparkSession, sf: str) -> DataFrame:
     written = materialise(pairs(spark, sf), "pairs")
     batched = batching.shuffled_batches(written, BATCH_SIZE)
@@ -583,6 +598,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "bounded_pairs": bounded_pairs,
     "self_consistent_pairs": self_consistent_pairs,
     "token_views": token_views,
+    "vocabulary_views": vocabulary_views,
     "padded_batches": padded_batches,
     "epoch_batches": epoch_batches,
     "dpo_metrics": dpo_metrics,

@@ -263,13 +263,12 @@ def _tokens(text: str, view: str) -> str:
          regexp_extract_all({text}, '{TOKEN_PATTERN}') AS tokens FROM pairs"""
 
 
-CTES["view_tokens"] = "\n  UNION ALL ".join(
-    (
-        _tokens(rendered(turn("user", "prompt"), turn("assistant", "chosen")), "chosen"),
-        _tokens(rendered(turn("user", "prompt"), turn("assistant", "rejected")), "rejected"),
-        _tokens(rendered(turn("user", "prompt"), reply=True), "context"),
-    )
-)
+_VIEW_TEXTS = {
+    "chosen": rendered(turn("user", "prompt"), turn("assistant", "chosen")),
+    "rejected": rendered(turn("user", "prompt"), turn("assistant", "rejected")),
+    "context": rendered(turn("user", "prompt"), reply=True),
+}
+CTES["view_tokens"] = "\n  UNION ALL ".join(_tokens(text, view) for view, text in _VIEW_TEXTS.items())
 
 CTES["view_rows"] = """
   SELECT instance_id, pair_idx, view, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS pos
@@ -703,6 +702,15 @@ FROM (SELECT instance_id,
         + _view_columns(lambda v: f"len({v})::INT AS len_{v}")
         + ", (len(chosen) - len(context))::INT AS completion_len_chosen FROM views",
     ),
+    "vocabulary_views": (
+        f"{_PAIR_CTES}",
+        "SELECT instance_id, pair_idx, "
+        + ", ".join(
+            f"md5({text}) AS text_md5_{view}, ((length({text}) - length(replace({text}, {lit(STYLE.turn_end)}, '')))"
+            f" // length({lit(STYLE.turn_end)}))::INT AS turns_{view}, true AS known_{view}"
+            for view, text in _VIEW_TEXTS.items()
+        ) + " FROM pairs",
+    ),
     "padded_batches": (
         f"{_PAIR_CTES} view_tokens view_rows vocabulary views batched longest",
         f"SELECT instance_id, pair_idx, batch_id, batch_pos, {_PAD_IDS}, {_PAD_MASKS}, "

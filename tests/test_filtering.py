@@ -111,7 +111,7 @@ def test_eighty_percent_is_inclusive(spark):
     yes, no = EQ_TRUE | TRUTHY, EQ_FALSE
     matrix = [(True, [yes] * 4 + [no]), (True, [yes] * 3 + [no] * 2), (True, [yes] * 5)]
     df = spark.createDataFrame(
-        [(1, "q", "i", ["a", "b", "c"], ["x"], [("r", True)] * 5, (False, matrix))],
+        [(1, "q", "i", ["a", "b", "c"], ["x"], [("r", True)] * 5, (False, False, matrix))],
         "instance_id int, query string, instruction string, verifiers array<string>, "
         "testcases array<string>, cases array<struct<response:string,result:boolean>>, "
         f"verdicts {VERDICTS}",
@@ -176,7 +176,7 @@ def test_yield_report(score_case):
 
 def test_no_verifiers_give_no_label(spark):
     df = spark.createDataFrame(
-        [(1, "q", "i", [], ["a"], (False, []))],
+        [(1, "q", "i", [], ["a"], (False, False, []))],
         "instance_id int, query string, instruction string, verifiers array<string>, "
         f"completions array<string>, verdicts {VERDICTS}",
     )

@@ -5,6 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from prefmill.functions import text
+from prefmill.functions.text import parse_test_cases, with_test_cases
 
 
 def column(spark, values, expression, schema="x string"):
@@ -114,3 +115,39 @@ def test_a_null_block_is_an_empty_one(spark):
     df = spark.createDataFrame([(['{"response": "a", "result": true}', None],), (None,)], "b array<string>")
     rows = [r[0] for r in df.select(text.parse_test_cases(F.col("b"))).collect()]
     assert [tuple(c) for c in rows[0]] == [("a", True)] and rows[1] is None
+
+
+GOOD = '{"response":"a","result":true}'
+LINES = [
+    GOOD, f" \t{GOOD}\r", f"{GOOD} x", GOOD + GOOD, f"{GOOD},{GOOD}", f"{GOOD}] x [{GOOD}", f"{GOOD},null", f"{GOOD} // c",
+    f"/*c*/{GOOD}", f"{GOOD}\x00", f"﻿{GOOD}", f" {GOOD}", f"\x1f{GOOD}",
+    "{'response':'a','result':true}", '{"response":"a","response":"b","result":true}', '{"response":"a","result":true,"result":1}',
+    '{"response":"a","result":true,"x":NaN}', '{"response":"a","result":true,"x":-Infinity}', '{"response":1,"result":true}',
+    '{"response":"a","result":1}', '{"response":"a","result":null}', '{"response":null,"result":true}', '["response","result"]',
+    '"response"', "7", "null", "", "   ", '{"response":"\\ud800","result":true}', '{"response":"\\ud83d\\ude00","result":true}',
+    '{"\\ud800":1,"response":"a","result":true}', '{"response":"a\tb","result":true}', '{"response":"a","result":true,}',
+    '{"response":"a","result":true,"n":1e999}', '{"response":"a","result":true,"n":01}', '{"response":"a","result":true,"n":.5}',
+    '{"response":"a","result":true,"n":' + "9" * 5001 + "}", '{"response":"a","result":true,"d":' + "[" * 1100 + "]" * 1100 + "}",
+    '{"response":"a\\u0000b","result":false}', '{"Response":"a","result":true}', '{"response":"a","result":"true"}',
+    '{"response":"\\x41","result":true}', '{"response":"a\\/b","result":false}', '{"' + "k" * 60_000 + '":1,"response":"a","result":true}',
+    '{"response":"' + "x" * 60_000 + '","result":true}', '{"response":{"a":1},"result":true}', '{"x":{"response":"a","result":true}}',
+    '{"response":"é\U0001f600","result":false}', '{"response":"2020-01-01","result":true}', '{"response":"","result":false}',
+]
+
+
+def test_spark_and_python_parse_the_same_cases(spark):
+    blocks = [[line] for line in LINES] + [["\n".join(LINES)], ["", None, GOOD], [], None, [GOOD, f"no\n{GOOD} {LINES[14]}"]]
+    df = spark.createDataFrame(list(enumerate(blocks)), "i int, blocks array<string>").repartition(3)
+    both = with_test_cases(df, F.col("blocks")).withColumn("python", parse_test_cases(F.col("blocks"))).collect()
+    assert len(both) == len(blocks)
+    for row in both:
+        assert row["cases"] == row["python"], blocks[row["i"]]
+    assert sum(len(r["cases"] or []) for r in both) > 30
+
+
+def test_only_doubtful_lines_go_to_python(spark):
+    df = spark.createDataFrame([(line,) for line in LINES], "line string")
+    told = df.select("line", F.transform(F.array("line"), lambda x: text._strict(F.struct(x.alias("line"), text._parsed(x).alias("value"))))[0].alias("t"))
+    again = [r["line"] for r in told.filter("t.again IS NOT NULL").collect()]
+    assert LINES[0] not in again and 5 < len(again) < len(LINES) / 2
+    assert all(line.strip()[:1] == "{" for line in again)

@@ -5,7 +5,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from prefmill.functions.tokens import hashed_tokenizer, python_tokenizer
+from prefmill.functions.tokens import Vocabulary, hashed_tokenizer, python_tokenizer
 from prefmill.operators import metrics, scorecards, shift
 from prefmill.operators.batching import VIEWS, pad_batches, shuffled_batches, token_views
 
@@ -191,3 +191,22 @@ def test_choice_scorecard(spark):
 def test_unknown_benchmark(spark):
     with pytest.raises(ValueError):
         scorecards.scorecard("other", spark.range(1))
+
+
+def vocabulary(marks=()):
+    import public_tokenizers
+
+    return Vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, marks)
+
+
+def test_a_vocabulary_tells_tokens_apart_and_spells_them_again(spark):
+    known = vocabulary(("<|eot_id|>", "<|start|>"))
+    texts = ["", "plain words", "é日本\U0001f600", "a<|eot_id|>b<|start|>", "<|endoftext|>", "x" + " " * 900_000 + "\n y", "tab\t\x00"]
+    ids = [known.encode(t) for t in texts]
+    assert [known.decode(i) for i in ids] == texts
+    assert ids[3].count(known.marks["<|eot_id|>"]) == 1 and known.marks["<|start|>"] in ids[3]
+    assert len(set(known.ranks.values())) == len(known.ranks) and not set(known.ranks.values()) & set(known.marks.values())
+    assert all(max(i, default=0) < len(known) for i in ids)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None])], "i int, t string").repartition(2)
+    rows = sorted(df.withColumn("ids", known.tokenizer()(F.col("t"))).withColumn("again", known.text(F.col("ids"))).collect())
+    assert [r["again"] for r in rows] == [*texts, None] and [r["ids"] for r in rows] == [*ids, None]
