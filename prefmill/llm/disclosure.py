@@ -13,9 +13,14 @@ A term whose disclosure reaches the threshold for any entity is generalised, to
 beginnings that stays below the threshold itself, counted over all terms that begin so; where none
 does, it is removed. It is treated so wherever it occurs, since it gives the entity away without the mention too.
 
-An occurrence is known by the word itself, the one before and the one after, and each is counted once: copies
-of a text or a passage are one observation, however many there are. Entities and terms need
-``support`` such observations, and term and entity as many together.
+An occurrence is known by the word itself, the one before and the one after, and each is counted once, so
+copies of a text add nothing. Near copies do, and so mentions are put into families: pairs of neighbouring words some
+way before and behind a mention are its links; the commonest links of an entity's mentions, and what shares a link with mentions
+that have them, are one family, and so on with the rest. An entity needs ``support`` families of mentions, and a
+term must stand near it in as many.
+
+Only terms rare enough to reach the threshold are counted to the end: n_t may be n_tc (N / n_c)^(1 - threshold) at most,
+and a task that alone sees more occurrences of a term says just that.
 """
 
 from __future__ import annotations
@@ -27,25 +32,30 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 import prefmill.shipping  # noqa: F401
-from prefmill.llm.common import ASCII_LOWER, ASCII_UPPER, WORD, quoted, text_of
+from prefmill.llm.common import ASCII_LOWER, ASCII_UPPER, BLANKS, WORD, quoted, text_of
 from prefmill.llm.pieces import groups
 from prefmill.session import materialise
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
 NEAR = 10
+#: The words whose pairs tell copies of a mention: so many words away, from and to.
+FAR = (6, 9)
 SUPPORT = 3
 THRESHOLD = 0.95
 #: Beginnings of terms that may stand for them.
 SHORTEST, LONGEST = 3, 8
 #: Terms that are broadcast at once; more take further passes.
 MAX_TERMS = 1 << 20
+#: Occurrences that a task gathers before it hands them on.
+HELD = 1 << 20
 
 WORDS = re.compile(WORD)
 LOWER = str.maketrans(ASCII_UPPER, ASCII_LOWER)
@@ -147,18 +157,19 @@ class Words:
 
 # -- what the corpus tells ---------------------------------------------------------------
 
-MENTIONS = "entity string, place bigint, terms array<string>, contexts array<bigint>"
+MENTIONS = "entity string, words bigint, links array<bigint>, terms array<string>, contexts array<bigint>"
 
 
 def mentions(df: DataFrame, text: str) -> DataFrame:
-    """A row for each mention of an entity: the words around it, and the terms near it with theirs.
+    """A row for each mention of an entity: its links, and the terms near it with their contexts.
 
-    Rows without an entity hold numbers of words in ``place``.
+    Rows without an entity hold numbers of words.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = pa.schema([
-            ("entity", pa.string()), ("place", pa.int64()), ("terms", pa.list_(pa.string())), ("contexts", pa.list_(pa.int64())),
+            ("entity", pa.string()), ("words", pa.int64()), ("links", pa.list_(pa.int64())), ("terms", pa.list_(pa.string())),
+            ("contexts", pa.list_(pa.int64())),
         ])
         for batch in batches:
             for part in groups(t.as_py() for t in batch.column(0)):
@@ -166,7 +177,7 @@ def mentions(df: DataFrame, text: str) -> DataFrame:
                 for own in part:
                     spans = base_spans(own)
                     if not spans:
-                        count += sum(1 for _ in WORDS.finditer(own))
+                        count += len(WORDS.findall(own))
                         continue
                     words = Words.of(own, spans)
                     count += len(words.words)
@@ -176,17 +187,52 @@ def mentions(df: DataFrame, text: str) -> DataFrame:
                         last = int(np.searchsorted(starts, span[2]))
                         around = [i for i in range(max(0, first - NEAR), min(len(starts), last + NEAR)) if words.free[i]]
                         terms = [(t, words.occurrence(i, t)) for i in around if (t := term_of(words.words[i]))]
-                        place = context(
-                            words.words[first - 1] if first else "", "", words.words[last] if last < len(starts) else ""
-                        )
-                        rows[entity(own, span), place, tuple(terms)] = None
-                rows = [*rows, (None, count, ())]
-                columns = [[r[0] for r in rows], [r[1] for r in rows], [[t for t, _ in r[2]] for r in rows], [[c for _, c in r[2]] for r in rows]]
+                        rows[entity(own, span), tuple(links(words.words, first, last)), tuple(terms)] = None
+                columns = [
+                    [*[e for e, _, _ in rows], None], [*[None] * len(rows), count], [*[k for _, k, _ in rows], []],
+                    [*[[t for t, _ in near] for _, _, near in rows], []], [*[[c for _, c in near] for _, _, near in rows], []],
+                ]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kinds)], schema=kinds)
 
     return df.select(text_of(quoted(text))).mapInArrow(run, MENTIONS)
 
 
+def links(words: list[str], first: int, last: int) -> list[int]:
+    """Pairs of neighbours some words before and behind a mention; 0 beyond the text.
+
+    The words next to it do not count: a name that always stands there is what is looked for.
+    """
+    before = [words[i] if i >= 0 else "" for i in range(first - FAR[1], first - FAR[0] + 1)]
+    behind = [words[i] if i < len(words) else "" for i in range(last + FAR[0] - 1, last + FAR[1])]
+    pairs = [*zip(before[:-1], before[1:]), *zip(behind[:-1], behind[1:])]
+    return [context(f"{i}", a, b) if a or b else 0 for i, (a, b) in enumerate(pairs)]
+
+
+def families(real: DataFrame, support: int) -> DataFrame:
+    """(entity, links, family) of the entities whose mentions fall into ``support`` families at least.
+
+    A family is found in two joins: the commonest link at each place, then what shares a link with a mention
+    that has one of these. What remains after ``support - 1`` families is not looked into: each of its mentions
+    is a family.
+    """
+    left = materialise(real.select("entity", "links").distinct(), "mention-links")
+    left = left.join(left.groupBy("entity").count().filter(F.col("count") >= support).select("entity"), "entity")
+    told = None
+    for number in range(support - 1):
+        placed = left.select("entity", "links", F.posexplode("links").alias("place", "link")).filter("link <> 0")
+        counted = placed.groupBy("entity", "place", "link").count()
+        common = counted.groupBy("entity", "place").agg(F.max_by("link", F.struct("count", "link")).alias("link"))
+        core = placed.join(common, ["entity", "place", "link"]).select("entity", "links").distinct()
+        reached = placed.join(core, ["entity", "links"], "left_semi").select("entity", "place", "link").distinct()
+        own = placed.join(reached, ["entity", "place", "link"]).select("entity", "links").distinct()
+        own = materialise(own.withColumn("family", F.lit(f"{number}")), "mention-family")
+        left = materialise(left.join(own, ["entity", "links"], "left_anti"), "other-mentions")
+        told = own if told is None else told.unionByName(own)
+    rest = left.withColumn("family", F.concat_ws(":", F.lit("own"), F.xxhash64("links")))
+    every = rest if told is None else told.unionByName(rest)
+    return every.join(left.select("entity").distinct(), "entity")
+
+
 def beginnings(term: Column) -> Column:
     """What may stand for a term, shortest first: ``int*`` for instance."""
     lengths = F.filter(F.sequence(F.lit(SHORTEST), F.lit(LONGEST)), lambda k: k < F.length(term))
@@ -194,49 +240,59 @@ def beginnings(term: Column) -> Column:
 
 
 class Keys:
-    """Terms or their beginnings, found by 64-bit hash in a sorted list."""
+    """Terms or their beginnings (``int*``), looked up for many words at once."""
 
     def __init__(self, keys: list[str]):
-        hashes = np.array([xxhash.xxh3_64_intdigest(k.encode("utf-8", "replace")) for k in keys], dtype=np.uint64)
-        self.order = np.argsort(hashes)
-        self.hashes = hashes[self.order]
-
-    def find(self, words: list[str]) -> np.ndarray:
-        """For each word the place of its key in the list given, or -1."""
-        own = np.array([xxhash.xxh3_64_intdigest(w.encode("utf-8", "replace")) for w in words], dtype=np.uint64)
-        if not len(self.hashes) or not len(own):
-            return np.full(len(own), -1, dtype=np.int64)
-        at = np.minimum(np.searchsorted(self.hashes, own), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == own, self.order[at], -1)
-
+        self.keys = keys
+        whole = [i for i, k in enumerate(keys) if not k.endswith("*")]
+        self.sets = {None: whole} if whole else {}
+        for i, k in enumerate(keys):
+            if k.endswith("*"):
+                self.sets.setdefault(len(k) - 1, []).append(i)
+        self.values = {n: pa.array([keys[i].rstrip("*") for i in own], pa.large_string()) for n, own in self.sets.items()}
+
+    def without(self, gone: set[int]) -> Keys:
+        """Without the keys at some places; the others keep theirs."""
+        slim = Keys([])
+        slim.keys = self.keys
+        slim.sets = {n: left for n, own in self.sets.items() if (left := [i for i in own if i not in gone])}
+        slim.values = {n: pa.array([self.keys[i].rstrip("*") for i in own], pa.large_string()) for n, own in slim.sets.items()}
+        return slim
+
+    def find(self, terms: pa.Array) -> list[np.ndarray]:
+        """For each kind of key the place of each term's key, or -1."""
+        found = []
+        for length, own in self.sets.items():
+            asked = terms if length is None else pc.utf8_slice_codeunits(terms, 0, length)
+            at = pc.fill_null(pc.index_in(asked, value_set=self.values[length]), -1).to_numpy(zero_copy_only=False)
+            if length is not None:
+                at = np.where(pc.utf8_length(terms).to_numpy(zero_copy_only=False) > length, at, -1)
+            found.append(np.where(at >= 0, np.array([*own, -1])[at], -1))
+        return found
 
-def matches(texts: list[str], keys: Keys, whole: bool) -> Iterator[tuple[int, Words, list[tuple[int, str, int]]]]:
-    """Texts with hits: number, words, and for each hit the word's number, its key and the key's place.
 
-    ``whole`` looks for terms, otherwise for their beginnings.
-    """
-    split = [WORDS.findall(t) for t in texts]
-    flat = pa.array([w for words in split for w in words], pa.large_string()).dictionary_encode()
-    distinct = flat.dictionary.to_pylist()
-    terms = list(map(term_of, distinct))
-    # Of a distinct word the keys it has, as places in the list of keys.
-    known: dict[int, list[tuple[str, int]]] = {}
-    for length in [None] if whole else range(SHORTEST, LONGEST + 1):
-        spelled = terms if length is None else [t[:length] + "*" if len(t) > length else "" for t in terms]
-        for i in np.flatnonzero(keys.find(spelled) >= 0):
-            if spelled[i]:
-                known.setdefault(int(i), []).append((spelled[i], int(keys.find([spelled[i]])[0])))
-    if not known:
+def matches(texts: list[str], keys: Keys) -> Iterator[tuple[int, Words, list[tuple[int, int]]]]:
+    """Texts with hits: number, words, and for each hit the word's number and its key's place in the list."""
+    if not keys.sets:
+        return
+    split = pc.split_pattern_regex(pa.array([t.encode("utf-8", "replace").decode() for t in texts], pa.large_string()), BLANKS)
+    coded = split.flatten().dictionary_encode()
+    terms = pc.utf8_trim(pc.ascii_lower(coded.dictionary), string.punctuation)
+    long = pc.greater_equal(pc.utf8_length(terms), SHORTEST).to_numpy(zero_copy_only=False)
+    places = [np.where(long, at, -1) for at in keys.find(terms)]
+    hot = np.zeros(len(coded.dictionary), dtype=bool)
+    for at in places:
+        hot |= at >= 0
+    if not hot.any():
         return
-    codes = flat.indices.to_numpy()
-    hot = np.isin(codes, np.fromiter(known, np.int64, len(known)))
-    edges = np.cumsum([0, *map(len, split)])
-    for number in np.unique(np.searchsorted(edges, np.flatnonzero(hot), side="right") - 1):
+    codes, edges = coded.indices.to_numpy(), split.offsets.to_numpy()
+    empty = pc.equal(pc.binary_length(coded.dictionary), 0).to_numpy(zero_copy_only=False)
+    for number in np.unique(np.searchsorted(edges, np.flatnonzero(hot[codes]), side="right") - 1):
         words = Words.of(texts[number], base_spans(texts[number]))
         own = codes[edges[number] : edges[number + 1]]
+        own = own[~empty[own]]  # blanks at either end leave an empty word
         hits = [
-            (int(i), key, place) for i in np.flatnonzero(hot[edges[number] : edges[number + 1]] & words.free)
-            for key, place in known[int(own[i])]
+            (int(i), int(at[own[i]])) for i in np.flatnonzero(hot[own] & words.free) for at in places if at[own[i]] >= 0
         ]
         if hits:
             yield int(number), words, hits
@@ -251,26 +307,52 @@ def in_parts(keys: DataFrame, column: str, max_terms: int) -> Iterator[list]:
             yield rows
 
 
-def occurrences(df: DataFrame, text: str, keys: DataFrame, whole: bool, max_terms: int) -> DataFrame:
-    """How many occurrences each key has in the corpus: (key, n)."""
+def occurrences(df: DataFrame, text: str, keys: DataFrame, max_terms: int) -> DataFrame:
+    """How many occurrences a key has in the corpus, where these are ``cap`` at most: (key, n).
+
+    A task that finds more of a key says so and gathers no further ones, so a frequent word is one row a task.
+    """
     spark, counted = df.sparkSession, None
     for rows in in_parts(keys, "key", max_terms):
-        sent = spark.sparkContext.broadcast([r["key"] for r in rows])
+        sent = spark.sparkContext.broadcast([(r["key"], r["cap"]) for r in rows])
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            known = Keys(sent.value)
+            caps = [cap for _, cap in sent.value]
+            known = Keys([key for key, _ in sent.value])
+            seen: dict[int, set[int]] = {}
+            held, gone = 0, set()
+
+            def out(rows: list[tuple[int, int | None]]) -> pa.RecordBatch:
+                columns = [pa.array([known.keys[k] for k, _ in rows], pa.string()), pa.array([c for _, c in rows], pa.int64())]
+                return pa.RecordBatch.from_arrays(columns, names=["key", "context"])
+
             for batch in batches:
                 for part in groups(t.as_py() for t in batch.column(0)):
-                    seen = {
-                        (key, words.occurrence(i, term_of(words.words[i])))
-                        for _, words, hits in matches(part, known, whole) for i, key, _ in hits
-                    }
-                    if seen:
-                        columns = [pa.array(c) for c in zip(*seen)]
-                        yield pa.RecordBatch.from_arrays(columns, names=["key", "context"])
-
-        own = df.select(text_of(quoted(text))).mapInArrow(run, "key string, context bigint")
-        own = materialise(own.distinct().groupBy("key").agg(F.count(F.lit(1)).alias("n")), "key-counts")
+                    over = set()
+                    for _, words, hits in matches(part, known):
+                        for i, place in hits:
+                            if place in over:
+                                continue
+                            own = seen.setdefault(place, set())
+                            before = len(own)
+                            own.add(words.occurrence(i, term_of(words.words[i])))
+                            held += len(own) - before
+                            if len(own) > caps[place]:
+                                over.add(place)
+                                held -= len(seen.pop(place))
+                    if over:
+                        gone |= over
+                        known = known.without(gone)
+                        yield out([(k, None) for k in over])
+                    if held > HELD:
+                        yield out([(k, c) for k, own in seen.items() for c in own])
+                        seen, held = {}, 0
+            if held:
+                yield out([(k, c) for k, own in seen.items() for c in own])
+
+        found = df.select(text_of(quoted(text))).mapInArrow(run, "key string, context bigint").distinct()
+        own = found.groupBy("key").agg(F.count("context").alias("n"), F.count_if(F.col("context").isNull()).alias("over"))
+        own = materialise(own.filter("over = 0").select("key", "n"), "key-counts")
         counted = own if counted is None else counted.unionByName(own)
     return spark.createDataFrame([], "key string, n bigint") if counted is None else counted
 
@@ -301,32 +383,40 @@ def fit(
     """
     spark = df.sparkSession
     found = materialise(mentions(df, text), "mentions")
-    words = found.filter("entity IS NULL").agg(F.coalesce(F.sum("place"), F.lit(0))).first()[0]
+    words = found.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
     none = Model(words, spark.createDataFrame([], "term string, general string, entity string, disclosure double"))
     real = found.filter("entity IS NOT NULL")
-    shared = real.select("entity", "place").distinct().groupBy("entity").count().filter(F.col("count") >= support)
+    shared = families(real, support)
     pairs = F.explode(F.arrays_zip("terms", "contexts")).alias("o")
     near = materialise(
-        real.join(shared.select("entity"), "entity").select("entity", pairs)
-        .select("entity", F.col("o.terms").alias("key"), F.col("o.contexts").alias("context")).distinct(),
+        real.join(shared, ["entity", "links"]).select("entity", "family", pairs)
+        .select("entity", "family", F.col("o.terms").alias("key"), F.col("o.contexts").alias("context")).distinct(),
         "near-terms",
     )
-    sizes = near.groupBy("entity").agg(F.count(F.lit(1)).alias("of_entity"))
+    sizes = near.groupBy("entity").agg(F.count_distinct("key", "context").alias("of_entity"))
 
-    def weighed(near: DataFrame, counts: DataFrame) -> DataFrame:
-        together = near.groupBy("entity", "key").agg(F.count(F.lit(1)).alias("together"))
-        return together.join(counts, "key").join(sizes, "entity").withColumn(
-            "disclosure", disclosure(F.col("together"), F.col("n"), F.col("of_entity"), words)
+    def together(near: DataFrame, least: int) -> DataFrame:
+        """Keys near entities, and up to how many occurrences in all they reach the threshold."""
+        counted = near.groupBy("entity", "key").agg(
+            F.count_distinct("context").alias("together"), F.count_distinct("family").alias("families")
+        )
+        rarity = F.pow(F.lit(float(words)) / F.col("of_entity"), F.lit(1 - threshold))
+        return counted.filter(F.col("families") >= least).join(sizes, "entity").withColumn(
+            "cap", F.ceil(F.col("together") * rarity * (1 + 1e-9))
         )
 
-    often = near.groupBy("entity", "key").count().filter(F.col("count") >= support)
-    candidates = materialise(often.select("key").distinct(), "candidate-terms")
-    if candidates.isEmpty():
-        return none
-    counts = occurrences(df, text, candidates, True, max_terms)
-    risky = weighed(near.join(candidates, "key"), counts).filter((F.col("together") >= support) & (F.col("disclosure") >= threshold))
+    def disclosing(near: DataFrame, least: int) -> DataFrame:
+        pairs = materialise(together(near, least), "near-pairs")
+        keys = materialise(pairs.groupBy("key").agg(F.max("cap").alias("cap")), "candidate-keys")
+        if keys.isEmpty():
+            return spark.createDataFrame([], "key string, entity string, disclosure double")
+        value = disclosure(F.col("together"), F.col("n"), F.col("of_entity"), words)
+        weighed = pairs.join(occurrences(df, text, keys, max_terms), "key").withColumn("disclosure", value)
+        return weighed.filter(F.col("disclosure") >= threshold).select("key", "entity", "disclosure")
+
+    top = F.struct("disclosure", "entity")
     worst = materialise(
-        risky.groupBy("key").agg(F.max_by(F.struct("disclosure", "entity"), F.struct("disclosure", "entity")).alias("w"))
+        disclosing(near, support).groupBy("key").agg(F.max_by(top, top).alias("w"))
         .select(F.col("key").alias("term"), "w.entity", "w.disclosure"),
         "risky-terms",
     )
@@ -334,8 +424,8 @@ def fit(
         return none
     options = worst.select("term", F.explode(beginnings(F.col("term"))).alias("key"))
     keys = materialise(options.select("key").distinct(), "beginnings")
-    begun = near.select("entity", F.explode(beginnings(F.col("key"))).alias("key"), "context").join(keys, "key").distinct()
-    strong = weighed(begun, occurrences(df, text, keys, False, max_terms)).filter(F.col("disclosure") >= threshold)
+    begun = near.select("entity", "family", F.explode(beginnings(F.col("key"))).alias("key"), "context").join(keys, "key").distinct()
+    strong = disclosing(begun, 1)
     safe = options.join(strong.select("key").distinct(), "key", "left_anti")
     general = safe.groupBy("term").agg(F.max_by("key", F.length("key")).alias("general"))
     return Model(words, materialise(worst.join(general, "term", "left").select("term", "general", "entity", "disclosure"), "disclosing-terms"))
@@ -406,11 +496,10 @@ def _add_terms(rows: DataFrame, names: list[str], terms: list[tuple[str, str]])
                     for t, before in zip(part, given.column(own + 1).to_pylist())
                 ]
                 if stands:
-                    for number, words, hits in matches(part, known, True):
-                        for i, key, place in hits:
-                            a, b = words.places[i]
-                            inside = words.words[i].translate(LOWER).find(key)
-                            begin = a + inside
+                    for number, words, hits in matches(part, known):
+                        for i, place in hits:
+                            key = known.keys[place]
+                            begin = words.places[i][0] + words.words[i].translate(LOWER).find(key)
                             spans[number].append(
                                 {"kind": TERM, "start": begin, "end": begin + len(key), "replacement": stands[place]}
                             )

@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from prefmill.llm import disclosure
-from prefmill.llm.disclosure import KINDS, base_spans, fit, rewrite, sanitise
+from prefmill.llm.disclosure import KINDS, base_spans, context, fit, rewrite, sanitise
 from prefmill.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -84,7 +84,7 @@ def test_documents_equal_the_patterns(spark):
 
 def brute_model(texts, threshold, support):
     """Terms, what stands for them and what they disclose, from dictionaries."""
-    words_total, near, place_of, seen = 0, defaultdict(set), defaultdict(set), defaultdict(set)
+    words_total, around_of, seen = 0, defaultdict(list), defaultdict(set)
     for text in texts:
         spans = brute_spans(text or "")
         matches = list(re.finditer(r"[^\x20\x09-\x0D]+", text or ""))
@@ -107,18 +107,39 @@ def brute_model(texts, threshold, support):
             value = re.sub("[^0-9]", "", value) if kind in ("card", "phone") else value.lower()
             first = next((i for i, m in enumerate(matches) if m.end() > a), len(matches))
             last = next((i for i, m in enumerate(matches) if m.start() >= b), len(matches))
-            place_of[kind, value].add((at(first - 1), at(last)))
-            for i in range(max(0, first - 10), min(len(words), last + 10)):
-                if free[i] and term(i):
-                    near[kind, value].add((at(i - 1), term(i), at(i + 1)))
-    near = {e: v for e, v in near.items() if len(place_of[e]) >= support}
+            pairs = [(at(first - d - 1), at(first - d)) for d in (8, 7, 6)] + [(at(last + d), at(last + d + 1)) for d in (5, 6, 7)]
+            link = tuple((i, context(f"{i}", a, b)) for i, (a, b) in enumerate(pairs) if a or b)
+            terms = {
+                (at(i - 1), term(i), at(i + 1))
+                for i in range(max(0, first - 10), min(len(words), last + 10)) if free[i] and term(i)
+            }
+            around_of[kind, value].append((link, terms))
+    near, family_of = {}, {}
+    for e, found in around_of.items():
+        left, told = {link for link, _ in found}, {}
+        if len(left) < support:
+            continue
+        for number in range(support - 1):
+            counts = defaultdict(int)
+            for link in left:
+                for pair in link:
+                    counts[pair] += 1
+            common = {max((p for p in counts if p[0] == place), key=lambda p: (counts[p], p[1])) for place in {p[0] for p in counts}}
+            reached = {p for link in left if set(link) & common for p in link}
+            own = {link for link in left if set(link) & reached}
+            told |= dict.fromkeys(own, number)
+            left -= own
+        if left:
+            near[e] = {o for _, terms in found for o in terms}
+            family_of[e] = {o: {told.get(link, link) for link, terms in found if o in terms} for o in near[e]}
 
     def disclosed(matching, least):
         best = None
         occurrences = {o for t in seen if matching(t) for o in seen[t]}
         for e, around in near.items():
-            together = len({o for o in around if matching(o[1])})
-            if together < least or not together or len(around) >= words_total:
+            own = {o for o in around if matching(o[1])}
+            together, kinds = len(own), {f for o in own for f in family_of[e][o]}
+            if len(kinds) < least or not together or len(around) >= words_total:
                 continue
             pmi = math.log2(together * words_total / (len(occurrences) * len(around)))
             value = pmi / math.log2(words_total / len(around))
@@ -184,10 +205,34 @@ def test_disclosing_terms_equal_dictionaries(spark, max_terms):
             assert row["sanitised"] == rewrite(text, [tuple(s) for s in row["spans"]])
 
 
-def test_copies_are_one_observation(spark):
-    text = "some words here Nickname wrote from jane@example.org about other things"
-    df = spark.createDataFrame([(i, text) for i in range(50)], "doc_id bigint, text string")
+def test_copies_and_near_copies_are_one_observation(spark):
+    draw = random.Random(9)
+    words = "some words here go before Nickname wrote from jane@example.org about other things that come after it".split()
+    texts = [" ".join(words)] * 30
+    for i in range(120):  # two words changed, never the address
+        changed = list(words)
+        for place in draw.sample([j for j in range(len(words)) if "@" not in words[j]], 2):
+            changed[place] = f"new{i}{place}"
+        texts.append(" ".join(changed))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     assert fit(df).terms.collect() == []
+    assert brute_model(texts, 0.95, 3)[1] == {}
+
+
+def test_frequent_terms_are_told_apart_without_being_gathered(spark, monkeypatch):
+    texts = corpus()
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(2)
+    monkeypatch.setattr(disclosure, "HELD", 4)  # hand occurrences on after every few
+    keys = spark.createDataFrame([("loremum", 3), ("zorrobel", 100), ("lorem", 2), ("quxyvia", 50), ("zorro*", 100), ("absent", 9)], "key string, cap long")
+    found = {r["key"]: r["n"] for r in disclosure.occurrences(df, "text", keys, 2).collect()}
+    seen = defaultdict(set)
+    for text in texts:
+        words = [w.lower() for w in text.split()]
+        for i, w in enumerate(words):
+            seen[w.strip(string.punctuation)].add((words[i - 1] if i else "", words[i + 1] if i + 1 < len(words) else ""))
+    assert "lorem" not in found and "absent" not in found
+    assert found["zorrobel"] == len(seen["zorrobel"]) and found["quxyvia"] == len(seen["quxyvia"])
+    assert found["zorro*"] == len(seen["zorrobel"]) + len(seen["zorrowind"])
 
 
 def test_odd_rows(spark):
