@@ -81,7 +81,7 @@ def test_death_in_the_middle_keeps_the_other_calls(judge):
 
 def test_time_out_drops_the_instance_unless_counted_as_false():
     process = VerifierProcess(Budget(seconds=0.3))
-    assert process.judge([GOOD, LOOP], ["a"]) == {"timed_out": True, "matrix": None}
+    assert process.judge([GOOD, LOOP], ["a"]) == {"timed_out": True, "late": False, "matrix": None}
     assert process.judge(["while True: pass\n"], ["a"])["timed_out"]
     assert process.judge([GOOD], ["abcd"])["matrix"] == [{"compiled": True, "codes": [YES]}]
     process.close()
@@ -194,5 +194,5 @@ def test_an_instance_has_a_time_limit_of_its_own(source, inputs):
     assert len(got[1]["codes"]) == inputs and got[1]["codes"][-1] == TIMEOUT
     assert got[2] == {"compiled": False, "codes": None}
     process = VerifierProcess(Budget(**budget))
-    assert process.judge([GOOD, source], ["abcd"] * inputs) == {"timed_out": True, "matrix": None}
+    assert process.judge([GOOD, source], ["abcd"] * inputs) == {"timed_out": True, "late": False, "matrix": None}
     process.close()
