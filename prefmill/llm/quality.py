@@ -34,12 +34,16 @@ LEVEL = 3
 
 @dataclass(frozen=True)
 class CompressionModel:
-    """Dictionaries and curve; without dictionaries every text gets the prior."""
+    """Dictionaries and curve; without dictionaries every text gets the prior.
+
+    ``trained`` tells dictionaries that zstandard made from samples from raw text.
+    """
 
     good: bytes
     bad: bytes
     slope: float
     offset: float
+    trained: bool = True
 
 
 def pieces(text: str | None, size: int = PIECE_BYTES) -> list[bytes]:
@@ -50,10 +54,11 @@ def pieces(text: str | None, size: int = PIECE_BYTES) -> list[bytes]:
 class Measure:
     """The normalised difference of a text's compressed sizes."""
 
-    def __init__(self, good: bytes, bad: bytes):
+    def __init__(self, good: bytes, bad: bytes, trained: bool = True):
         self.coders = []
+        kind = zstandard.DICT_TYPE_FULLDICT if trained else zstandard.DICT_TYPE_RAWCONTENT
         for raw in (good, bad):
-            words = zstandard.ZstdCompressionDict(raw)
+            words = zstandard.ZstdCompressionDict(raw, dict_type=kind)
             words.precompute_compress(level=LEVEL)
             self.coders.append(
                 zstandard.ZstdCompressor(level=LEVEL, dict_data=words, write_content_size=False)
@@ -127,44 +132,77 @@ def labelled_sample(
     return texts, counts
 
 
+def trained_books(samples: list[list[bytes]]) -> list[bytes] | None:
+    """A dictionary from each class's pieces; None where one class has too little text to learn from."""
+    if min(map(len, samples)) < 16:
+        return None
+    try:
+        return [zstandard.train_dictionary(DICTIONARY_BYTES, own).as_bytes() for own in samples]
+    except zstandard.ZstdError:
+        return None
+
+
+def raw_books(samples: list[list[bytes]]) -> list[bytes]:
+    """The texts themselves as dictionaries, of one length, so that their sizes compare."""
+    room = min(DICTIONARY_BYTES, *[sum(map(len, own)) for own in samples])
+    return [b"".join(own)[:room] for own in samples]
+
+
+def samples_of(texts: dict[int, list[str]], left_out: int | None) -> list[list[bytes]]:
+    """Pieces of the good and the bad texts without every third one, from ``left_out`` on; all of a class that has one text."""
+    return [
+        [p for i, t in enumerate(texts[v]) if i % 3 != left_out or len(texts[v]) == 1 for p in pieces(t, 1024)] for v in (1, 0)
+    ]
+
+
 def train(texts: dict[int, list[str]], counts: dict[int, int]) -> CompressionModel:
     """Two of three texts of a class build its dictionary, the third fits the curve.
 
-    With too few texts for dictionaries the score of every text is the share of good labels.
+    Too few texts to train on are dictionaries as they are. Each third is then measured with the other two, so that
+    all of them fit the curve, and all of them make the dictionaries. The curve never falls: so few texts
+    may suggest that, but a smaller size is what the method goes by. Without any text of one class
+    there is nothing to compare, and the score of every text is the share of good labels.
     """
     prior = {c: counts.get(c, 0) + 1 for c in (0, 1)}
-    fallback = CompressionModel(b"", b"", 0.0, math.log(prior[1] / prior[0]))
-    books = []
-    for value in (1, 0):
-        seen = [p for i, t in enumerate(texts[value]) if i % 3 for p in pieces(t, 1024)]
-        if len(seen) < 16:
-            return fallback
-        try:
-            books.append(zstandard.train_dictionary(DICTIONARY_BYTES, seen).as_bytes())
-        except zstandard.ZstdError:  # too little text to learn from
-            return fallback
-    measure = Measure(*books)
-    held = [(measure(t), value) for value in (0, 1) for t in texts[value][::3]]
+    if not texts[0] or not texts[1]:
+        return CompressionModel(b"", b"", 0.0, math.log(prior[1] / prior[0]))
+    books = trained_books(samples_of(texts, 0))
+    trained = books is not None
+    held = []
+    for fold in range(1 if trained else 3):
+        measure = Measure(*books) if trained else Measure(*raw_books(samples_of(texts, fold)), trained=False)
+        held += [(measure(t), value) for value in (0, 1) for t in texts[value][fold::3]]
     x, y = (np.array(v, dtype=float) for v in zip(*held))
     share = {c: prior[c] / sum(prior.values()) / max(1, (y == c).sum()) for c in (0, 1)}
     weight = np.where(y == 1, share[1], share[0]) * len(y)
-    return CompressionModel(books[0], books[1], *fit_curve(x, y, weight))
+    slope, offset = fit_curve(x, y, weight)
+    if trained:
+        return CompressionModel(books[0], books[1], slope, offset)
+    return CompressionModel(*raw_books(samples_of(texts, None)), max(1.0, slope), offset, trained=False)
 
 
 def fit(
     docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text",
     label: str = "quality", per_class: int = SAMPLE_PER_CLASS,
 ) -> CompressionModel:
-    """Fit on at most ``2 * per_class`` labelled texts outside the held-out fold."""
+    """Fit on at most ``2 * per_class`` labelled texts outside the held-out fold.
+
+    A key that occurs repeatedly counts once, with its smallest text; one that is null, labelled both ways or
+    not at all takes no part, nor do null and empty texts and those above ``SAMPLE_BYTES``. Of equal hashes the smaller key
+    comes first. Empty tables leave no labels, and so the prior. Only the named columns are read.
+    """
     return train(*labelled_sample(docs, labels, key, text, label, per_class))
 
 
 def score(model: CompressionModel, text: str | Column = "text") -> Column:
-    """Probability that a text is good; null counts as empty, which is scored as well."""
-    good, bad, slope, offset = model.good, model.bad, model.slope, model.offset
+    """Probability that a text is good; null counts as empty, which is scored as well.
+
+    Whole texts are scored, however long, piece by piece; the score is a function of the text alone.
+    """
+    good, bad, slope, offset, trained = model.good, model.bad, model.slope, model.offset, model.trained
 
     def probability(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        measure = Measure(good, bad) if good else (lambda _: 0.0)
+        measure = Measure(good, bad, trained) if good else (lambda _: 0.0)
         for batch in batches:
             yield pa.array([logistic(slope * measure(t.as_py()) + offset) for t in batch], pa.float64())
 
