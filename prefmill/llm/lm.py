@@ -5,15 +5,18 @@ its second occurrence on; what the others would have got goes to the shorter con
 
     P(w | u v) = a(u v w) + l(u v) * (a(v w) + l(v) * P(w)),   a = count / (context count + distinct followers)
 
-where l makes the sum over all words one, P(w) = c(w) / (N + V), and all unknown words together have V / (N + V).
+where l makes the sum over all words one, P(w) = c(w) / (N + V), and unknown words have V / (N + V) together. As many
+unknown words are allowed for as there are known ones, and the end: each has 1 / (V + 1) of that. From which occurrence on
+n-grams count is a parameter, two by default.
 
 The model is cut by its middle word v into shards, so that one shard holds the whole path of any
 trigram and no task needs all of the model. Documents are tokenised into chunks of about two million
 tokens. A chunk sends each of its distinct trigrams once, packed, to their shards; a shard
 adds up the counts of all chunks, builds its trie, answers every chunk from it, and the chunk sums its
 documents. Shards grow in number with the text. A word so frequent that a shard would grow too large is
-split by the word before it: (word, bucket of the word before) then takes the place of the word as a
-context. Which words are split, and so every score, depends on the corpus alone, not on partitions.
+split twice: its trigrams by the word before it, so that a context (u, v) lies in one place as a whole; its bigrams by the
+word behind, so that every count of (v, w) is whole too. What the bigrams of a split word add up to is gathered
+from its buckets, two numbers a bucket, and goes to all tasks. So scores are those of a model that is not split.
 
 A shard's trie has four monotone sequences in Elias-Fano form: middle words; the successors of
 each; the predecessors with which each forms a context; and the successors of each context. The last
@@ -43,7 +46,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 import prefmill.shipping  # noqa: F401
-from prefmill.llm.common import crc_fold, small_batches, text_of
+from prefmill.llm.common import crc_fold, quoted, small_batches, text_of
 from prefmill.session import materialise, scratch_path
 
 FOLDS, HELD_FOLD = 7, 2
@@ -53,6 +56,8 @@ SHARD_BYTES = 6 << 20
 #: so at most HOT_WORDS words are.
 HOT_TOKENS, HOT_WORDS = 1 << 20, 1 << 16
 MIN_COUNT = 2
+#: What a key of a shard holds: a word's contexts, or of a split word a bucket of its trigrams or of its bigrams.
+PLAIN, TRIGRAMS, BIGRAMS = 0, 1, 2
 STEPS = 512  # of a code, per power of ten; codes take up to 16 bits, mostly fewer
 NOTHING = 65535
 END = b""
@@ -187,8 +192,15 @@ class Trie:
     def mapped(folder: str) -> Trie:
         return Trie.of([np.load(f"{folder}/{i}.npy", mmap_mode="r") for i in range(len(os.listdir(folder)))])
 
-    def ask(self, keys: np.ndarray, key_of: np.ndarray, before: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Factors (A, B) with P(word) = A + B * P1(word), for trigrams (before, keys[key_of], word)."""
+    def ask(
+        self, keys: np.ndarray, key_of: np.ndarray, before: np.ndarray, word: np.ndarray, kind: np.ndarray | None = None,
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """Factors (A, B) with P(word) = A + B * P1(word), for trigrams (before, keys[key_of], word).
+
+        For keys that hold the trigrams of a split word, P2 takes the place of P1. For those that hold its bigrams, A is
+        a word's share of its bucket.
+        """
+        kind = np.zeros(len(keys), dtype=np.uint8) if kind is None else kind
         middle = self.middles.find(keys)[key_of]
         hit = np.flatnonzero(middle >= 0)
         m = middle[hit].astype(np.uint64)
@@ -197,6 +209,8 @@ class Trie:
         a2 = np.zeros(len(hit))
         a2[follower >= 0] = from_codes(np.asarray(self.follower_codes)[follower[follower >= 0]])
         l2 = from_codes(np.asarray(self.middle_codes)[middle[hit]])
+        split = kind[key_of[hit]] == TRIGRAMS
+        a2[split], l2[split] = 0.0, 1.0
         a3, l3 = np.zeros(len(hit)), np.ones(len(hit))
         known = np.flatnonzero(context >= 0)
         l3[known] = from_codes(np.asarray(self.context_codes)[context[known]])
@@ -213,26 +227,34 @@ def _sums(places: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
     return np.bincount(places, weights=values, minlength=size)
 
 
-def build_trie(keys: np.ndarray, key_of: np.ndarray, before: np.ndarray, word: np.ndarray, counts: np.ndarray) -> Trie:
-    """The trie of all trigrams (before, keys[key_of], word), which may repeat, with their counts."""
+def build_trie(
+    keys: np.ndarray, key_of: np.ndarray, before: np.ndarray, word: np.ndarray, counts: np.ndarray,
+    kind: np.ndarray | None = None, min_count: int = MIN_COUNT,
+) -> tuple[Trie, np.ndarray, np.ndarray]:
+    """The trie of all trigrams (before, keys[key_of], word), which may repeat, with their counts.
+
+    Keys that hold bigrams have no contexts. Also returns what the bigrams of each key add up to, with
+    one for each distinct word, and the share of it that is left to single words.
+    """
     shift = np.uint64(32)
     own = key_of.astype(np.uint64) << shift
     pairs, pair_of = np.unique(own | word, return_inverse=True)
-    contexts, context_of = np.unique(own | before, return_inverse=True)
-    triples, triple_of = np.unique(context_of.astype(np.uint64) << shift | pair_of.astype(np.uint64), return_inverse=True)
+    whole = slice(None) if kind is None else kind[key_of] != BIGRAMS
+    contexts, context_of = np.unique((own | before)[whole], return_inverse=True)
+    triples, triple_of = np.unique(context_of.astype(np.uint64) << shift | pair_of[whole].astype(np.uint64), return_inverse=True)
     triple_context, triple_pair = (triples >> shift).astype(np.int64), (triples & np.uint64(0xFFFFFFFF)).astype(np.int64)
     pair_key = (pairs >> shift).astype(np.int64)
-    c2, c3 = _sums(pair_of, counts, len(pairs)), _sums(triple_of, counts, len(triples))
+    c2, c3 = _sums(pair_of, counts, len(pairs)), _sums(triple_of, counts[whole], len(triples))
 
-    def smoothed(c: np.ndarray, parent: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def smoothed(c: np.ndarray, parent: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Kept entries, their probabilities, and what each parent leaves to the shorter context."""
         weight = _sums(parent, c, size) + _sums(parent, c > 0, size)
-        kept = np.flatnonzero(c >= MIN_COUNT)
+        kept = np.flatnonzero(c >= min_count)
         a = c[kept] / weight[parent[kept]]
-        return kept, a, 1 - _sums(parent[kept], a, size)
+        return kept, a, 1 - _sums(parent[kept], a, size), weight
 
-    kept2, a2, left2 = smoothed(c2, pair_key, len(keys))
-    kept3, a3, left3 = smoothed(c3, triple_context, len(contexts))
+    kept2, a2, left2, weight2 = smoothed(c2, pair_key, len(keys))
+    kept3, a3, left3, _ = smoothed(c3, triple_context, len(contexts))
     middles = np.unique(pair_key[kept2])
     place = np.full(len(keys), -1)
     place[middles] = np.arange(len(middles))
@@ -252,7 +274,7 @@ def build_trie(keys: np.ndarray, key_of: np.ndarray, before: np.ndarray, word: n
     followers = follower_key.astype(np.uint64) << shift | pairs[kept2] & word_bits
     befores = context_key.astype(np.uint64) << shift | contexts[used] & word_bits
     relative = context_place[triple_context[kept3]] * reach + rank
-    return Trie(
+    trie = Trie(
         EliasFano.encode(keys[middles], 1 << 64),
         EliasFano.encode(followers, max(1, len(middles)) << 32),
         EliasFano.encode(starts, len(kept2) + 1),
@@ -264,6 +286,7 @@ def build_trie(keys: np.ndarray, key_of: np.ndarray, before: np.ndarray, word: n
         to_codes(a3),
         to_codes(left3[used]),
     )
+    return trie, weight2, left2
 
 
 # -- chunks -------------------------------------------------------------------------------
@@ -306,24 +329,35 @@ def read_chunk(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
 
 @dataclass
 class Windows:
-    """The distinct trigrams of a chunk, in order of shard and key, and where each token's is."""
+    """The distinct trigrams of a chunk and the distinct bigrams of split words, in order of shard and key, and where
+    each token's are (-1: its bigram is not apart)."""
 
     shard: np.ndarray
     key: np.ndarray
+    kind: np.ndarray
     before: np.ndarray
     word: np.ndarray
     counts: np.ndarray
     of_token: np.ndarray
+    pair_of_token: np.ndarray
+
 
+def mixed(word: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+    """The key of a split word's bucket, counted from 1."""
+    found = (word ^ bucket * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xD6E8FEB86659FD93)
+    return found ^ found >> np.uint64(32)
 
-def context_keys(middle: np.ndarray, before: np.ndarray, hot: np.ndarray, buckets: np.ndarray) -> np.ndarray:
-    """The key of each context: the middle word's hash, for hot words mixed with a bucket."""
+
+def places_among(words: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """Where each word is in the sorted list ``hot``, or -1."""
     if not len(hot):
-        return middle
-    at = np.minimum(np.searchsorted(hot, middle), len(hot) - 1)
-    bucket = (before >> np.uint64(7)) % buckets[at] + ONE
-    mixed = (middle ^ bucket * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xD6E8FEB86659FD93)
-    return np.where(hot[at] == middle, mixed ^ mixed >> np.uint64(32), middle)
+        return np.full(len(words), -1)
+    at = np.minimum(np.searchsorted(hot, words), len(hot) - 1)
+    return np.where(hot[at] == words, at, -1)
+
+
+def bucket_of(word: np.ndarray, number: np.ndarray) -> np.ndarray:
+    return (word >> np.uint64(7)) % number + ONE
 
 
 def windows(
@@ -352,13 +386,31 @@ def windows(
         second, first, third = rows.T
         of_token = of_token.ravel()
     counts = np.bincount(of_token, weights=np.repeat(learn, lengths), minlength=len(third)).astype(np.uint32)
-    key = context_keys(words[second], words[first], hot, buckets)
+    short = (words >> np.uint64(32)).astype(np.uint32)
+    key, before, word = words[second], short[first], short[third]
+    at = places_among(words, hot)[second]
+    split = np.flatnonzero(at >= 0)
+    kind = np.where(at >= 0, TRIGRAMS, PLAIN).astype(np.uint8)
+    pair = np.full(len(third), -1)
+    if len(split):
+        number = buckets[at[split]]
+        key[split] = mixed(key[split], bucket_of(words[first[split]], number))
+        pairs, pair_of = np.unique(second[split] << 32 | third[split], return_inverse=True)
+        v, w = pairs >> 32, pairs & 0xFFFFFFFF
+        pair[split] = len(third) + pair_of
+        key = np.concatenate([key, mixed(~words[v], bucket_of(words[w], buckets[places_among(words[v], hot)]))])
+        kind = np.concatenate([kind, np.full(len(pairs), BIGRAMS, dtype=np.uint8)])
+        before, word = np.concatenate([before, np.zeros(len(pairs), np.uint32)]), np.concatenate([word, short[w]])
+        apart = np.bincount(pair_of, weights=counts[split], minlength=len(pairs)).astype(np.uint32)
+        counts = np.concatenate([counts, apart])
     shard = (key % np.uint64(shards)).astype(np.int64)
     order = np.lexsort((key, shard))
-    moved = np.empty(len(order), dtype=np.int32)
+    moved = np.empty(len(order) + 1, dtype=np.int32)
     moved[order] = np.arange(len(order), dtype=np.int32)
-    short = (words >> np.uint64(32)).astype(np.uint32)
-    return Windows(shard[order], key[order], short[first][order], short[third][order], counts[order], moved[of_token])
+    moved[-1] = -1  # where -1 points
+    return Windows(
+        shard[order], key[order], kind[order], before[order], word[order], counts[order], moved[of_token], moved[pair[of_token]]
+    )
 
 
 def by_shard(words: np.ndarray, w: Windows, shards: int) -> Iterator[tuple[int, np.ndarray, int, int]]:
@@ -412,8 +464,8 @@ def _chunk_rows(batches: Iterator[pa.RecordBatch], schema: pa.Schema, share: flo
         yield row()
 
 
-def _shard_group(group: pa.Table) -> pa.Table:
-    """A shard's words from all chunks: trie, and an answer for each chunk."""
+def _shard_group(group: pa.Table, min_count: int) -> pa.Table:
+    """A shard's words from all chunks: trie, what the bigrams of split words add up to, and an answer for each chunk."""
     shard = group.column("shard")[0].as_py()
     chunks = group.column("chunk").to_pylist()
     sent = [unpack_arrays(v.as_py()) for v in group.column("data")]
@@ -422,19 +474,23 @@ def _shard_group(group: pa.Table) -> pa.Table:
     keys = np.unique(np.concatenate([s[0] for s in sent]))
     places = [np.searchsorted(keys, s[0]) for s in sent]
     known = np.zeros(len(keys))
+    kind = np.zeros(len(keys), dtype=np.uint8)
     for place, s in zip(places, sent):
         known[place] += s[2]
+        kind[place] = np.maximum(kind[place], s[6])
     key_of = np.concatenate([np.repeat(p, s[1]) for p, s in zip(places, sent)])
     before, word, counts = (np.concatenate([s[i] for s in sent]) for i in (3, 4, 5))
     sizes = [len(s[3]) for s in sent]
     del sent
     before, word = before.astype(np.uint64), word.astype(np.uint64)
     with tempfile.TemporaryDirectory() as folder:
-        build_trie(keys, key_of, before, word, counts).save(folder)
+        built, weight, left = build_trie(keys, key_of, before, word, counts, kind, min_count)
+        built.save(folder)
         trie = Trie.mapped(folder)
-        a, b = trie.ask(keys, key_of, before, word)
+        a, b = trie.ask(keys, key_of, before, word, kind)
         level = pack_arrays(*[np.asarray(x) for x in trie.arrays()])
     a, b = to_codes(a), to_codes(b)
+    apart = kind == BIGRAMS
     ends = np.cumsum(sizes)
     answers = [
         pack_arrays(known[p].astype(np.uint64), a[e - n : e], b[e - n : e]) for p, n, e in zip(places, sizes, ends)
@@ -446,10 +502,35 @@ def _shard_group(group: pa.Table) -> pa.Table:
             "data": pa.array([*answers, level], pa.binary()),
             "tokens": pa.array([None] * len(chunks) + [int(known.sum())], pa.int64()),
             "types": pa.array([None] * len(chunks) + [int((known > 0).sum())], pa.int64()),
+            "split_keys": pa.array([None] * len(chunks) + [keys[apart].view(np.int64).tolist()], pa.list_(pa.int64())),
+            "split_sums": pa.array([None] * len(chunks) + [weight[apart].tolist()], pa.list_(pa.float64())),
+            "split_left": pa.array([None] * len(chunks) + [left[apart].tolist()], pa.list_(pa.float64())),
         }
     )
 
 
+def _split_words(model: DataFrame, hot: np.ndarray, buckets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each bucket of a split word's bigrams, by key: its share of them, and what the word leaves to single words.
+
+    Three numbers a bucket, and fewer than ``2 * HOT_WORDS`` buckets.
+    """
+    rows = model.select(F.explode(F.arrays_zip("split_keys", "split_sums", "split_left")).alias("s")).select("s.*").collect()
+    known = {r["split_keys"] & 0xFFFFFFFFFFFFFFFF: (r["split_sums"], r["split_left"]) for r in rows}
+    keys, shares, left = [], [], []
+    for word, number in zip(hot, buckets):
+        own = mixed(np.full(int(number), ~word), np.arange(1, int(number) + 1, dtype=np.uint64))
+        sums, rest = np.array([known.get(int(k), (0.0, 1.0)) for k in own]).T
+        whole = sums.sum()
+        keys.append(own)
+        shares.append(sums / whole if whole else sums)
+        left.append(np.full(len(own), (sums * rest).sum() / whole if whole else 1.0))
+    if not keys:
+        return hot, np.zeros(0), np.zeros(0)
+    keys = np.concatenate(keys)
+    order = np.argsort(keys)
+    return keys[order], np.concatenate(shares)[order], np.concatenate(left)[order]
+
+
 def _hot_words(chunks: DataFrame, limit: float) -> tuple[np.ndarray, np.ndarray]:
     """Words with more than ``limit`` tokens, and into how many buckets each is split.
 
@@ -499,7 +580,10 @@ def _bucketed(df: DataFrame, column: str, buckets: int) -> DataFrame:
     return written
 
 
-SHARDS = "shard int, chunk bigint, data binary, tokens bigint, types bigint"
+SHARDS = (
+    "shard int, chunk bigint, data binary, tokens bigint, types bigint, "
+    "split_keys array<bigint>, split_sums array<double>, split_left array<double>"
+)
 
 
 @dataclass(frozen=True)
@@ -511,15 +595,19 @@ class Scored:
     model: DataFrame
 
 
-def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", held: Column | None = None) -> Scored:
-    """Train on the rows that are not ``held`` and score all rows.
+def score_documents(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", held: Column | None = None, min_count: int = MIN_COUNT,
+) -> Scored:
+    """Train on the rows that are not ``held`` and score all rows; n-grams count from their ``min_count``-th occurrence on.
 
     ``held`` is by default the fold that op9 holds out. Null texts are empty, which is one token, the end; rows may lack a
     key or repeat. Without any row to learn from, every token is unknown and certain.
     """
     spark = docs.sparkSession
     held = crc_fold(key, FOLDS) == HELD_FOLD if held is None else held
-    rows = docs.select(F.col(key).alias("key"), F.coalesce(held, F.lit(False)).alias("held"), text_of(text).alias("text"))
+    rows = docs.select(
+        F.col(quoted(key)).alias("key"), F.coalesce(held, F.lit(False)).alias("held"), text_of(quoted(text)).alias("text")
+    )
     size = F.octet_length("text").cast("bigint")
     volume, most = rows.agg(F.sum(size), F.sum(F.floor(size / 2) + 2)).first()
     volume, most = volume or 0, most or 1  # bytes, and more tokens than there can be
@@ -555,18 +643,22 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", he
                     counts = np.zeros(len(keys), dtype=np.uint32)
                     counts[np.searchsorted(keys, words[own])] = known[own]
                     per_key = np.bincount(np.searchsorted(keys, w.key[a:b]), minlength=len(keys)).astype(np.uint32)
+                    kind = np.zeros(len(keys), dtype=np.uint8)
+                    kind[np.searchsorted(keys, w.key[a:b])] = w.kind[a:b]
                     blob = pack_arrays(
-                        steps_of(keys), per_key, counts, steps_of(w.before[a:b]), w.word[a:b], w.counts[a:b]
+                        steps_of(keys), per_key, counts, steps_of(w.before[a:b]), w.word[a:b], w.counts[a:b], kind
                     )
                     yield pa.RecordBatch.from_pydict(
                         {"shard": pa.array([shard], pa.int32()), "chunk": pa.array([chunk]), "data": pa.array([blob], pa.binary())}
                     )
 
     sent = chunks.select("chunk", "data").mapInArrow(routed, "shard int, chunk bigint, data binary")
-    answered = materialise(sent.groupBy("shard").applyInArrow(_shard_group, SHARDS), "lm-shards")
+    grouped = sent.groupBy("shard").applyInArrow(lambda group: _shard_group(group, min_count), SHARDS)
+    answered = materialise(grouped, "lm-shards")
     model = answered.filter(F.col("chunk").isNull())
     learned, types = model.agg(F.sum("tokens"), F.sum("types")).first()
     learned, types = learned or 0, types or 0
+    split_keys, split_shares, split_left = _split_words(model, hot, buckets)
     out_schema = T.StructType([
         T.StructField("key", kind), T.StructField("held_out", T.BooleanType()), T.StructField("n_tokens", T.LongType()),
         T.StructField("n_known", T.LongType()), T.StructField("train_tokens", T.LongType()),
@@ -590,8 +682,13 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", he
             count[own] = known[np.searchsorted(keys, words[own])]
             a[s:e], b[s:e] = from_codes(a_codes), from_codes(b_codes)
         c = count[tokens]
-        single = np.where(c > 0, c, types) / (learned + types) if types else np.ones(len(c))
-        logs = np.log10(a[w.of_token] + b[w.of_token] * single)
+        lower = np.where(c > 0, c, types / (types + 1)) / (learned + types) if types else np.ones(len(c))
+        split = np.flatnonzero(w.pair_of_token >= 0)
+        if len(split):
+            pair = w.pair_of_token[split]
+            at = np.searchsorted(split_keys, w.key[pair])
+            lower[split] = a[pair] * split_shares[at] + split_left[at] * lower[split]
+        logs = np.log10(a[w.of_token] + b[w.of_token] * lower)
         base = np.log10((c + 1) / (learned + types + 1))
         starts = np.cumsum(lengths) - lengths
         values = [

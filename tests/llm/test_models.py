@@ -30,7 +30,8 @@ def tokens(text):
 class PlainModel:
     """The same trigram model with dictionaries."""
 
-    def __init__(self, texts):
+    def __init__(self, texts, least=2):
+        self.least = least
         self.one, pairs, triples = Counter(), Counter(), Counter()
         for text in texts:
             u = v = ""
@@ -43,18 +44,17 @@ class PlainModel:
         self.pairs, self.left2 = self.kept(pairs)
         self.triples, self.left3 = self.kept(triples)
 
-    @staticmethod
-    def kept(counts):
+    def kept(self, counts):
         weight, left = Counter(), defaultdict(lambda: 1.0)
         for gram, c in counts.items():
             weight[gram[:-1]] += c + 1
-        kept = {g: c / weight[g[:-1]] for g, c in counts.items() if c >= 2}
+        kept = {g: c / weight[g[:-1]] for g, c in counts.items() if c >= self.least}
         for gram, p in kept.items():
             left[gram[:-1]] -= p
         return kept, left
 
     def p(self, u, v, w):
-        single = (self.one[w] or self.types) / (self.n + self.types)
+        single = (self.one[w] or self.types / (self.types + 1)) / (self.n + self.types)
         two = self.pairs.get((v, w), 0) + self.left2[(v,)] * single
         return self.triples.get((u, v, w), 0) + self.left3[u, v] * two
 
@@ -124,8 +124,30 @@ def test_lm_splits_hot_words_alike_for_any_partitioning(spark, monkeypatch):
     monkeypatch.setattr(lm, "SHARD_BYTES", 500)
     again = {r["doc_id"]: r["score"] for r in lm.score_documents(frame.repartition(5)).rows.collect()}
     assert again == pytest.approx(first)
-    plain = PlainModel([t for i, t in texts if not fold(i)])
-    assert any(abs(first[i] - plain.score(t)) > 0.01 for i, t in texts)  # hot words were split
+    for least in (2, 1, 3):
+        rows = lm.score_documents(frame, min_count=least).rows.collect()
+        plain = PlainModel([t for i, t in texts if not fold(i)], least)
+        for (i, t) in texts:  # split words change nothing
+            score = next(r["score"] for r in rows if r["doc_id"] == i)
+            assert abs(score - plain.score(t)) <= 2e-3 * len(tokens(t))
+
+
+def test_lm_texts_over_a_closed_alphabet_add_up_to_one(spark, monkeypatch):
+    """All texts of two words, known and as many unknown ones as are allowed for, and longer ones together."""
+    monkeypatch.setattr(lm, "HOT_TOKENS", 5)
+    learnt = ["a b", "a a b", "b", "a b b a", "", "a b"]
+    known, types = ["a", "b"], 3  # and the end
+    alphabet = [*known, *[f"x{i}" for i in range(types + 1)]]
+    asked = ["", *alphabet, *[f"{u} {v}" for u in alphabet for v in alphabet]]
+    rows = [(i, t) for i, t in enumerate(learnt)] + [(100 + i, t) for i, t in enumerate(asked)]
+    frame = spark.createDataFrame(rows, DOCS)
+    found = {r["doc_id"]: r["score"] for r in lm.score_documents(frame, held=F.col("doc_id") >= 100, min_count=1).rows.collect()}
+    plain = PlainModel(learnt, 1)
+    longer = sum(
+        plain.p("", "", u) * plain.p("", u, v) * (1 - plain.p(u, v, "")) for u in alphabet for v in alphabet
+    )
+    assert sum(10 ** found[100 + i] for i in range(len(asked))) + longer == pytest.approx(1, abs=0.02)
+    assert found[100 + asked.index("x0")] == pytest.approx(plain.score("x0"), abs=0.01)
 
 
 def test_lm_probabilities_add_up_to_one():
@@ -134,7 +156,7 @@ def test_lm_probabilities_add_up_to_one():
     n = 3000
     key_of, before, word = (np.array(rng.choices(range(len(words)), k=n)) for _ in range(3))
     short = words >> np.uint64(32)
-    trie = lm.build_trie(words, key_of, short[before], short[word], np.ones(n))
+    trie, _, _ = lm.build_trie(words, key_of, short[before], short[word], np.ones(n))
     for _ in range(20):
         k, b = rng.randrange(len(words)), rng.randrange(len(words))
         everything = np.full(len(words), k)
