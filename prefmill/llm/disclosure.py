@@ -30,6 +30,7 @@ import string
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -53,12 +54,14 @@ THRESHOLD = 0.95
 #: Beginnings of terms that may stand for them.
 SHORTEST, LONGEST = 3, 8
 #: Terms that are broadcast at once; more take further passes.
-MAX_TERMS = 1 << 20
+MAX_TERMS = 1 << 17
 #: Occurrences that a task gathers before it hands them on.
 HELD = 1 << 20
 
 WORDS = re.compile(WORD)
 LOWER = str.maketrans(ASCII_UPPER, ASCII_LOWER)
+LOWER_BYTES = bytes.maketrans(ASCII_UPPER.encode(), ASCII_LOWER.encode())
+BLANK_BYTES = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 LOCAL = frozenset(string.ascii_letters + string.digits + "._%+-")
 # No part of these can match again from a later start inside itself, so each is tried once a place.
 DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
@@ -131,6 +134,14 @@ def context(before: str, word: str, after: str) -> int:
     return xxhash.xxh3_64_intdigest(joined) - (1 << 63)
 
 
+def count_words(text: str) -> int:
+    """Blanks are single bytes in UTF-8, so a word begins at each other byte behind a blank."""
+    if not text:
+        return 0
+    blank = BLANK_BYTES[np.frombuffer(text.encode("utf-8", "replace"), np.uint8)]
+    return int(not blank[0]) + int(np.count_nonzero(blank[:-1] & ~blank[1:]))
+
+
 @dataclass
 class Words:
     """The words of a text: places, spelling, and the terms of those outside personal data."""
@@ -177,7 +188,7 @@ def mentions(df: DataFrame, text: str) -> DataFrame:
                 for own in part:
                     spans = base_spans(own)
                     if not spans:
-                        count += len(WORDS.findall(own))
+                        count += count_words(own)
                         continue
                     words = Words.of(own, spans)
                     count += len(words.words)
@@ -240,24 +251,32 @@ def beginnings(term: Column) -> Column:
 
 
 class Keys:
-    """Terms or their beginnings (``int*``), looked up for many words at once."""
+    """Terms or their beginnings (``int*``), looked up for many words at once.
 
-    def __init__(self, keys: list[str]):
-        self.keys = keys
-        whole = [i for i, k in enumerate(keys) if not k.endswith("*")]
-        self.sets = {None: whole} if whole else {}
+    An automaton tells texts that hold none of them in one pass over their bytes.
+    """
+
+    def __init__(self, keys: list[str], gone: set[int] = frozenset()):
+        self.keys, self.sets = keys, {}
         for i, k in enumerate(keys):
-            if k.endswith("*"):
-                self.sets.setdefault(len(k) - 1, []).append(i)
+            if i not in gone:
+                self.sets.setdefault(len(k) - 1 if k.endswith("*") else None, []).append(i)
         self.values = {n: pa.array([keys[i].rstrip("*") for i in own], pa.large_string()) for n, own in self.sets.items()}
+        self.automaton = ahocorasick.Automaton()
+        for own in self.values.values():
+            for key in own.to_pylist():
+                self.automaton.add_word(key.encode().decode("latin-1"), True)
+        if self.sets:
+            self.automaton.make_automaton()
 
     def without(self, gone: set[int]) -> Keys:
         """Without the keys at some places; the others keep theirs."""
-        slim = Keys([])
-        slim.keys = self.keys
-        slim.sets = {n: left for n, own in self.sets.items() if (left := [i for i in own if i not in gone])}
-        slim.values = {n: pa.array([self.keys[i].rstrip("*") for i in own], pa.large_string()) for n, own in slim.sets.items()}
-        return slim
+        return Keys(self.keys, gone)
+
+    def may_hold(self, text: str) -> bool:
+        """Whether a key occurs anywhere in the text, inside a word too."""
+        plain = text.encode("utf-8", "replace").translate(LOWER_BYTES).decode("latin-1")
+        return next(self.automaton.iter(plain), None) is not None
 
     def find(self, terms: pa.Array) -> list[np.ndarray]:
         """For each kind of key the place of each term's key, or -1."""
@@ -273,9 +292,11 @@ class Keys:
 
 def matches(texts: list[str], keys: Keys) -> Iterator[tuple[int, Words, list[tuple[int, int]]]]:
     """Texts with hits: number, words, and for each hit the word's number and its key's place in the list."""
-    if not keys.sets:
+    chosen = [i for i, t in enumerate(texts) if keys.may_hold(t)] if keys.sets else []
+    if not chosen:
         return
-    split = pc.split_pattern_regex(pa.array([t.encode("utf-8", "replace").decode() for t in texts], pa.large_string()), BLANKS)
+    asked = pa.array([texts[i].encode("utf-8", "replace").decode() for i in chosen], pa.large_string())
+    split = pc.split_pattern_regex(asked, BLANKS)
     coded = split.flatten().dictionary_encode()
     terms = pc.utf8_trim(pc.ascii_lower(coded.dictionary), string.punctuation)
     long = pc.greater_equal(pc.utf8_length(terms), SHORTEST).to_numpy(zero_copy_only=False)
@@ -287,15 +308,16 @@ def matches(texts: list[str], keys: Keys) -> Iterator[tuple[int, Words, list[tup
         return
     codes, edges = coded.indices.to_numpy(), split.offsets.to_numpy()
     empty = pc.equal(pc.binary_length(coded.dictionary), 0).to_numpy(zero_copy_only=False)
-    for number in np.unique(np.searchsorted(edges, np.flatnonzero(hot[codes]), side="right") - 1):
-        words = Words.of(texts[number], base_spans(texts[number]))
-        own = codes[edges[number] : edges[number + 1]]
+    for at_ in np.unique(np.searchsorted(edges, np.flatnonzero(hot[codes]), side="right") - 1):
+        text = texts[chosen[at_]]
+        words = Words.of(text, base_spans(text))
+        own = codes[edges[at_] : edges[at_ + 1]]
         own = own[~empty[own]]  # blanks at either end leave an empty word
         hits = [
             (int(i), int(at[own[i]])) for i in np.flatnonzero(hot[own] & words.free) for at in places if at[own[i]] >= 0
         ]
         if hits:
-            yield int(number), words, hits
+            yield chosen[at_], words, hits
 
 
 def in_parts(keys: DataFrame, column: str, max_terms: int) -> Iterator[list]:
@@ -405,27 +427,26 @@ def fit(
             "cap", F.ceil(F.col("together") * rarity * (1 + 1e-9))
         )
 
-    def disclosing(near: DataFrame, least: int) -> DataFrame:
-        pairs = materialise(together(near, least), "near-pairs")
-        keys = materialise(pairs.groupBy("key").agg(F.max("cap").alias("cap")), "candidate-keys")
-        if keys.isEmpty():
-            return spark.createDataFrame([], "key string, entity string, disclosure double")
-        value = disclosure(F.col("together"), F.col("n"), F.col("of_entity"), words)
-        weighed = pairs.join(occurrences(df, text, keys, max_terms), "key").withColumn("disclosure", value)
-        return weighed.filter(F.col("disclosure") >= threshold).select("key", "entity", "disclosure")
-
-    top = F.struct("disclosure", "entity")
-    worst = materialise(
-        disclosing(near, support).groupBy("key").agg(F.max_by(top, top).alias("w"))
-        .select(F.col("key").alias("term"), "w.entity", "w.disclosure"),
-        "risky-terms",
+    terms = materialise(together(near, support), "near-pairs")
+    options = materialise(
+        terms.select(F.col("key").alias("term")).distinct().select("term", F.explode(beginnings(F.col("term"))).alias("key")),
+        "beginnings",
     )
-    if worst.isEmpty():
+    begun = near.select("entity", "family", F.explode(beginnings(F.col("key"))).alias("key"), "context")
+    begun = together(begun.join(options.select("key").distinct(), "key").distinct(), 1)
+    pairs = materialise(terms.unionByName(begun), "key-pairs")
+    keys = materialise(pairs.groupBy("key").agg(F.max("cap").alias("cap")), "candidate-keys")
+    if keys.isEmpty():
         return none
-    options = worst.select("term", F.explode(beginnings(F.col("term"))).alias("key"))
-    keys = materialise(options.select("key").distinct(), "beginnings")
-    begun = near.select("entity", "family", F.explode(beginnings(F.col("key"))).alias("key"), "context").join(keys, "key").distinct()
-    strong = disclosing(begun, 1)
+    value = disclosure(F.col("together"), F.col("n"), F.col("of_entity"), words)
+    strong = materialise(
+        pairs.join(occurrences(df, text, keys, max_terms), "key").withColumn("disclosure", value)
+        .filter(F.col("disclosure") >= threshold).select("key", "entity", "disclosure"),
+        "disclosing-keys",
+    )
+    top = F.struct("disclosure", "entity")
+    worst = strong.filter(~F.col("key").endswith("*")).groupBy("key").agg(F.max_by(top, top).alias("w"))
+    worst = worst.select(F.col("key").alias("term"), "w.entity", "w.disclosure")
     safe = options.join(strong.select("key").distinct(), "key", "left_anti")
     general = safe.groupBy("term").agg(F.max_by("key", F.length("key")).alias("general"))
     return Model(words, materialise(worst.join(general, "term", "left").select("term", "general", "entity", "disclosure"), "disclosing-terms"))
