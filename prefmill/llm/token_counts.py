@@ -11,6 +11,7 @@ of equals. A character spelled by several tokens counts for each of them. So the
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +25,10 @@ import prefmill.shipping  # noqa: F401
 from prefmill.llm.common import quoted, text_of
 
 
+#: Longer runs of blanks are encoded in pieces: over some 10^6 of them the encoder's pattern runs out of stack.
+MANY_BLANKS = 1 << 16
+
+
 class SpanCoder:
     """A byte-level tokenizer, given as its ranks file and splitting pattern."""
 
@@ -36,7 +41,9 @@ class SpanCoder:
     def spans(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """First character of each token, and the one after its last."""
         data = text.encode("utf-8", "replace")
-        ids = np.array(self.coder.encode_ordinary(data.decode()), dtype=np.int64)
+        known = data.decode()
+        parts = [known] if len(known) <= MANY_BLANKS else re.split(r"(\s{%d})" % MANY_BLANKS, known)
+        ids = np.array([i for part in parts for i in self.coder.encode_ordinary(part)], dtype=np.int64)
         if not len(ids):
             return ids, ids
         ends = np.cumsum(self.lengths[ids])

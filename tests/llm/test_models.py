@@ -499,3 +499,14 @@ def test_token_totals_of_the_documents(spark, reference):
     for doc_id, text in texts.items():
         assert total[doc_id] == len(reference.encode(text, add_special_tokens=False).ids)
         assert chars[doc_id] == len(text)
+
+
+def test_very_long_runs_of_blanks_are_counted(spark):
+    import public_tokenizers
+
+    texts = [(1, "x" + " " * 1_000_000 + "y"), (2, "a\n" + "\t" * 200_000 + "\nb")]
+    frame = spark.createDataFrame(texts, DOCS)
+    rows = token_counts.count_lines(frame, tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).collect()
+    for i, text in texts:
+        assert sum(r["n_chars"] for r in rows if r["doc_id"] == i) == len(text)
+        assert all(r["n_tokens"] > 0 for r in rows if r["doc_id"] == i)
