@@ -10,6 +10,7 @@ from prefmill.functions.derive import settle
 from prefmill.functions.keys import dense_index, row_count
 from prefmill.functions.permute import permuted
 from prefmill.functions.tokens import Tokenizer, hashed_tokenizer
+from prefmill.session import bound_batches
 
 # The three token views of a pair.
 VIEWS = ("chosen", "rejected", "context")
@@ -64,6 +65,7 @@ def token_views(
 
     Nothing is truncated.
     """
+    bound_batches(pairs.sparkSession)
     tokenizer = tokenizer or hashed_tokenizer()
     asked = message("user", F.col("prompt"))
 

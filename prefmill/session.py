@@ -10,6 +10,8 @@ from contextvars import ContextVar
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
+#: What a Python worker holds at once, twice, and the objects it makes of it, whatever the size of a partition.
+BATCH_BYTES = {"spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -18,7 +20,7 @@ DEFAULTS = {
     # Wide rows (verifiers and completions sit in arrays): bound an Arrow batch by
     # bytes as well as by rows, or one batch of long texts fills a Python worker.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
-    "spark.sql.execution.arrow.maxBytesPerBatch": "64m",
+    **BATCH_BYTES,
 }
 
 
@@ -44,6 +46,13 @@ def build_session(
     return builder.getOrCreate()
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Bound the bytes of Arrow batches in a session that was built elsewhere and names no bound of its own."""
+    for key, value in BATCH_BYTES.items():
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, value)
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``."""
     try:

@@ -5,6 +5,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
+from prefmill.functions.slices import SLICE_BYTES
 from prefmill.functions.tokens import Vocabulary, hashed_tokenizer, python_tokenizer
 from prefmill.operators import metrics, scorecards, shift
 from prefmill.operators.batching import VIEWS, pad_batches, shuffled_batches, token_views
@@ -210,3 +211,30 @@ def test_a_vocabulary_tells_tokens_apart_and_spells_them_again(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None])], "i int, t string").repartition(2)
     rows = sorted(df.withColumn("ids", known.tokenizer()(F.col("t"))).withColumn("again", known.text(F.col("ids"))).collect())
     assert [r["again"] for r in rows] == [*texts, None] and [r["ids"] for r in rows] == [*ids, None]
+
+
+def test_a_tokenizer_gets_a_part_of_a_batch_at_a_time(spark):
+    def factory():
+        return lambda texts: [[len(texts)] for _ in texts]
+
+    df = spark.range(4000).coalesce(1).select(F.repeat(F.lit("x"), 1000).alias("t"))
+    seen = df.select(python_tokenizer(factory)(F.col("t")).alias("ids"))
+    counted = seen.agg(F.count("ids").alias("n"), F.max(F.col("ids")[0]).alias("most")).first()
+    assert counted["n"] == 4000 and counted["most"] <= SLICE_BYTES // 1000
+
+
+def test_views_share_a_python_worker(spark):
+    known = vocabulary(("<|eot_id|>",))
+    views = token_views(pairs(spark, 3), known.tokenizer())
+    spelled = views.select(*[known.text(F.col(f"input_ids_{v}")).alias(v) for v in VIEWS])
+    assert 1 <= spelled._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") <= 2
+    assert len(spelled.collect()) == 3
+
+
+def test_odd_lists_of_ids_are_spelled(spark):
+    known = vocabulary()
+    whole = known.encode("日本 plain")
+    lists = [[], None, whole, whole[:1], whole[1:], []]
+    df = spark.createDataFrame(list(enumerate(lists)), "i int, ids array<int>").coalesce(1)
+    rows = sorted(df.select("i", known.text(F.col("ids")).alias("t")).collect())
+    assert [r["t"] for r in rows] == [None if own is None else known.decode(own) for own in lists]
