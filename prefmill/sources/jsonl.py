@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from prefmill import shipping  # noqa: F401
+from prefmill.functions.slices import sliced
+from prefmill.session import bound_batches
 
 INSTRUCTIONS = "instance_id BIGINT, query STRING, instruction STRING"
 ARTIFACTS = f"{INSTRUCTIONS}, verifiers ARRAY<STRING>, testcases ARRAY<STRING>"
@@ -98,9 +100,10 @@ def parse_lines(lines: DataFrame, schema: str | T.StructType) -> DataFrame:
         from pyspark.sql.pandas.types import to_arrow_schema
 
         target, read = to_arrow_schema(schema), value_reader(schema)
-        for batch in batches:
+        # Parsed values take many times the room of their lines: they are made a few lines at a time.
+        for lines in (part for batch in batches for part in sliced(batch.column(0))):
             rows = []
-            for line in batch.column(0):
+            for line in lines:
                 line = line.as_py()
                 if line is None or not line.strip():
                     continue
@@ -112,6 +115,7 @@ def parse_lines(lines: DataFrame, schema: str | T.StructType) -> DataFrame:
                 [pa.array([r.get(f.name) for r in rows], f.type) for f in target], schema=target
             )
 
+    bound_batches(lines.sparkSession)
     return lines.select("value").mapInArrow(run, schema)
 
 

@@ -231,3 +231,24 @@ def test_types_without_a_reader_are_refused():
         jsonl.value_reader(jsonl.T.MapType(jsonl.T.LongType(), jsonl.T.LongType()))
     with pytest.raises(TypeError):
         jsonl.value_reader(jsonl.T.StructType.fromDDL("d DATE"))
+
+
+def test_lines_are_parsed_a_few_at_a_time(spark):
+    import pyarrow as pa
+
+    class Lines:
+        """Stands for a table of lines; hands out what Spark would run."""
+
+        sparkSession = spark
+
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    lines = [json.dumps({"instance_id": i, "scores": {f"{i}" * 200: 0.5}}) for i in range(4000)]
+    run = jsonl.parse_lines(Lines(), "instance_id BIGINT, scores MAP<STRING,DOUBLE>")
+    made = list(run(iter([pa.RecordBatch.from_pydict({"value": [*lines, " ", None]})])))
+    assert [i for batch in made for i in batch.column(0).to_pylist()] == list(range(4000))
+    assert max(batch.nbytes for batch in made) <= 1 << 20
