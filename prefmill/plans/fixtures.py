@@ -228,7 +228,8 @@ def drawn_completions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Documents in hash order, eight to an instance; instances take the conversations in
     turn, also in hash order. Every fifth instance repeats its first document at the end.
-    Keys are matched first, so the document texts are shuffled once to their instance.
+    Keys are matched first, so the document texts are shuffled once to their instance, by its conversation: a join with
+    what the conversation asks then moves them no more.
     """
     documents = table(spark, sf_dir, "documents")
     conversations = table(spark, sf_dir, "conversations").select("conv_id").distinct()
@@ -237,14 +238,14 @@ def drawn_completions(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.expr(f"idx div {NUM_COMPLETIONS}").alias("instance_id"),
         F.pmod("idx", F.lit(NUM_COMPLETIONS)).cast("int").alias("slot"),
     )
-    texts = placed.join(documents.select("doc_id", "text"), "doc_id")
-    folded = collect_samples(texts, "instance_id", "text", "slot", "completions")
+    turn = F.pmod("instance_id", row_count(conversations))
+    turned = settle(placed, {"idx": turn}).join(dense_index(conversations, "conv_id", "convs"), "idx").drop("idx")
+    texts = turned.join(documents.select("doc_id", "text"), "doc_id").repartition("conv_id")
+    folded = collect_samples(texts, ["instance_id", "conv_id"], "text", "slot", "completions")
     repeated = F.when(
         F.col("instance_id") % 5 == 0, F.concat("completions", F.slice("completions", 1, 1))
     ).otherwise(F.col("completions"))
-    turn = F.pmod("instance_id", row_count(conversations))
-    asked = settle(folded.select("instance_id", repeated.alias("completions")), {"idx": turn})
-    return asked.join(dense_index(conversations, "conv_id", "convs"), "idx").drop("idx")
+    return folded.select("instance_id", repeated.alias("completions"), "conv_id")
 
 
 def completed_instances(spark: SparkSession, sf_dir: str) -> DataFrame:

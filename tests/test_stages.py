@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from prefmill.operators import filtering
 from prefmill.operators.verification import Budget
-from prefmill.plans import catalog, stages
+from prefmill.plans import catalog, fixtures, stages
 from prefmill.session import with_stable_row_id
 from prefmill.sources import dialogues, jsonl
 from prefmill.streaming.incremental import run_incrementally
@@ -165,3 +165,10 @@ def test_queries_from_a_file_without_keys(spark, tmp_path):
     rows = drawn.collect()
     assert sorted(r["instance_id"] for r in rows) == list(range(40))
     assert {r["query"] for r in rows} == {"question 0?", "question 1?"}
+
+
+def test_completions_are_not_moved_again_to_their_conversation(spark):
+    other = spark.newSession()
+    other.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    plan = fixtures.completed_instances(other, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(doc_id" in plan and "Exchange hashpartitioning(instance_id" not in plan
